@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
+from .packing import op5_packing
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_packing": op5_packing,
+    "op9_bpe": op9_bpe,
 }
 
 SQL: dict[str, str] = {}

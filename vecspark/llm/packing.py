@@ -5,7 +5,8 @@ histogram of piece lengths, which has at most ``capacity`` rows however many doc
 
 1. lengths above ``small`` are sorted and cut into groups of equal cardinality, each rounded up to its largest;
 2. a linear programme over configurations (column generation with a knapsack) packs these few sizes;
-3. the configurations, rounded down, take the groups' actual documents, whose lengths leave some room;
+3. the configurations, rounded down, take the groups' actual documents for all slots but their smallest,
+   which the next step fills better as it knows the room that actual lengths leave;
 4. everything else is placed best-fit, by decreasing length, into the room left or into new sequences.
 
 The plan maps ranges of ranks within a length to ranges of sequences. Ranks are dealt without gathering a
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import shuffle_partitions, table, written
 from .bpe import Encoder, default_vocabulary, packed, vocabulary
 
-CAPACITY, GROUPS, SMALL, END_ID = 2048, 64, 64, 0
+CAPACITY, GROUPS, SMALL, END_ID = 2048, 32, 2048 // 3, 0
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab_path: str | None = None) -> DataFrame:
@@ -127,6 +128,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             m = int(times + 1e-6)
             for g in set(slots):
                 m = min(m, sum(n for _, n in queues[g]) // int(pattern[g]))
+            slots.pop()  # groups go from large to small: the last slot is the smallest
             while slots and m > 0:
                 run, took = m, {}
                 for g in slots:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .audio import op4_audio
 from .bpe import op9_bpe
+from .chat import OP7_SQL, op7_chat
 from .packing import op5_packing
 from .simhash import op1_simhash
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
+    "op4_audio": op4_audio,
     "op5_packing": op5_packing,
+    "op7_chat": op7_chat,
     "op9_bpe": op9_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op7_chat": OP7_SQL}

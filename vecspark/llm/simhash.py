@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table, written
@@ -198,9 +198,12 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     Rows with a null id belong to no group and stay.
     """
     found = simhash_components(docs, **options)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__vs_first")).distinct()
+    id_col = options.get("id_col", "doc_id")
+    w = Window.partitionBy("__vs_first").orderBy(F.col(options.get("text_col", "text")))
+    kept = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col).cast("long") == F.col("__vs_first"))
+    kept = kept.withColumn("__vs_row", F.row_number().over(w)).where("__vs_row = 1").drop("__vs_first", "__vs_row")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

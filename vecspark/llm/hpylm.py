@@ -37,7 +37,7 @@ K1 = 257
 K2 = K1 * FINE
 EXACT, BURN, SAMPLES, THETA = 32, 3, 3, 1.0
 SIZE = K2 + SAMPLES * (K2 + K1 + 1) + 8
-BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 60_000
+BLOCK_CHARS, BLOCK_DOCS = 6_000_000, 60_000
 
 
 def context(word: bytes) -> int:
@@ -296,18 +296,12 @@ def score(docs: DataFrame, train_rows=None, id_col: str = "doc_id", text_col: st
     def judge(t: pa.Table) -> pa.Table:
         total = handle.value
         hashes, ctx, doc, cnt, flag = _read(t)
-        h, x, n, f = map(np.concatenate, (hashes, ctx, cnt, flag))
-        s = Seating(h[f], x[f], n[f], buckets, seed)
-        seen, logp = predict(s, total, h, x)
-        base = np.log10(seen + 1)
+        s = Seating(*(np.concatenate([v[f] for v, f in zip(col, flag)]) for col in (hashes, ctx, cnt)), buckets, seed)
         out: dict[str, list] = {c: [] for c in ("block", "doc", "known", "base", "model")}
-        at = 0
-        for d in doc:
-            part = slice(at, at + len(d))
-            at += len(d)
+        for h, x, d, w in zip(hashes, ctx, doc, cnt):  # a block at a time bounds what the arithmetic takes
+            seen, logp = predict(s, total, h, x)
             size = int(d.max()) + 1 if len(d) else 0
-            w = n[part]
-            sums = [np.bincount(d, weights=v, minlength=size) for v in (w * (seen[part] > 0), w * base[part], w * logp[part])]
+            sums = [np.bincount(d, weights=v, minlength=size) for v in (w * (seen > 0), w * np.log10(seen + 1), w * logp)]
             own = np.flatnonzero(np.bincount(d, minlength=size))
             for c, v in zip(("doc", "known", "base", "model"), (own.astype(np.uint16), sums[0][own].astype(np.uint32), sums[1][own], sums[2][own])):
                 out[c].append(v.tobytes())

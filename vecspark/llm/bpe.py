@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import drop_written, table, written
 
 END = "</w>"
 NONE = np.int64(1 << 40)
@@ -328,7 +328,10 @@ def packed(ids: list[int]) -> bytes:
 
 
 def frequent_words(docs: DataFrame, text_col: str, vocab_path: str, n: int) -> list[str]:
-    """The ``n`` most frequent words of all texts (ties by word); exact counts, combined in each task."""
+    """The most frequent words of all texts, at most ``n``; exact counts, combined in each task.
+
+    A histogram of counts, of a fixed number of steps, gives the least count at which no more than ``n`` words are left.
+    """
 
     def count(batches):
         from collections import Counter
@@ -341,7 +344,16 @@ def frequent_words(docs: DataFrame, text_col: str, vocab_path: str, n: int) -> l
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in found.orderBy(F.desc("n"), "word").limit(n).collect()]
+    found = written(found.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "words")
+    least, total = 0, 0
+    for step, words in sorted(map(tuple, found.groupBy("step").count().collect()), reverse=True):  # at most 64 * 63 rows
+        total += words
+        if total > n:
+            least = step + 1
+            break
+    out = sorted(r[0] for r in found.where(F.col("step") >= least).select("word").collect())
+    drop_written(found)
+    return out
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, lexicon_words: int = 50_000) -> DataFrame:

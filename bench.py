@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,7 @@ def main() -> None:
         start = time.time()
         sink(QUERIES[name](spark, SF_DIR))
         took[name] = round(time.time() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     # The published experiment's shape: 50,000 x 128 vectors in 1,000 clusters, 200 queries, exact.
     v = written(generated_vectors(spark, 50_000, 128, clusters=1000), "bench-vectors")
     asked = v.where("vec_id % 250 = 0").select(F.col("vec_id").alias("qid"), "embedding")

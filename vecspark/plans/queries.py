@@ -366,7 +366,7 @@ def ivf_hits(spark, d):
     cells = max(4, math.isqrt(v.count()))
     centroids = ann.train_cells(v, min(cells, 1024))
     index = written(ann.assign_cells(v, centroids).repartition("cell").sortWithinPartitions("cell"), "cells")
-    return union(ann.ivf_search(index, centroids, b, K, max(4, len(centroids) // 3)) for b in blocks_of(asked(v)))
+    return union(ann.ivf_search(index, centroids, b, K, max(4, len(centroids) * 3 // 4)) for b in blocks_of(asked(v)))
 
 
 @query()

@@ -180,3 +180,73 @@ def test_entry_without_llm(spark):
     root = Path(__file__).parent.parent
     code = "import sys; sys.modules['vecspark.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_graph_in_parts_and_as_bytes():
+    x = np.random.default_rng(2).standard_normal((400, 8))
+    whole = ann.Graph(8, "l2", m=4, ef_construction=24).build(x)
+    half = ann.Graph.from_bytes(ann.Graph(8, "l2", m=4, ef_construction=24).build(x[:150]).to_bytes()).build(x[150:])
+    assert half.links == whole.links and (half.entry, half.top) == (whole.entry, whole.top)
+    empty = ann.Graph.from_bytes(ann.Graph(3).to_bytes())
+    assert len(empty) == 0 and empty.search([1, 0, 0], 5) == []
+    data = whole.to_bytes()
+    flipped = bytearray(data)
+    flipped[len(data) // 2] ^= 1
+    for bad in (b"", data[: len(data) // 2], data[:-1], bytes(flipped)):
+        with pytest.raises(ValueError):
+            ann.Graph.from_bytes(bad)
+    whole.links[3][0][0] = 400
+    with pytest.raises(ValueError, match="neighbours"):
+        ann.Graph.from_bytes(whole.to_bytes())
+
+
+def test_graph_index(spark):
+    v = generated_vectors(spark, 900, 16, clusters=30)
+    x = np.array([r[1] for r in sorted(v.collect())], float)
+    path = scratch(spark, "graphs")
+    assert ann.GraphIndex(spark, path, 16).search(v.limit(0).withColumnRenamed("vec_id", "qid"), 5).count() == 0
+    ann.GraphIndex(spark, path, 16).add(v.where("vec_id < 600"), shard_rows=300).add(v.where("vec_id >= 600"))
+    index = ann.GraphIndex(spark, path)
+    assert len(index) == 900 and index.dim == 16 and "900" in repr(index) and index.links().selectExpr("count(distinct node)").first()[0] == 900
+    q = v.where("vec_id % 90 = 0").withColumnRenamed("vec_id", "qid")
+    got = index.search(q, 10).collect()
+    hit = [r.vec_id in {j for _, j in slow_knn(x, x[r.qid], 10, "cosine")} for r in got]
+    assert len(got) == 100 and np.mean(hit) >= 0.95 and all(r.vec_id == r.qid for r in got if r["rank"] == 1)
+    assert index.search(q, 0).count() == 0
+    assert np.allclose(index.vector(7), x[7] / np.sqrt(x[7] @ x[7]), atol=1e-6)
+    with pytest.raises(IndexError):
+        index.vector(900)
+    before = index.state
+    for bad in ([0.0] * 15, [float("nan")] * 16):
+        with pytest.raises(ValueError):
+            index.add(spark.createDataFrame([(1000, [1.0] * 16), (1001, bad)], SCHEMA))
+    with pytest.raises(ValueError):
+        index.search(spark.createDataFrame([(1, [1.0])], "qid long, embedding array<float>"), 3)
+    assert ann.GraphIndex(spark, path).state == before
+    with pytest.raises(ValueError):
+        ann.GraphIndex(spark, path, 17)
+    with pytest.raises(ValueError):
+        ann.GraphIndex(spark, scratch(spark, "none"))
+    index.shards().limit(1).write.mode("append").parquet(f"{path}/v=1/shards")
+    with pytest.raises(ValueError):
+        ann.GraphIndex(spark, path)
+
+
+def test_additions_append(spark, corpus):
+    corpus.add(spark.createDataFrame([("More", "\n\n".join(["words " * 150] * 4)), ("Blank", " ")], "title string, text string"))
+    assert corpus.state["segments"] == [1, 2]
+    again = Corpus(spark, corpus.path, HashedEmbedder(128))
+    ids = [(r.chunk_id, r.doc_id, r.ordinal) for r in again.chunks().orderBy("doc_id", "ordinal").collect()]
+    assert [i for i, _, _ in ids] == list(range(len(ids))) and len(ids) > 4
+    again.delete(spark.createDataFrame([(0,)], "doc_id long"))
+    assert again.state["segments"] == [3] and Corpus(spark, corpus.path, HashedEmbedder(128)).documents().count() == 4
+
+
+def test_settings():
+    from vecspark.settings import Settings, health
+
+    assert Settings.read({}) == Settings() and health() == {"status": "ok"}
+    assert Settings.read({"VECSPARK_UPLOADS": "off", "VECSPARK_FLOOR": "-0.5", "VECSPARK_MAX_TEXT": " "}) == Settings(uploads=False, floor=-0.5)
+    for name, text in (("UPLOADS", "maybe"), ("FLOOR", "nan"), ("MAX_TEXT", "0"), ("MAX_TITLE", "1.5"), ("ANSWER_TIMEOUT", "0"), ("ANSWER_TIMEOUT", "inf")):
+        with pytest.raises(ValueError, match=name):
+            Settings.read({f"VECSPARK_{name}": text})

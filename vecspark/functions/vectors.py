@@ -80,3 +80,18 @@ def levels(ids, seed: int, m: int):
 
     u = np.maximum((splitmix64(ids, seed) >> np.uint64(11)).astype(np.float64) / 2.0**53, np.finfo(float).tiny)
     return np.floor(-np.log(u) / np.log(m)).astype(np.int32)
+
+
+#: Name, parameters, result and body of each function that ``register`` adds to SQL.
+SQL_FUNCTIONS = [
+    ("vector_dot", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
+    ("vector_norm", "a ARRAY<DOUBLE>", "sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"),
+    ("vector_l2", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"),
+    ("vector_cosine", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "CASE WHEN vector_norm(a) * vector_norm(b) = 0 THEN 1D ELSE 1 - vector_dot(a, b) / (vector_norm(a) * vector_norm(b)) END"),
+]
+
+
+def register(spark) -> None:
+    """Make the vector functions known to the session's SQL, as expressions that Catalyst inlines."""
+    for name, parameters, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS DOUBLE RETURN {body}")

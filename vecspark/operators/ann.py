@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import levels, metric_name
-from .knn import best, matrix, pair_distances, ranked
+from ..sources.storage import Versions, digest, joined_digest
+from .knn import Best, by_blocks, in_blocks, matrix, pair_distances, ranked, require_valid
 
 SAMPLE = 10_000
 
@@ -59,19 +61,14 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: list[tuple[int,
 
     def run(batches):
         qid, q, probe = handle.value
+        held = Best(len(qid), k)
         for b in batches:
             ids, cell, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
-            out_q, out_i, out_d = [], [], []
             for c in np.unique(cell):
                 rows, asks = np.flatnonzero(cell == c), np.flatnonzero(probe[:, c])
                 if len(asks):
-                    d = pair_distances(q[asks], x[rows], metric)
-                    top = best(d, ids[rows], k)
-                    out_q.append(np.repeat(qid[asks], top.shape[1]))
-                    out_i.append(ids[rows][top].ravel())
-                    out_d.append(np.take_along_axis(d, top, 1).ravel())
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_q, out_i, out_d)], ["qid", "vec_id", "distance"])
+                    held.add(pair_distances(q[asks], x[rows], metric), ids[rows], asks)
+        yield held.batch(qid)
 
     return ranked(index.mapInArrow(run, "qid long, vec_id long, distance double"), k)
 
@@ -150,8 +147,12 @@ class Graph:
         return kept + spare[: m - len(kept)]
 
     def build(self, x: np.ndarray) -> "Graph":
-        self.x = _unit(np.asarray(x, np.float64)) if self.metric == "cosine" else np.asarray(x, np.float64)
-        for n, level in enumerate(levels(np.arange(len(self.x)), self.seed, self.m).tolist()):
+        """Insert the rows of ``x`` after those held; in one call or in many, the graph is the same."""
+        x = np.asarray(x, np.float64).reshape(len(x), self.dim)
+        x = (_unit(x) if self.metric == "cosine" else x).astype(np.float32).astype(np.float64)
+        start = len(self)
+        self.x = np.concatenate([self.x, x])
+        for n, level in zip(range(start, len(self.x)), levels(np.arange(start, len(self.x)), self.seed, self.m).tolist()):
             level = min(level, 127)
             self.links.append([[] for _ in range(level + 1)])
             q = self.x[n]
@@ -162,7 +163,7 @@ class Graph:
                 for layer in range(min(level, self.top), -1, -1):
                     at = self._beam(q, at, self.efc, layer)
                     self.links[n][layer] = self._diverse(at, self.m)
-                    cap = self.m * (1 if layer else 2)
+                    cap = self.cap(layer)
                     for j in self.links[n][layer]:
                         own = self.links[j][layer]
                         own.append(n)
@@ -173,6 +174,45 @@ class Graph:
                 self.entry, self.top = n, level
         return self
 
+    def cap(self, layer: int) -> int:
+        return self.m * (1 if layer else 2)
+
+    def to_bytes(self) -> bytes:
+        """The graph with its vectors, as a checked archive of plain arrays."""
+        near = [ids for layers in self.links for ids in layers]
+        out = io.BytesIO()
+        head = np.array([self.dim, self.metric == "cosine", self.m, self.efc, self.seed, self.entry, self.top], np.int64)
+        np.savez(out, head=head, x=self.x.astype(np.float32), layers=np.array([len(v) for v in self.links], np.int32), degree=np.array([len(v) for v in near], np.int32), near=np.array([j for v in near for j in v], np.int32))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Graph":
+        """Raises ``ValueError`` for anything that ``to_bytes`` can't have made."""
+        try:
+            with np.load(io.BytesIO(data), allow_pickle=False) as f:
+                head, x, layers, degree, near = (f[k] for k in ("head", "x", "layers", "degree", "near"))
+            dim, cosine, m, efc, seed, entry, top = head.tolist()
+            g = cls(dim, "cosine" if cosine else "euclidean", m, efc, seed)
+        except Exception as e:
+            raise ValueError(f"not a graph: {e}") from e
+        n = len(layers)
+        level = np.arange(len(degree)) - np.repeat(np.cumsum(layers) - layers, layers) if n else np.zeros(0)
+        rules = {
+            "vectors": x.shape == (n, dim) and bool(np.isfinite(x).all()),
+            "layers": bool(((layers >= 1) & (layers <= 128)).all()) and int(layers.sum()) == len(degree),
+            "degrees": len(level) == len(degree) and bool(((degree >= 0) & (degree <= np.where(level == 0, 2 * m, m))).all()) and int(degree.sum()) == len(near),
+            "neighbours": bool(((near >= 0) & (near < n)).all()),
+            "entry": (entry, top) == (-1, -1) if not n else 0 <= entry < n and int(layers[entry]) == top + 1 == int(layers.max()),
+        }
+        if bad := [k for k, ok in rules.items() if not ok]:
+            raise ValueError(f"broken graph: {', '.join(bad)}")
+        lists = iter(np.split(near, np.cumsum(degree)[:-1]) if len(degree) else [])
+        g.x, g.entry, g.top = x.astype(np.float64), entry, top
+        g.links = [[next(lists).tolist() for _ in range(k)] for k in layers.tolist()]
+        if any(len(g.links[j]) <= layer for own in g.links for layer, ids in enumerate(own) for j in ids):
+            raise ValueError("broken graph: a link to a node below its layer")
+        return g
+
     def search(self, q, k: int, ef: int | None = None) -> list[tuple[float, int]]:
         if not len(self) or not k:
             return []
@@ -185,36 +225,141 @@ class Graph:
         return [(d if self.metric == "cosine" else float(np.sqrt(max(d, 0))), i) for d, i in found]
 
 
-def graph_links(vectors: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
-    """``(shard, node, level, neighbors)`` of a graph for each shard of ``pmod(vec_id, shards)``."""
+SHARD_ROWS, FEWEST = 2000, 250
+SHARDS = "shard int, ids array<long>, graph binary"
+
+
+def shard_count(spark: SparkSession, rows: int, shard_rows: int = SHARD_ROWS) -> int:
+    """About ``shard_rows`` rows each; a small table is spread over the cores, to no less than ``FEWEST`` rows each."""
+    return max(1, -(-rows // shard_rows), min(spark.sparkContext.defaultParallelism, -(-rows // FEWEST)))
+
+
+def graph_shards(vectors: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
+    """``(shard, ids, graph)``: one row for each shard's graph, so a search needs no shuffle of vectors."""
 
     def build(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         g = Graph(dim, metric, m, ef_construction, seed).build(matrix(t.column("embedding").combine_chunks())[order])
-        ids = ids[order]
-        rows = [(int(t.column("shard")[0].as_py()), int(ids[n]), level, [int(ids[j]) for j in near]) for n, layers in enumerate(g.links) for level, near in enumerate(layers)]
-        return pa.table(dict(zip(("shard", "node", "level", "neighbors"), map(list, zip(*rows)))), schema=pa.schema([("shard", pa.int32()), ("node", pa.int64()), ("level", pa.int32()), ("neighbors", pa.list_(pa.int64()))]))
+        return pa.table({"shard": t.column("shard")[:1].cast(pa.int32()), "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())), "graph": pa.array([g.to_bytes()], pa.binary())})
+
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.where("embedding is not null").groupBy("shard").applyInArrow(build, SHARDS)
+
+
+def shard_links(index: DataFrame) -> DataFrame:
+    """``(shard, node, level, neighbors)`` of the shards' graphs."""
+
+    def run(batches):
+        for b in batches:
+            for shard, ids, data in zip(*(b.column(i) for i in range(3))):
+                links, ids = Graph.from_bytes(data.as_py()).links, ids.as_py()
+                rows = [(ids[n], level, [ids[j] for j in near]) for n, layers in enumerate(links) for level, near in enumerate(layers)]
+                node, level, near = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(rows), pa.int32()), pa.array(node, pa.int64()), pa.array(level, pa.int32()), pa.array(near, pa.list_(pa.int64()))], ["shard", "node", "level", "neighbors"])
+
+    return index.mapInArrow(run, "shard int, node long, level int, neighbors array<long>")
 
-    return _sharded(vectors, shards).groupBy("shard").applyInArrow(build, "shard int, node long, level int, neighbors array<long>")
+
+def shard_search(index: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef: int = 100) -> DataFrame:
+    """The k best of every query of one bounded block: each task merges those of its shards."""
+    handle = index.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches):
+        qid = np.array([q for q, _ in handle.value], np.int64)
+        held = Best(len(qid), k)
+        for b in batches:
+            for ids, data in zip(b.column("ids"), b.column("graph")):
+                g, ids = Graph.from_bytes(data.as_py()), ids.values.to_numpy()
+                for n, (_, v) in enumerate(handle.value):
+                    if hits := g.search(v, k, ef):
+                        d, i = zip(*hits)
+                        held.add(np.array([d]), ids[list(i)], np.array([n]))
+        yield held.batch(qid)
+
+    return ranked(index.select("ids", "graph").mapInArrow(run, "qid long, vec_id long, distance double"), k)
+
+
+def graph_links(vectors: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
+    """``(shard, node, level, neighbors)`` of graphs built for the purpose."""
+    return shard_links(graph_shards(vectors, shards, dim, metric, m, ef_construction, seed))
 
 
 def graph_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], shards: int, dim: int, k: int, ef: int = 100, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
-    """Each shard's k best of every query of one bounded block, merged."""
-    handle = vectors.sparkSession.sparkContext.broadcast(queries)
+    """Search graphs built for the purpose; to search more than once, keep a ``GraphIndex``."""
+    return shard_search(graph_shards(vectors, shards, dim, metric, m, ef_construction, seed), queries, k, ef)
+
+
+class GraphIndex:
+    """Proximity graphs of all vectors, kept in a folder of versions.
+
+    Adding writes graphs of the new rows only, as a segment of their own. A batch with a bad vector changes nothing.
+    """
+
+    FORMAT = 1
+
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, metric: str | None = None, m: int = 16, ef_construction: int = 100, seed: int = 0x5EED, verify: bool = True):
+        """Open the folder's index, or start an empty one of width ``dim``; what is stored wins over ``m`` and its like."""
+        self.spark, self.versions = spark, Versions(spark, path)
+        state = self.versions.current()
+        if state is None:
+            Graph(dim or 0, metric or "cosine", m, ef_construction)
+            state = {"format": self.FORMAT, "version": 0, "dim": dim, "metric": metric_name(metric or "cosine"), "m": m, "ef_construction": ef_construction, "seed": seed, "rows": 0, "segments": [], "digest": [0, 0]}
+        elif state["format"] != self.FORMAT or dim not in (None, state["dim"]) or metric and metric_name(metric) != state["metric"]:
+            raise ValueError(f"the stored index is of format {state['format']}, width {state['dim']}, metric {state['metric']}")
+        self.state = state
+        if verify and digest(self.shards()) != state["digest"]:
+            raise ValueError("the shards aren't what the manifest says")
+
+    def __len__(self) -> int:
+        return self.state["rows"]
+
+    def __repr__(self) -> str:
+        return f"GraphIndex({', '.join(f'{k}={self.state[k]!r}' for k in ('rows', 'dim', 'metric', 'm', 'ef_construction'))})"
+
+    dim = property(lambda self: self.state["dim"])
+    metric = property(lambda self: self.state["metric"])
+
+    def shards(self) -> DataFrame:
+        folders = [f"{self.versions.folder(v)}/shards" for v in self.state["segments"]]
+        return self.spark.read.schema(SHARDS).parquet(*folders) if folders else self.spark.createDataFrame([], SHARDS)
+
+    def add(self, vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> "GraphIndex":
+        """Add rows ``(vec_id, embedding)``, whose ids must be new; all are checked before anything is stored."""
+        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        require_valid(rows, self.dim)
+        if not (n := rows.count()):
+            return self
+        version, s = self.state["version"] + 1, self.state
+        folder = f"{self.versions.fresh(version)}/shards"
+        graph_shards(rows, shard_count(self.spark, n, shard_rows), self.dim, self.metric, s["m"], s["ef_construction"], s["seed"]).write.parquet(folder)
+        own = digest(self.spark.read.schema(SHARDS).parquet(folder))
+        state = s | {"version": version, "rows": s["rows"] + n, "segments": [*s["segments"], version], "digest": joined_digest(s["digest"], own)}
+        self.versions.commit(state)
+        self.state = state
+        return self
 
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        g, ids = Graph(dim, metric, m, ef_construction, seed).build(matrix(t.column("embedding").combine_chunks())[order]), ids[order]
-        rows = [(q, int(ids[i]), d) for q, v in handle.value for d, i in g.search(v, k, ef)]
-        return pa.table(dict(zip(("qid", "vec_id", "distance"), map(list, zip(*rows)) if rows else ([], [], []))), schema=pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]))
+    def search(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
+        """``(qid, vec_id, distance, rank)`` for queries ``(qid, embedding)``."""
+        require_valid(queries, self.dim, "qid")
+        return by_blocks(self.spark, in_blocks(queries), lambda rows: shard_search(self.shards(), rows, max(k, 0), max(ef, k)))
+
+    def links(self) -> DataFrame:
+        return shard_links(self.shards())
 
-    return ranked(_sharded(vectors, shards).groupBy("shard").applyInArrow(run, "qid long, vec_id long, distance double"), k)
+    def vector(self, vec_id: int) -> list[float]:
+        """The stored vector (of unit length under cosine); ``IndexError`` if there is none."""
 
+        def run(batches):
+            for b in batches:
+                for ids, data in zip(b.column("ids"), b.column("graph")):
+                    at = np.flatnonzero(ids.values.to_numpy() == vec_id)
+                    yield pa.RecordBatch.from_arrays([pa.array(Graph.from_bytes(data.as_py()).x[at].tolist(), pa.list_(pa.float64()))], ["v"])
 
-def _sharded(vectors: DataFrame, shards: int) -> DataFrame:
-    return vectors.select(F.pmod("vec_id", F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+        found = self.shards().where(F.array_contains("ids", F.lit(vec_id).cast("long"))).select("ids", "graph").mapInArrow(run, "v array<double>").limit(1).collect()
+        if not found:
+            raise IndexError(vec_id)
+        return found[0][0]
 
 
 def adjacency_expand(frontier: DataFrame, links: DataFrame, level: int) -> DataFrame:

@@ -1,21 +1,20 @@
 """A collection of chunked documents: add, delete, replace, stats, integrity, versioned snapshots.
 
-A version is a folder of Parquet tables and a manifest; the pointer file names the current one and is replaced
-last, so readers see a whole version or the one before. Writers are single, as versions are numbered.
+A version adds a folder of Parquet tables, a segment, and its manifest names the segments it consists of. Adding
+documents writes the new segment only, as new ids come after all others; deleting and replacing write all anew, and
+so does an addition that would be segment number ``SEGMENTS + 1``.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashedEmbedder, with_embedding
-from ..sources.storage import Files, written
+from ..sources.storage import Versions, digest, joined_digest, written
 from .retrieval import MAX_WORDS, OVERLAP, ask, chunk_documents
 
-FORMAT = 1
+FORMAT, SEGMENTS = 1, 64
 
 
 class DocumentNotFound(KeyError):
@@ -68,25 +67,26 @@ class Corpus:
 
     TABLES = ("documents", "chunks", "vectors")
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, max_words: int = MAX_WORDS, overlap: int = OVERLAP, read_only: bool = False):
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder or HashedEmbedder()
-        self.max_words, self.overlap, self.read_only, self.files = max_words, overlap, read_only, Files(spark)
-        self.state = {"format": FORMAT, "version": 0, "next_doc_id": 0, "embedder": getattr(self.embedder, "identity", {"type": type(self.embedder).__name__}), "batches": [], "rows": {}}
-        if self.files.exists(f"{self.path}/CURRENT"):
-            self._load()
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, max_words: int = MAX_WORDS, overlap: int = OVERLAP, read_only: bool = False, verify: bool = True):
+        """``verify`` reads all tables once and holds them against the manifest and the constraints."""
+        self.spark, self.versions, self.embedder = spark, Versions(spark, path), embedder or HashedEmbedder()
+        self.path, self.max_words, self.overlap, self.read_only = self.versions.path, max_words, overlap, read_only
+        self.state = {"format": FORMAT, "version": 0, "next_doc_id": 0, "embedder": getattr(self.embedder, "identity", {"type": type(self.embedder).__name__}), "batches": [], "segments": [], "rows": {t: [0, 0] for t in self.TABLES}}
+        self._load(verify)
 
-    def _load(self) -> None:
+    def _load(self, verify: bool) -> None:
         try:
-            version = int(self.files.read(f"{self.path}/CURRENT"))
-            state = json.loads(self.files.read(f"{self.path}/v={version}/manifest.json"))
-            if state["format"] != FORMAT or state["version"] != version:
-                raise CorruptSnapshot("another format or version than the pointer says")
+            if (state := self.versions.current()) is None:
+                return
+            if state["format"] != FORMAT:
+                raise CorruptSnapshot("another format")
             if state["embedder"] != self.state["embedder"]:
                 raise CorruptSnapshot(f"made with {state['embedder']}, not {self.state['embedder']}")
             self.state = state
+            if not verify:
+                return
             for t in self.TABLES:
-                n, digest = self._digest(self.table(t))
-                if [n, digest] != state["rows"][t]:
+                if digest(self.table(t)) != state["rows"][t]:
                     raise CorruptSnapshot(f"table {t} isn't what the manifest says")
             bad = [r for r in integrity(self.table("documents"), self.table("chunks")).collect() if r.violations]
             top = self.table("documents").agg(F.max("doc_id")).first()[0]
@@ -97,17 +97,12 @@ class Corpus:
         except Exception as e:
             raise CorruptSnapshot(str(e)) from e
 
-    @staticmethod
-    def _digest(df: DataFrame) -> tuple[int, int]:
-        r = df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
-        return r[0], r[1]
-
     SCHEMAS = {"documents": "doc_id long, title string, n_chunks long", "chunks": "chunk_id long, doc_id long, doc_title string, ordinal int, text string", "vectors": "chunk_id long, embedding array<float>"}
 
     def table(self, name: str) -> DataFrame:
-        if not self.state["version"]:
+        if not self.state["segments"]:
             return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/v={self.state['version']}/{name}")
+        return self.spark.read.schema(self.SCHEMAS[name]).parquet(*[f"{self.versions.folder(v)}/{name}" for v in self.state["segments"]])
 
     def documents(self) -> DataFrame:
         return self.table("documents").orderBy("doc_id")
@@ -115,21 +110,20 @@ class Corpus:
     def chunks(self) -> DataFrame:
         return self.table("chunks")
 
-    def _commit(self, documents: DataFrame, rows: DataFrame, next_doc_id: int, batch_id=None) -> None:
-        """``rows`` are chunks with their embedding; ids are dealt anew by (doc_id, ordinal)."""
+    def _commit(self, documents: DataFrame, rows: DataFrame, next_doc_id: int, batch_id=None, append: bool = False) -> None:
+        """``rows`` are chunks with their embedding. ``append``: they and ``documents`` come after all that is held."""
         version = self.state["version"] + 1
-        folder = f"{self.path}/v={version}"
-        self.files.delete(folder)
-        full = dense_ids(rows, ["doc_id", "ordinal"], "chunk_id")
+        folder = self.versions.fresh(version)
+        full = dense_ids(rows, ["doc_id", "ordinal"], "chunk_id", self.state["rows"]["chunks"][0] if append else 0)
         full.select("chunk_id", "doc_id", "doc_title", "ordinal", "text").write.parquet(f"{folder}/chunks")
         full.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(f"{folder}/vectors")
         chunks = self.spark.read.schema(self.SCHEMAS["chunks"]).parquet(f"{folder}/chunks")
         documents.select("doc_id", "title").join(chunk_counts(documents, chunks), "doc_id").write.parquet(f"{folder}/documents")
-        state = self.state | {"version": version, "next_doc_id": next_doc_id, "batches": (self.state["batches"] + ([batch_id] if batch_id is not None else []))[-1000:]}
-        read = {t: self.spark.read.schema(self.SCHEMAS[t]).parquet(f"{folder}/{t}") for t in self.TABLES}
-        state["rows"] = {t: list(self._digest(df)) for t, df in read.items()}
-        self.files.put(f"{folder}/manifest.json", json.dumps(state, sort_keys=True))
-        self.files.put(f"{self.path}/CURRENT", str(version))
+        state = self.state | {"version": version, "next_doc_id": next_doc_id, "batches": (self.state["batches"] + ([batch_id] if batch_id is not None else []))[-1000:], "segments": self.state["segments"] * append + [version]}
+        state["rows"] = {t: digest(self.spark.read.schema(self.SCHEMAS[t]).parquet(f"{folder}/{t}")) for t in self.TABLES}
+        if append:
+            state["rows"] = {t: joined_digest(self.state["rows"][t], own) for t, own in state["rows"].items()}
+        self.versions.commit(state)
         self.state = state
 
     def _guard(self) -> None:
@@ -150,8 +144,10 @@ class Corpus:
             return
         start = self.state["next_doc_id"]
         new = written(dense_ids(docs.select(F.trim("title").alias("title"), "text"), ["title", "text"], "doc_id", start), "new-documents")
-        rows = self._held().unionByName(self._chunked(new))
-        self._commit(self.table("documents").select("doc_id", "title").unionByName(new.select("doc_id", "title")), rows, start + new.count(), batch_id)
+        titles, rows, after = new.select("doc_id", "title"), self._chunked(new), start + new.count()
+        if append := len(self.state["segments"]) < SEGMENTS:
+            return self._commit(titles, rows, after, batch_id, append)
+        self._commit(self.table("documents").select("doc_id", "title").unionByName(titles), self._held().unionByName(rows), after, batch_id)
 
     def _found(self, ids: DataFrame) -> None:
         missing = ids.select("doc_id").join(self.table("documents"), "doc_id", "left_anti").limit(1).collect()

@@ -7,16 +7,15 @@ distance, then id.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import first_not_finite, metric_name, wrong_width
+from ..sources.storage import scratch
 
-BLOCK = 4096
+BLOCK, HITS = 4096, "qid long, vec_id long, distance double, rank int"
 
 
 def validate_vectors(df: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -50,58 +49,94 @@ def pair_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1, n))
 
 
-def best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest of each row by (distance, id)."""
-    if d.shape[1] > 4 * k:
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        keep = np.flatnonzero((d <= cut).any(0))
-        return keep[np.lexsort((np.broadcast_to(ids[keep], (len(d), len(keep))), d[:, keep]), axis=1)[:, :k]]
-    return np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+class Best:
+    """The k nearest of each query by (distance, id), gathered from blocks of distances."""
+
+    def __init__(self, queries: int, k: int):
+        self.n, self.k, self.worst = queries, k, np.full(queries, np.inf)
+        self.q, self.i, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, d: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """``d``: a row for each query, or for those in ``rows`` only; distances that aren't finite never count."""
+        rows = np.arange(self.n) if rows is None else rows
+        limit = self.worst[rows]
+        if d.shape[1] > self.k and not np.isfinite(limit).all():
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        at, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        if not len(at):
+            return
+        q, i, d = np.concatenate([self.q, rows[at]]), np.concatenate([self.i, ids[col]]), np.concatenate([self.d, d[at, col]])
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        first = np.searchsorted(q, np.arange(self.n))
+        keep = np.arange(len(q)) - first[q] < self.k
+        self.q, self.i, self.d = q[keep], i[keep], d[keep]
+        held = np.bincount(self.q, minlength=self.n)
+        full = held == self.k
+        self.worst[full] = self.d[(np.cumsum(held) - 1)[full]]
+
+    def batch(self, qid: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qid[self.q]), pa.array(self.i), pa.array(self.d)], ["qid", "vec_id", "distance"])
+
+
+def in_blocks(queries: DataFrame, query_id: str = "qid", vec_col: str = "embedding", size: int = BLOCK):
+    """Lists of at most ``size`` pairs (id, vector); the driver reads one partition at a time."""
+    rows = []
+    for r in queries.select(F.col(query_id).cast("long"), F.col(vec_col)).where(F.col(vec_col).isNotNull()).toLocalIterator():
+        rows.append((r[0], r[1]))
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def by_blocks(spark: SparkSession, blocks, search) -> DataFrame:
+    """``search(block)`` of every block of queries, as one table.
+
+    A single block stays a plan. With more, each block's hits are written to the shared folder before the next
+    but one is read, so neither the driver's memory nor the plan grows with the queries.
+    """
+    now, after = next(blocks, None), next(blocks, None)
+    if now is None:
+        return spark.createDataFrame([], HITS)
+    if after is None:
+        return search(now)
+    folder = scratch(spark, "hits")
+    while now is not None:
+        search(now).write.mode("append").parquet(folder)
+        now, after = after, next(blocks, None)
+    return spark.read.schema(HITS).parquet(folder)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows."""
+    """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows, null vectors none."""
     metric, spark = metric_name(metric), corpus.sparkSession
-    schema = "qid long, vec_id long, distance double"
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
-        return spark.createDataFrame([], schema + ", rank int")
-    blocks, rows = [], []
-    for r in queries.select(F.col(query_id).cast("long"), F.col(vec_col)).toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    if rows:
-        blocks.append(rows)
-    side = corpus.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+        return spark.createDataFrame([], HITS)
+    side = corpus.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where("v is not null")
 
     def search(rows):
         handle = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
         def run(batches):
             qid, q = handle.value
-            held_d, held_i = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), np.int64)
+            held, step = Best(len(qid), k), max(2048, 2_000_000 // len(qid))
             for b in batches:
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-                for s in range(0, len(ids), 2048):
-                    own = ids[s : s + 2048]
-                    d = pair_distances(q, x[s : s + 2048], metric)
+                for s in range(0, len(ids), step):
+                    own = ids[s : s + step]
+                    d = pair_distances(q, x[s : s + step], metric)
                     if exclude_self:
                         d[qid[:, None] == own[None, :]] = np.inf
-                    top = best(d, own, k)
-                    held_d = np.concatenate([held_d, np.take_along_axis(d, top, 1)], 1)
-                    held_i = np.concatenate([held_i, own[top]], 1)
-                    order = np.lexsort((held_i, held_d), axis=1)[:, :k]
-                    held_d, held_i = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_i, order, 1)
-            keep = np.isfinite(held_d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, keep.sum(1))), pa.array(held_i[keep]), pa.array(held_d[keep])], ["qid", "vec_id", "distance"])
-
-        return side.mapInArrow(run, schema)
-
-    found = reduce(DataFrame.unionByName, map(search, blocks)) if blocks else spark.createDataFrame([], schema)
-    return ranked(found, k)
+                    held.add(d, own)
+            yield held.batch(qid)
+
+        return ranked(side.mapInArrow(run, "qid long, vec_id long, distance double"), k)
+
+    return by_blocks(spark, in_blocks(queries, query_id, vec_col, block), search)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

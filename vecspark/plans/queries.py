@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import HashedEmbedder, hashed_weights, with_embedding
 from ..functions.text import document_problems, query_problems, tokens
-from ..functions.vectors import dot, levels, norm, normalized
+from ..functions.vectors import dot, levels, norm, normalized, register
 from ..operators import ann
 from ..operators.corpus import Corpus, chunk_counts, dense_ids, integrity, stats, without
-from ..operators.knn import knn, recall, validate_vectors
+from ..operators.knn import by_blocks, in_blocks, knn, recall, validate_vectors
 from ..operators.retrieval import ask, chunk_documents, cited_sources, extractive_answers, format_sources, retrieve
 from ..sources.storage import scratch, table, written
 from ..sources.text_files import generated_vectors, text_files
@@ -133,6 +133,17 @@ def pairwise_dot(spark, d):
     return v.join(b, "vec_id").select("vec_id", "next_id", F.round(dot("embedding", "e"), 6).alias("dot"))
 
 
+@query("SELECT a.vec_id, round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS l2, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def sql_vector_functions(spark, d):
+    register(spark)
+    return spark.sql(
+        """SELECT a.vec_id, round(vector_norm(a.embedding), 6) AS norm, round(vector_dot(a.embedding, b.embedding), 6) AS dot,
+        round(vector_l2(a.embedding, b.embedding), 6) AS l2, round(vector_cosine(a.embedding, b.embedding), 6) AS cosine
+        FROM {v} a JOIN {v} b ON b.vec_id = a.vec_id + 1""",
+        v=vectors(spark, d).withColumn("embedding", F.col("embedding").cast("array<double>")),
+    )
+
+
 @query("""SELECT CAST(vec_id AS BIGINT) AS vec_id, problem, CAST(position AS BIGINT) AS position FROM (VALUES (-1, 'dimension', NULL), (-2, 'non_finite', 1), (-3, 'non_finite', 63)) AS t(vec_id, problem, position)""")
 def validate_dim_finite(spark, d):
     bad = spark.sql("""select * from values (-1L, array(1.0f)), (-2L, concat(array(0f, float('nan')), array_repeat(0f, 62))), (-3L, concat(array_repeat(0f, 63), array(float('inf')))) as t(vec_id, embedding)""")
@@ -332,17 +343,6 @@ def entry_point(spark, d):
     return node_levels(spark, d).agg(F.min_by(F.struct("vec_id", "level"), F.struct(-F.col("level"), "vec_id")).alias("e")).select("e.*")
 
 
-def blocks_of(q: DataFrame, size: int = 4096):
-    rows = []
-    for r in q.toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
 def truth(spark, d):
     v = vectors(spark, d)
     return v, knn(v, asked(v), K, "cosine")
@@ -354,19 +354,12 @@ def recall_exact_vs_exact(spark, d):
     return recall(t, t, K)
 
 
-def union(parts):
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 def ivf_hits(spark, d):
     v = vectors(spark, d)
     cells = max(4, math.isqrt(v.count()))
     centroids = ann.train_cells(v, min(cells, 1024))
     index = written(ann.assign_cells(v, centroids).repartition("cell").sortWithinPartitions("cell"), "cells")
-    return union(ann.ivf_search(index, centroids, b, K, max(4, len(centroids) * 3 // 4)) for b in blocks_of(asked(v)))
+    return by_blocks(spark, in_blocks(asked(v)), lambda rows: ann.ivf_search(index, centroids, rows, K, max(4, len(centroids) * 3 // 4)))
 
 
 @query()
@@ -380,28 +373,33 @@ def recall_lsh(spark, d):
     return recall(t, ann.lsh_search(v.select("vec_id", "embedding"), asked(v), K, DIM, tables=24, bits=4), K)
 
 
-def shards(v: DataFrame, rows: int = 2000) -> int:
-    return max(1, -(-v.count() // rows))
+def graph_index(spark, d):
+    return ann.GraphIndex(spark, scratch(spark, "graphs"), DIM).add(vectors(spark, d))
 
 
 @query()
 def recall_hnsw(spark, d):
     v, t = truth(spark, d)
-    n = shards(v)
-    return recall(t, union(ann.graph_search(v, b, n, DIM, K) for b in blocks_of(asked(v))), K)
+    return recall(t, graph_index(spark, d).search(asked(v), K), K)
 
 
 @query()
 def graph_degree_caps(spark, d):
-    v = vectors(spark, d)
-    links = ann.graph_links(v, shards(v), DIM)
-    return links.groupBy("level").agg(F.max(F.size("neighbors")).alias("max_degree"), F.count("*").alias("nodes"))
+    return graph_index(spark, d).links().groupBy("level").agg(F.max(F.size("neighbors")).alias("max_degree"), F.count("*").alias("nodes"))
 
 
 @query()
 def adjacency_expand(spark, d):
-    v = vectors(spark, d)
-    return ann.adjacency_expand(asked(v).select(F.col("qid").alias("node")), ann.graph_links(v, shards(v), DIM), 0)
+    return ann.adjacency_expand(asked(vectors(spark, d)).select(F.col("qid").alias("node")), graph_index(spark, d).links(), 0)
+
+
+@query("SELECT count(*) AS n, 64 AS dim FROM embeddings")
+def graph_snapshot_roundtrip(spark, d):
+    """Vectors of an index that was added to twice, stored, opened again and read back from its shards."""
+    v, path = vectors(spark, d), scratch(spark, "graphs")
+    ann.GraphIndex(spark, path, DIM, m=8, ef_construction=32).add(v.where("vec_id % 3 <> 0")).add(v.where("vec_id % 3 = 0"))
+    found = ann.GraphIndex(spark, path)
+    return found.shards().agg(F.sum(F.size("ids")).alias("n")).withColumn("dim", F.lit(found.dim))
 
 
 @query()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +71,44 @@ class Files:
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
+
+
+class Versions:
+    """Numbered states of a folder: a version's data is written first, then its manifest, then the pointer to it.
+
+    Readers see a whole version or the one before. There is one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.files = path.rstrip("/"), Files(spark)
+
+    def folder(self, version: int) -> str:
+        return f"{self.path}/v={version}"
+
+    def fresh(self, version: int) -> str:
+        """The folder of a version to be written, without what an earlier attempt left."""
+        self.files.delete(self.folder(version))
+        return self.folder(version)
+
+    def current(self) -> dict | None:
+        if not self.files.exists(f"{self.path}/CURRENT"):
+            return None
+        version = int(self.files.read(f"{self.path}/CURRENT"))
+        state = json.loads(self.files.read(f"{self.folder(version)}/manifest.json"))
+        if state["version"] != version:
+            raise ValueError("the manifest is of another version than the pointer says")
+        return state
+
+    def commit(self, state: dict) -> None:
+        self.files.put(f"{self.folder(state['version'])}/manifest.json", json.dumps(state, sort_keys=True))
+        self.files.put(f"{self.path}/CURRENT", str(state["version"]))
+
+
+def digest(df: DataFrame) -> list[int]:
+    """Count of the rows and a sum of their hashes that doesn't depend on their order; digests of parts add up."""
+    r = df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
+    return [r[0], r[1]]
+
+
+def joined_digest(a: list[int], b: list[int]) -> list[int]:
+    return [a[0] + b[0], a[1] ^ b[1]]

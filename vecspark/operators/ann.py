@@ -135,45 +135,69 @@ class Graph:
                         heapq.heappop(kept)
         return sorted((-d, i) for d, i in kept)
 
-    def _diverse(self, found: list[tuple[float, int]], m: int) -> list[int]:
-        """Nearest first, keep what is nearer to the node than to all kept; fill up with the nearest left out."""
-        if len(found) <= m:
-            return [i for _, i in found]
-        kept, spare = [], []
-        for d, i in found:
+    def _diverse(self, ids: np.ndarray, d: np.ndarray, m: int) -> list[int]:
+        """Of candidates in order, keep what is nearer to the node than to all kept; fill up with the nearest left out."""
+        if len(ids) <= m:
+            return ids.tolist()
+        x = self.x[ids]
+        near = x @ x.T
+        if self.metric == "cosine":
+            near = 1 - near
+        else:
+            sq = np.diagonal(near)
+            near = sq[:, None] + sq[None, :] - 2 * near
+        closer = np.packbits(near < d[None, :], axis=1, bitorder="little")  # of a kept one: whom it shuts out
+        kept, spare, shut = [], [], 0
+        for c in range(len(ids)):
+            if shut >> c & 1:
+                spare.append(c)
+                continue
+            kept.append(c)
             if len(kept) == m:
                 break
-            (kept if not kept or (self._far(self.x[i], kept) >= d).all() else spare).append(i)
-        return kept + spare[: m - len(kept)]
+            shut |= int.from_bytes(closer[c].tobytes(), "little")
+        return ids[kept + spare[: m - len(kept)]].tolist()
 
     def build(self, x: np.ndarray) -> "Graph":
-        """Insert the rows of ``x`` after those held; in one call or in many, the graph is the same."""
+        """Insert the rows of ``x`` after those held; in one call or in many, the graph is the same.
+
+        Candidates are the nearest of all earlier nodes, not a beam's finds: shards are small enough to be scanned.
+        """
         x = np.asarray(x, np.float64).reshape(len(x), self.dim)
         x = (_unit(x) if self.metric == "cosine" else x).astype(np.float32).astype(np.float64)
         start = len(self)
         self.x = np.concatenate([self.x, x])
+        sq = (self.x * self.x).sum(1)
+        upper = [[i for i, own in enumerate(self.links) if len(own) > layer] for layer in range(self.top + 1)]
         for n, level in zip(range(start, len(self.x)), levels(np.arange(start, len(self.x)), self.seed, self.m).tolist()):
             level = min(level, 127)
+            d = self.x[:n] @ self.x[n]
+            d = 1 - d if self.metric == "cosine" else np.maximum(sq[:n] + sq[n] - 2 * d, 0)
             self.links.append([[] for _ in range(level + 1)])
-            q = self.x[n]
-            if self.entry >= 0:
-                at = [(float(self._far(q, [self.entry])[0]), self.entry)]
-                for layer in range(self.top, level, -1):
-                    at = self._beam(q, at, 1, layer)[:1]
-                for layer in range(min(level, self.top), -1, -1):
-                    at = self._beam(q, at, self.efc, layer)
-                    self.links[n][layer] = self._diverse(at, self.m)
-                    cap = self.cap(layer)
-                    for j in self.links[n][layer]:
-                        own = self.links[j][layer]
-                        own.append(n)
-                        if len(own) > cap:
-                            order = sorted(zip(self._far(self.x[j], own).tolist(), own))
-                            self.links[j][layer] = self._diverse(order, cap)
+            for layer in range(min(level, self.top), -1, -1):
+                ids = np.array(upper[layer]) if layer else np.arange(n)
+                self.links[n][layer] = self._select(ids, d[ids], self.m)
+                cap = self.cap(layer)
+                for j in self.links[n][layer]:
+                    own = self.links[j][layer]
+                    own.append(n)
+                    if len(own) > cap:
+                        own = np.array(own)
+                        self.links[j][layer] = self._select(own, self._far(self.x[j], own), cap)
             if level > self.top:
                 self.entry, self.top = n, level
+                upper += [[] for _ in range(level + 1 - len(upper))]
+            for layer in range(1, level + 1):
+                upper[layer].append(n)
         return self
 
+    def _select(self, ids: np.ndarray, d: np.ndarray, m: int) -> list[int]:
+        if len(ids) > max(self.efc, m + 1):
+            near = np.argpartition(d, self.efc - 1)[: self.efc]
+            ids, d = ids[near], d[near]
+        order = np.lexsort((ids, d))
+        return self._diverse(ids[order], d[order], m)
+
     def cap(self, layer: int) -> int:
         return self.m * (1 if layer else 2)
 
@@ -244,7 +268,8 @@ def graph_shards(vectors: DataFrame, shards: int, dim: int, metric: str = "cosin
         return pa.table({"shard": t.column("shard")[:1].cast(pa.int32()), "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())), "graph": pa.array([g.to_bytes()], pa.binary())})
 
     rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return rows.where("embedding is not null").groupBy("shard").applyInArrow(build, SHARDS)
+    tasks = min(shards, max(4 * vectors.sparkSession.sparkContext.defaultParallelism, shards // 16))  # a stated number isn't coalesced
+    return rows.where("embedding is not null").repartition(tasks, "shard").groupBy("shard").applyInArrow(build, SHARDS)
 
 
 def shard_links(index: DataFrame) -> DataFrame:
@@ -271,10 +296,10 @@ def shard_search(index: DataFrame, queries: list[tuple[int, list[float]]], k: in
         for b in batches:
             for ids, data in zip(b.column("ids"), b.column("graph")):
                 g, ids = Graph.from_bytes(data.as_py()), ids.values.to_numpy()
-                for n, (_, v) in enumerate(handle.value):
-                    if hits := g.search(v, k, ef):
-                        d, i = zip(*hits)
-                        held.add(np.array([d]), ids[list(i)], np.array([n]))
+                hits = [(n, i, d) for n, (_, v) in enumerate(handle.value) for d, i in g.search(v, k, ef)]
+                if hits:
+                    n, i, d = map(np.array, zip(*hits))
+                    held.merge(n, ids[i], d)
         yield held.batch(qid)
 
     return ranked(index.select("ids", "graph").mapInArrow(run, "qid long, vec_id long, distance double"), k)

@@ -63,9 +63,12 @@ class Best:
         if d.shape[1] > self.k and not np.isfinite(limit).all():
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
         at, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        if not len(at):
-            return
-        q, i, d = np.concatenate([self.q, rows[at]]), np.concatenate([self.i, ids[col]]), np.concatenate([self.d, d[at, col]])
+        if len(at):
+            self.merge(rows[at], ids[col], d[at, col])
+
+    def merge(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
+        """Hits as three columns: the query's row, the id, the distance."""
+        q, i, d = np.concatenate([self.q, q]), np.concatenate([self.i, i]), np.concatenate([self.d, d])
         order = np.lexsort((i, d, q))
         q, i, d = q[order], i[order], d[order]
         first = np.searchsorted(q, np.arange(self.n))

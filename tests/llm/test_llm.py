@@ -443,6 +443,13 @@ def test_language_id(spark):
     assert kept.columns == [*d.columns, "__vs_x"] and kept.where("doc_id < 0").count() == 0
 
 
+def test_training_rows_do_not_depend_on_partitions_or_repeats(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = langid.train(d.repartition(1), ~langid.held_out(), per_language=11, max_rows=40)
+    many = langid.train(d.unionByName(d).repartition(17), ~langid.held_out(), per_language=11, max_rows=40)  # each row twice
+    assert (few.top == many.top).all() and all((w == many.pairs[k]).all() for k, w in few.pairs.items())
+
+
 def test_unlabelled_rows_are_undetermined(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}

@@ -4,8 +4,9 @@ Hashed character n-grams (1 to 3) of letters feed linear support vector machines
 descent: one for each language family against the rest, then one for each pair of languages within a family.
 A text's family is decided first, its language by the pairs' votes within it.
 
-Training takes, of each language, the ``per_language`` labelled rows of least XXH64 of their id and ``max_rows``
-in all (a documented bound for the classifier alone); prediction covers every row, whole texts.
+Training takes, of each language, the ``per_language`` labelled ids of least XXH64 and ``max_rows`` in all (a
+documented bound for the classifier alone; of a repeated id the row of least language and text); prediction covers
+every row, whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no labelled row everything is
 ``und``; with one language all texts with letters are of it; ties go to the language first in the alphabet;
@@ -140,10 +141,16 @@ def _by_blocks(texts: list[str | None], chars: int = 2_000_000, rows: int = 256)
 def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows for which the condition ``train_rows`` holds."""
     rows = docs.where(train_rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    keys = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    # Hashes are spread evenly, so of a language's n ids those in the lowest (2 * per_language + 200) / n of the range
+    # hold the per_language least. Only they are shuffled. Of more than max_rows languages the first ones matter alone.
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").limit(max_rows)
+    low = keys.join(F.broadcast(sizes), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") < 2 * per_language + 200)
     w = Window.partitionBy("lang").orderBy("h", "id")
-    picked = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    picked = picked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language).orderBy("k", "lang").limit(max_rows).select("id").distinct()
+    picked = low.select("lang", "id", "h").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
+    picked = picked.orderBy("k", "lang").limit(max_rows).select("id").distinct()
     chosen = rows.join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi")  # at most max_rows ids
+    chosen = chosen.groupBy(F.col(id_col)).agg(F.min(F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))).alias("x"))
 
     def run(batches):
         for b in batches:
@@ -154,7 +161,7 @@ def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
                 ok = x.any(1)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, o in zip(part, ok) if o], pa.string()), pa.array([r.tobytes() for r in x[ok].astype(np.float32)], pa.binary())], ["lang", "x"])
 
-    got = chosen.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, x binary").limit(2 * max_rows).collect()
+    got = chosen.select("x.t", "x.lang").mapInArrow(run, "lang string, x binary").limit(max_rows).collect()
     got.sort()
     return Model(np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64).reshape(len(got), DIMS), [r[0] for r in got])
 

@@ -231,6 +231,14 @@ def library():
 ODD = ["Σας ΟΔΟΣ İ", "<|endoftext|>a<|startoftext|>", "a\x1cb\x85c", "ﬁ½²³ Ⅷ 日本語", "x" * 3000, "'S 'LL it's", "​q", "<|", "🎉🎉 ok👍🏽", "é é", "中" * 300]
 
 
+def test_words_of_any_code_points_equal_the_library(library):
+    r = random.Random(5)
+    code = lambda: r.choice([r.randrange(0x300), r.randrange(0x3000), r.randrange(0xD800), r.randrange(0xE000, 0x110000)])
+    texts = ["".join(chr(code()) for _ in range(r.randrange(1, 60))) for _ in range(3000)]
+    for text, ids in zip(texts, bpe.Encoder(bpe.vocabulary(bpe.default_vocabulary()), lambda ids: ids).texts(texts)):
+        assert [i for w in ids for i in w] == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_encoding_equals_the_library(spark, docs, rows, library):
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)

@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding of whole texts (operator 9), equal to the tokenizers library.
 
 A text is split at its special tokens, normalised (NFC, lower case) and cut into words by the vocabulary
-file's pattern. Words meet, in this order: a bounded memo of the worker; the lexicon, a minimal acyclic
+file's pattern: texts beyond Latin letters by the library's own Unicode tables. Words meet, in this order: a bounded memo of the worker; the lexicon, a minimal acyclic
 transducer of the corpus's frequent words whose arcs add up to a word's number and so to its ids, kept in
 one file that workers map into memory; and for unseen words the exact merges, done for many words at once.
 
@@ -23,7 +23,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +36,6 @@ _L = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _S = "\t-\r \u0085 "
 FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-FULL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 BEYOND = re.compile("[ƀ-\U0010ffff]")
 
 
@@ -61,6 +60,9 @@ class Vocabulary:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: The library's own normaliser and pattern, for texts beyond Latin letters: its Unicode tables are newer than Python's.
+        self.normal = tokenizers.Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer
+        self.cut = tokenizers.pre_tokenizers.Split(tokenizers.Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         self.tokens = [""] * (max([*vocab.values(), *self.specials.values()]) + 1)
         for s, i in [*vocab.items(), *self.specials.items()]:
             self.tokens[i] = s
@@ -105,14 +107,13 @@ class Vocabulary:
             return out
         return self._words(text)
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower case without regard to the word's end
-                text = text.replace("Σ", "σ")
-        text = text.lower()
-        return (FULL if BEYOND.search(text) else FAST).findall(text)
+    def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return FAST.findall(text.lower())
+        low = unicodedata.normalize("NFC", text).lower()
+        if BEYOND.search(text) or BEYOND.search(low):
+            return [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
+        return FAST.findall(low)
 
     def merge_one(self, word: str) -> list[int]:
         """The ids of one word, by a heap of its possible merges."""

@@ -18,8 +18,10 @@ import json
 import mmap
 import os
 import re
+import sys
 import tempfile
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from ._common import drop_written, table, written
 
 END = "</w>"
 NONE = np.int64(1 << 40)
+#: Sizes of the two merge tables: small ones stay in a core's cache.
+FIRST_BITS, SECOND_BITS = 20, 20
 #: Latin letters and numbers below U+0180, as the pattern's \p{L} and \p{N} have them.
 _L = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
@@ -74,9 +78,9 @@ class Vocabulary:
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
         keys = np.array([a << 20 | b for a, b in self.rank], np.int64)
         values = np.array([r << 20 | i for r, i in self.rank.values()], np.int64)
-        self._first, left = self._slots(keys, values, 22, 0x9E3779B97F4A7C15)
+        self._first, left = self._slots(keys, values, FIRST_BITS, 0x9E3779B97F4A7C15)
         for odd in range(0xBF58476D1CE4E5B9, 0xBF58476D1CE4E5B9 + 2000, 2):
-            self._second, rest = self._slots(keys[left], values[left], 20, odd)
+            self._second, rest = self._slots(keys[left], values[left], SECOND_BITS, odd)
             if not rest.any():
                 self._odd = odd
                 break
@@ -92,11 +96,16 @@ class Vocabulary:
 
     def merge_of(self, keys: np.ndarray) -> np.ndarray:
         """Rank and new id, packed, of each packed pair; NONE where the pair never merges."""
-        u = keys.view(np.uint64)
-        at = ((u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-        out = np.where(self._first[0][at] == keys, self._first[1][at], NONE)
-        at = ((u * np.uint64(self._odd)) >> np.uint64(44)).astype(np.int64)
-        return np.where(self._second[0][at] == keys, self._second[1][at], out)
+        shape, keys = keys.shape, np.ascontiguousarray(keys).ravel()
+        u, out = keys.view(np.uint64), np.full(len(keys), NONE)
+        for (k, v), odd, bits in ((self._first, 0x9E3779B97F4A7C15, FIRST_BITS), (self._second, self._odd, SECOND_BITS)):
+            at = (u * np.uint64(odd)) >> np.uint64(64 - bits)
+            hit = np.flatnonzero(k[at] == keys)
+            out[hit] = v[at[hit]]
+        return out.reshape(shape)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(right >= 0, self.merge_of(left << 20 | (right & 0xFFFFF)), NONE)
 
     def words(self, text: str) -> list[str]:
         """The normalised words of ``text``; a special token is a word of its own."""
@@ -108,9 +117,11 @@ class Vocabulary:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii():
+        try:
+            text.encode("latin-1")
             return FAST.findall(text.lower())
-        low = unicodedata.normalize("NFC", text).lower()
+        except UnicodeEncodeError:
+            low = unicodedata.normalize("NFC", text).lower()
         if BEYOND.search(text) or BEYOND.search(low):
             return [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
         return FAST.findall(low)
@@ -162,18 +173,26 @@ class Vocabulary:
             a[:, :longest][np.arange(longest) >= lens[:, None]] = -1
             done = a.copy()
             act, cols = rows, np.arange(longest + 1)
+            best = np.full(a.shape, NONE)  # of each place the merge with its right neighbour
+            best[:, :-1] = self._pairs(a[:, :-1], a[:, 1:])
             while len(act):
-                right = a[:, 1:]
-                best = np.where(right >= 0, self.merge_of(a[:, :-1] << 20 | (right & 0xFFFFF)), NONE)
                 at = best.argmin(1)
                 found = best[np.arange(len(a)), at]
                 on = found < NONE
-                done[act[~on]] = a[~on]
-                act, a, at, found = act[on], a[on], at[on], found[on]
-                if not len(act):
-                    break
-                a = np.take_along_axis(np.concatenate([a, np.full((len(a), 1), -1)], 1), cols + (cols > at[:, None]), 1)
-                a[np.arange(len(a)), at] = found & 0xFFFFF
+                if not on.all():
+                    done[act[~on]] = a[~on]
+                    act, a, best, at, found = act[on], a[on], best[on], at[on], found[on]
+                    if not len(act):
+                        break
+                row = np.arange(len(a))
+                shift = np.minimum(cols + (cols > at[:, None]), longest)
+                a, best = np.take_along_axis(a, shift, 1), np.take_along_axis(best, shift, 1)
+                a[:, -1], best[:, -1] = -1, NONE
+                new = found & 0xFFFFF
+                a[row, at] = new
+                best[row, at] = self._pairs(new, a[row, np.minimum(at + 1, longest)])
+                far = np.flatnonzero(at > 0)
+                best[far, at[far] - 1] = self._pairs(a[far, at[far] - 1], new[far])
             for i, row, n in zip(block, done.tolist(), (done >= 0).sum(1).tolist()):
                 out[i] = row[:n]
         return out
@@ -325,7 +344,7 @@ class Encoder:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
 def frequent_words(docs: DataFrame, text_col: str, vocab_path: str, n: int) -> list[str]:

@@ -111,6 +111,27 @@ def test_near_dedup_keeps_one(spark, docs, rows):
     assert kept.count(100) == 1 and 101 not in kept and 102 not in kept and None in kept and set(range(60)) <= set(kept)
 
 
+def test_near_dedup_finds_similar_texts(spark):
+    r, texts = random.Random(11), []
+    for g in range(150):
+        words = [f"v{r.randrange(5000)}" for _ in range(r.randint(80, 300))]
+        other = list(words)
+        for _ in range(max(1, round(len(words) * r.choice([0.01, 0.02, 0.03, 0.06])))):
+            other[r.randrange(len(words))] = f"x{r.randrange(5000)}"
+        texts += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other).upper())]
+    kept = {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for _, t in texts]
+    alike = {2 * g + 1 for g in range(150) if len(sets[2 * g] & sets[2 * g + 1]) >= 0.8 * len(sets[2 * g] | sets[2 * g + 1])}
+    assert 50 < len(alike) < 140
+    gone = {i for i, _ in texts} - kept
+    assert gone <= alike and len(gone) >= 0.97 * len(alike)
+
+
 # WARC
 
 

@@ -192,15 +192,182 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: that whose id is the group's smallest; of repeated ids one row.
+#: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint, links of a row in a tree before the rest waits.
+WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 16
+#: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
+SHARD, MISSED, TYPICAL = 32, 0.005, 20
+
+
+def shingle_set(data: bytes | None, shingle: int = WORDS) -> np.ndarray:
+    """Sorted 128-bit hashes of the distinct shingles of a UTF-8 text, as rows of two words."""
+    words = (data or b"").lower().split()
+    digest = xxhash.xxh3_128_digest
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.frombuffer(b"".join(sorted(map(digest, grams))), np.uint64).reshape(-1, 2)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The ``BITS``-bit fingerprint of a set of shingles, each counted once."""
+    counts, n = np.zeros(BITS, np.int64), len(hashes)
+    for i in range(0, n, 1 << 15):
+        counts += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(counts * 2 > n).tobytes()
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(doc_id, s1, s2, fp)``: a digest of each row's shingles and its wide fingerprint."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column(1)]
+            s = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            fps = pa.array([wide_fingerprint(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s[:, 0]), pa.array(s[:, 1]), fps], ["doc_id", "s1", "s2", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, s1 long, s2 long, fp binary")
+
+
+def shard_bits(rows: int) -> list[np.ndarray]:
+    """The bits that key each table of shards: more bits for more rows, and as many tables as ``MISSED`` asks for."""
+    k = max(4, int(np.ceil(np.log2(max(rows, 1) / SHARD))))
+    meet = np.prod([(BITS - TYPICAL - i) / (BITS - i) for i in range(k)])
+    rng = np.random.Generator(np.random.PCG64(5))
+    return [rng.choice(BITS, k, replace=False) for _ in range(int(np.ceil(np.log(MISSED) / np.log(1 - meet))))]
+
+
+def _near_links(limit: int | None):
+    def flush(rows, out):
+        if len(rows) < 2 or not any(r[4] for r in rows):
+            return
+        nodes, own, tree = {}, {}, None
+        for fp, node, mine, group, asks in rows:
+            if asks:
+                nodes.setdefault(fp, []).append((node, group))
+            if mine:
+                own.setdefault(fp, []).append((node, group))
+        for fp in sorted(own):
+            if tree is None:
+                tree = BKTree(fp)
+            else:
+                tree.add(fp)
+        for fp, here in nodes.items() if tree is not None else ():
+            near = sorted(((x ^ fp).bit_count(), x) for x in tree.within(fp, NEAR))
+            for node, group in here:
+                k = 0
+                for other, its in (o for _, x in near for o in own[x]):
+                    if other < node and its != group:
+                        if k == limit:
+                            out.append((node, node))  # a loop tells that links are left
+                            break
+                        out.append((node, other))
+                        k += 1
+
+    def run(batches):
+        last, rows = None, []
+        for b in batches:
+            t, key, shard, node, own, group, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "shard", "node", "own", "group", "asks"))
+            fp = [int.from_bytes(x) for x in b.column("fp").to_pylist()]
+            cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(shard) != 0)) + 1
+            cuts, out = [0, *cut.tolist(), len(t)], []
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                k = (t[s], key[s], shard[s])
+                if k != last:
+                    flush(rows, out)
+                    last, rows = k, []
+                rows += zip(*(x[s:e] for x in (fp, node.tolist(), own.tolist(), group.tolist(), asks.tolist())))
+            if out:
+                a = np.unique(np.array(out, np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+        out = []
+        flush(rows, out)
+        if out:
+            a = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+    return run
+
+
+def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int | None = NEIGHBOURS) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of ``(node, fp, group, asks)`` that may be near copies, each once.
+
+    Rows with ``asks`` look for rows of other groups, the nearest ``limit`` in a tree; ``a = b`` tells that more are left.
+    """
+    tables, names = shard_bits(reps.count()), ["fp", "node", "group", "asks"]
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.int64)
+            for t, chosen in enumerate(tables):
+                key = bits[:, chosen] @ (1 << np.arange(len(chosen)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *(b.column(c) for c in names)], ["t", "key", *names])
+
+    rows = reps.select(*names).mapInArrow(deal, "t int, key long, fp binary, node long, group long, asks boolean")
+    large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_shard).select("t", "key", F.ceil(F.col("n") / max_shard).cast("int").alias("g"))
+    rows = rows.join(F.broadcast(large), ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), *names, F.pmod(F.xxhash64("node"), F.col("g")).alias("home"))
+    rows = rows.select("t", "key", "shard", *names, (F.col("home") == F.col("shard")).alias("own"))
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(_near_links(limit), "a long, b long").distinct()
+
+
+def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` whose shingles have a Jaccard similarity of ``least`` or more, by their texts."""
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column(1)], pa.binary())], ["node", "s"])
+
+    def same(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                ok.append(both > 0 and both >= least * (len(x) + len(y) - both))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).join(used, "node", "left_semi")
+    found = written(texts.mapInArrow(sets, "node long, s binary"), "shingles")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, least: float = LEAST, max_shard: int = MAX_SHARD) -> DataFrame:
+    """``(doc_id, component_id)``: groups of texts linked by a shingle similarity of ``least`` or more.
+
+    Texts of equal shingles are folded first. Wide fingerprints find candidates: each table of shards is keyed by some
+    of their bits and searched by BK-trees; the texts of candidates are then compared exactly. Links beyond a row's
+    nearest ones are compared after those, unless both ends are in one group by then.
+    """
+    rows = written(_wide(docs, id_col, text_col, shingle), "fingerprints")
+    reps = written(rows.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "texts")
+    first = reps.withColumn("group", F.col("node")).withColumn("asks", F.lit(True))
+    pairs = written(near_candidates(first, max_shard), "candidates")
+    edges = written(near_pairs(pairs.where("a <> b"), docs, id_col, text_col, shingle, least), "links")
+    labels = connected_components(edges)
+    left = pairs.where("a = b").select(F.col("a").alias("node"), F.lit(True).alias("more"))
+    if left.limit(1).count():  # all of their links to other groups
+        again = reps.join(labels, "node", "left").join(left, "node", "left")
+        again = again.select("fp", "node", F.coalesce("component", "node").alias("group"), F.coalesce("more", F.lit(False)).alias("asks"))
+        rest = written(near_candidates(again, max_shard, None), "candidates")
+        labels = connected_components(edges.unionByName(near_pairs(rest, docs, id_col, text_col, shingle, least)))
+    of_text = reps.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(of_text, ["s1", "s2"], "left").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that whose id is the group's smallest; of repeated ids one row.
 
     Rows with a null id belong to no group and stay.
     """
-    found = simhash_components(docs, **options)
+    found = near_components(docs, id_col, text_col, **options)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__vs_first")).distinct()
-    id_col = options.get("id_col", "doc_id")
-    w = Window.partitionBy("__vs_first").orderBy(F.col(options.get("text_col", "text")))
+    w = Window.partitionBy("__vs_first").orderBy(F.col(text_col))
     kept = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col).cast("long") == F.col("__vs_first"))
     kept = kept.withColumn("__vs_row", F.row_number().over(w)).where("__vs_row = 1").drop("__vs_first", "__vs_row")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -472,6 +472,22 @@ def test_language_id(spark):
     assert kept.columns == [*d.columns, "__vs_x"] and kept.where("doc_id < 0").count() == 0
 
 
+def test_texts_of_no_learned_language_are_dropped(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(4)
+    noise = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(n)) for n in (20, 100, 500)]
+    others = [
+        "Wczoraj wieczorem poszedłem z przyjaciółmi do kina, żeby zobaczyć nowy film, który wszyscy chwalili, ale nam się nie podobał.",
+        "Eilen illalla menin ystävien kanssa elokuviin katsomaan uutta elokuvaa, jota kaikki kehuivat, mutta emme pitäneet siitä lainkaan.",
+        "Вчера вечером я пошёл с друзьями в кино, чтобы посмотреть новый фильм, который все хвалили.",
+        "昨天晚上我和朋友们去电影院看了一部大家都称赞的新电影，但是我们不喜欢。",
+    ]
+    more = spark.createDataFrame([(10_000_000 + 4 * i, t, None) for i, t in enumerate(noise + others)], docs.schema)
+    kept = [x.doc_id for x in langid.filter_language(docs.unionByName(more)).select("doc_id").collect()]
+    assert not [i for i in kept if i >= 10_000_000]
+    assert len(kept) >= 0.97 * docs.count()
+
+
 def test_training_rows_do_not_depend_on_partitions_or_repeats(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     few = langid.train(d.repartition(1), ~langid.held_out(), per_language=11, max_rows=40)

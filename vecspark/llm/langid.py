@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ._common import table
 
 DIMS, PER_LANGUAGE, MAX_ROWS, UND = 2048, 500, 4000, "und"
+#: A text whose n-grams fit its language worse, in deviations of the training rows, is of none of the languages.
+MIN_FIT = -12.0
 #: Well-known families of ISO 639-1 codes; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -87,7 +89,46 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12, seed: in
     return w
 
 
+class Fit:
+    """How well a text's n-grams fit a language: their mean log share in its training rows, in deviations of those rows.
+
+    Unlike the machines' scores this says whether a text is of a language at all, not which of them is nearest. The
+    deviations widen for short texts as those of the training rows do.
+    """
+
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray):
+        lang, share = np.array(langs), x * x
+        every = share.mean(0) + 1e-6 if len(x) else None
+        self.log, self.mid, self.var = {}, {}, {}
+        for k in sorted(set(langs)):
+            own, n = share[lang == k], np.maximum(sizes[lang == k], 1)
+            self.log[k], ll = self._log(own, every), np.zeros(len(own))
+            for part in (0, 1):  # each half by the other, as rows fit shares of their own too well
+                ll[part::2] = own[part::2] @ self._log(own[1 - part :: 2], every)
+            self.mid[k] = float(np.median(ll))
+            far, short = np.abs(ll - self.mid[k]), n <= np.median(n)
+            (u, d), (v, e) = ((np.mean(1 / n[m]), (1.4826 * np.median(far[m])) ** 2) if m.any() else (0.0, 0.0) for m in (short, ~short))
+            slope = max((d - e) / (u - v), 0.0) if u > v else 0.0
+            few = 1 + 30 / len(own)  # of few rows neither the shares nor their spread are well known
+            self.var[k] = (max(e - slope * v, 1e-4) * few, slope * few) if len(own) > 1 else (np.inf, 0.0)
+
+    @staticmethod
+    def _log(rows: np.ndarray, every: np.ndarray) -> np.ndarray:
+        p = rows.sum(0) + 2 * every
+        return np.log(p / p.sum())
+
+    def score(self, x: np.ndarray, langs: list[str], sizes: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -np.inf)
+        for k in set(langs) & set(self.log):
+            m = np.array([g == k for g in langs])
+            a, b = self.var[k]
+            out[m] = ((x[m] * x[m]) @ self.log[k] - self.mid[k]) / np.sqrt(a + b / np.maximum(sizes[m], 1))
+        return out
+
+
 class Model:
+    fit: Fit | None = None
+
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
         self.family = [FAMILY_OF.get(k, f"own:{k}") for k in self.langs]
@@ -159,30 +200,36 @@ def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "
                 x = features(block)
                 part, at = langs[at : at + len(block)], at + len(block)
                 ok = x.any(1)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, o in zip(part, ok) if o], pa.string()), pa.array([r.tobytes() for r in x[ok].astype(np.float32)], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, o in zip(part, ok) if o], pa.string()), pa.array([r.tobytes() for r in x[ok].astype(np.float32)], pa.binary()), pa.array([len(t) for t, o in zip(block, ok) if o], pa.int64())], ["lang", "x", "n"])
 
-    got = chosen.select("x.t", "x.lang").mapInArrow(run, "lang string, x binary").limit(max_rows).collect()
+    got = chosen.select("x.t", "x.lang").mapInArrow(run, "lang string, x binary, n long").limit(max_rows).collect()
     got.sort()
-    return Model(np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64).reshape(len(got), DIMS), [r[0] for r in got])
+    x, langs = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float64).reshape(len(got), DIMS), [r[0] for r in got]
+    model = Model(x, langs)
+    model.fit = Fit(x, langs, np.array([r[2] for r in got], np.int64))
+    return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score; only the text is looked at."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fit_out: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its score (and how well it fits); only the text is looked at."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang string, score double>")
+    @F.pandas_udf("struct<lang string, score double, fit double>")
     def classify(texts):
         import pandas as pd
 
-        langs, scores = [], []
+        langs, scores, fits = [], [], []
         for block in _by_blocks([t if isinstance(t, str) else None for t in texts]):
-            k, s = handle.value.predict(features(block))
+            x = features(block)
+            k, s = handle.value.predict(x)
             langs += k
             scores += s.tolist()
-        return pd.DataFrame({"lang": pd.Series(langs, dtype="object"), "score": pd.Series(scores, dtype="float64")})
+            fits += handle.value.fit.score(x, k, np.array([len(t) for t in block])).tolist() if fit_out else [0.0] * len(k)
+        return pd.DataFrame({"lang": pd.Series(langs, dtype="object"), "score": pd.Series(scores, dtype="float64"), "fit": pd.Series(fits, dtype="float64")})
 
     classify = classify.asNondeterministic()  # keeps it from being computed once for each use
-    return docs.withColumn("__vs_found", classify(F.col(text_col).cast("string"))).withColumn(lang_out, F.col("__vs_found.lang")).withColumn(score_out, F.col("__vs_found.score")).drop("__vs_found")
+    out = docs.withColumn("__vs_found", classify(F.col(text_col).cast("string"))).withColumn(lang_out, F.col("__vs_found.lang")).withColumn(score_out, F.col("__vs_found.score"))
+    return (out.withColumn(fit_out, F.col("__vs_found.fit")) if fit_out else out).drop("__vs_found")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -196,12 +243,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows, model, "t").select("doc_id", "held_out", "lang_pred", "score")
 
 
-def filter_language(docs: DataFrame, min_score: float = 0.2, **columns) -> DataFrame:
-    """``docs`` without those of no language (``und``) or of a score below ``min_score``; their columns as they were."""
+def filter_language(docs: DataFrame, min_score: float = 0.2, min_fit: float = MIN_FIT, **columns) -> DataFrame:
+    """``docs`` without those of no language (``und``), of a score below ``min_score`` or of a fit below ``min_fit``;
+    their columns as they were."""
     id_col = columns.get("id_col", "doc_id")
     model = train(docs, ~held_out(id_col), **columns)
-    found = predict(docs, model, columns.get("text_col", "text"), "__vs_pred", "__vs_score")
-    return found.where((F.col("__vs_pred") != UND) & (F.col("__vs_score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = predict(docs, model, columns.get("text_col", "text"), "__vs_pred", "__vs_score", "__vs_fit")
+    return found.where((F.col("__vs_pred") != UND) & (F.col("__vs_score") >= min_score) & (F.col("__vs_fit") >= min_fit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,6 +456,18 @@ def test_substring_equals_brute_force(spark, docs, rows):
             assert r.text == rows[r.doc_id][1]
 
 
+def test_shared_passages_are_cut_to_their_ends(spark):
+    r, rows, planted = random.Random(9), [], []
+    for i in range(120):
+        words = lambda n: " ".join("".join(r.choices("abcdefghijklmnoéü", k=r.randint(2, 9))) for _ in range(n))
+        passage, ends = words(50), [(words(30), words(30)), (words(40), words(20))]
+        rows += [(2 * i + k, f"{a} {passage} {b}") for k, (a, b) in enumerate(ends)]
+        planted.append((passage, f"{ends[1][0]} {ends[1][1]}"))
+    got = dict(tuple(x) for x in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect())
+    assert all(got[2 * i] == rows[2 * i][1] for i in range(120))
+    assert sum(got[2 * i + 1] == rest for i, (_, rest) in enumerate(planted)) >= 118
+
+
 # Language ID
 
 

@@ -3,7 +3,8 @@
 A gear hash rolls over each text's bytes (its last 16, in vectorised doubling steps); a chunk ends after white
 space where the hash's upper bits are zero, so an insertion moves no boundary beyond its own chunks. Chunks have
 at least ``MIN`` and at most ``MAX`` bytes and are compared by a 128-bit digest. Of equal chunks the first (by
-document id, then place) stays; runs of repeated chunks of at least ``min_run`` bytes are cut out of the texts.
+document id, then place) stays; runs of repeated chunks of at least ``min_run`` bytes are cut out of the texts. With
+``extend`` a run first grows byte by byte to the ends of what it shares with the first occurrence.
 
 Repeated digests are found by a grouped minimum, combined in each task, and joined back to the chunks; no group
 of copies meets in one task and no pairs are made.
@@ -21,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 
 MIN, MAX, BITS, WINDOW, MIN_RUN = 16, 256, 3, 16, 64
+MARKS = 1 << 26
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,8 +83,11 @@ def chunk_ends(texts: list[bytes], block: int = 8 << 20):
             start += len(t) + WINDOW
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(d1, d2, doc, key, start, stop)`` of each chunk; ``key`` tells texts of one id apart."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked=None) -> DataFrame:
+    """``(d1, d2, doc, key, start, stop)`` of each chunk; ``key`` tells texts of one id apart.
+
+    With ``marked``, a broadcast bit map, chunks whose bit isn't set are left out.
+    """
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
     names = ["d1", "d2", "doc", "key", "start", "stop"]
 
@@ -100,7 +105,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             d = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
             at = pa.array(np.repeat(np.arange(len(texts)), n))
             cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), b.column("doc").take(at), b.column("key").take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(zip(names, kinds))))
+            out = pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(zip(names, kinds))))
+            if marked is not None:
+                at = d[:, 0] & (MARKS - 1)
+                out = out.filter(pa.array((marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
     return rows.mapInArrow(run, "d1 long, d2 long, doc long, key long, start int, stop int")
@@ -115,6 +124,90 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
+def _marks(again: DataFrame) -> np.ndarray:
+    """A bit map of ``MARKS`` bits with those of the digests set."""
+
+    def packed(batches):
+        for b in batches:
+            maps = []
+            for x in b.column(1):
+                bits = np.zeros(1 << 15, np.uint8)
+                bits[x.values.to_numpy()] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.binary())], ["part", "bits"])
+
+    at = F.col("d1").bitwiseAND(MARKS - 1)
+    parts = again.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND((1 << 15) - 1).cast("int").alias("p")).groupBy("part").agg(F.collect_set("p"))
+    out = np.zeros(MARKS >> 3, np.uint8)
+    for part, bits in parts.mapInArrow(packed, "part long, bits binary").collect():  # MARKS / 8 bytes in all at most
+        out[part << 12 : (part + 1) << 12] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def extended_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, key, spans)``: chunks that occur earlier, joined where their first occurrences touch too, with the bytes
+    beside the first occurrence.
+
+    The bytes reach as far as the later text has bytes that are in no such span, so nothing that could match is left out.
+    """
+    found = chunks(docs, id_col, text_col)
+    again = found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "key", "start")).alias("at"), F.max(F.struct("doc", "key", "start")).alias("last"))
+    again = written(again.where(F.col("at") != F.col("last")).select("d1", "d2", "at"), "repeated")
+    # chunks that surely don't repeat aren't shuffled again; the join decides on the others
+    later = chunks(docs, id_col, text_col, docs.sparkSession.sparkContext.broadcast(_marks(again))).join(again, ["d1", "d2"]).where(~F.struct("doc", "key", "start").eqNullSafe(F.col("at")))
+    later = later.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop", F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.start").alias("sstart"))).alias("c"))
+    names = ["doc", "key", "start", "stop", "before", "after", "sdoc", "skey", "sstart"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32()]
+
+    def joined(batches):
+        for b in batches:
+            out = []
+            for doc, key, c in zip(*(x.to_pylist() for x in b.columns)):
+                mine = []
+                for x in sorted(c, key=lambda x: x["start"]):
+                    last = mine[-1] if mine else None
+                    if last and last[1] == x["start"] and last[2:4] == [x["sdoc"], x["skey"]] and last[4] - last[0] == x["sstart"] - x["start"]:
+                        last[1] = x["stop"]
+                    else:
+                        mine.append([x["start"], x["stop"], x["sdoc"], x["skey"], x["sstart"]])
+                ends, starts = [0, *(m[1] for m in mine)], [*(m[0] for m in mine[1:]), 2**31 - 1]
+                out += [(doc, key, m[0], m[1], m[0] - e, n - m[1], *m[2:]) for m, e, n in zip(mine, ends, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 9, kinds)], names)
+
+    spans = later.mapInArrow(joined, "doc long, key long, start int, stop int, before int, after int, sdoc long, skey long, sstart int")
+    size = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("k"), F.octet_length(F.col(text_col).cast("string")).alias("size"))
+    spans = spans.join(size, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k").withColumn("after", F.least("after", F.col("size") - F.col("stop")))
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
+    beside = spans.join(texts, F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("skey") == F.col("k")))
+    left = F.expr("substring(t, greatest(sstart - before, 0) + 1, least(before, sstart))").alias("left")
+    right = F.expr("substring(t, sstart + (stop - start) + 1, after)").alias("right")
+    return beside.select("doc", "key", F.struct("start", "stop", left, right).alias("span")).groupBy("doc", "key").agg(F.collect_set("span").alias("spans"))
+
+
+def _within_word(raw: bytes, at: int) -> bool:
+    """Whether ``at`` lies within a character, or between two letters or digits of a script that parts words."""
+    if 0 < at < len(raw):
+        if raw[at] & 0xC0 == 0x80:
+            return True
+        a, b = raw[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], raw[at : at + 4].decode("utf-8", "ignore")[:1]
+        return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+    return False
+
+
+def extended(raw: bytes, start: int, stop: int, left: bytes, right: bytes) -> tuple[int, int]:
+    """The span grown byte by byte while the bytes beside it equal those beside its first occurrence, to whole words."""
+    a, b, n, m = start, stop, len(left), 0
+    while n and a and left[n - 1] == raw[a - 1]:
+        a, n = a - 1, n - 1
+    while m < len(right) and b < len(raw) and right[m] == raw[b]:
+        b, m = b + 1, m + 1
+    while a < start and (_within_word(raw, a) or _SPACE[raw[a]]):
+        a += 1
+    while b > stop and _within_word(raw, b):
+        b -= 1
+    return a, b
+
+
 def runs(spans: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
     """Spans in order, joined where they touch, without those shorter than ``min_run``."""
     out: list[list[int]] = []
@@ -126,11 +219,14 @@ def runs(spans: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if e - s >= min_run]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, spans_out: str | None = None) -> DataFrame:
-    """``docs`` with repeated passages cut out of the text; ``spans_out`` names a column for what was cut."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, spans_out: str | None = None, extend: bool = False) -> DataFrame:
+    """``docs`` with repeated passages cut out of the text; ``spans_out`` names a column for what was cut.
+
+    With ``extend`` passages are cut to their real ends, else by whole chunks; ``min_run`` holds for what is cut.
+    """
     names = docs.columns
     rows = docs.withColumn("__vs_doc", F.col(id_col).cast("long")).withColumn("__vs_key", F.xxhash64(text_col))
-    found = repeated_spans(docs, id_col, text_col).select(F.col("doc").alias("__vs_d"), F.col("key").alias("__vs_k"), F.col("spans").alias("__vs_spans"))
+    found = (extended_spans if extend else repeated_spans)(docs, id_col, text_col).select(F.col("doc").alias("__vs_d"), F.col("key").alias("__vs_k"), F.col("spans").alias("__vs_spans"))
     rows = rows.join(found, F.col("__vs_doc").eqNullSafe(F.col("__vs_d")) & (F.col("__vs_key") == F.col("__vs_k")), "left").drop("__vs_d", "__vs_k", "__vs_doc", "__vs_key")
 
     @F.pandas_udf("struct<text string, spans array<struct<start:int,stop:int>>>")
@@ -139,9 +235,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         out, gone = [], []
         for t, s in zip(texts, spans):
-            found = runs([(x["start"], x["stop"]) for x in s], min_run) if s is not None and isinstance(t, str) else []
+            raw = t.encode() if s is not None and isinstance(t, str) else b""
+            found = runs([extended(raw, *(x[k] for k in ("start", "stop", "left", "right"))) if extend else (x["start"], x["stop"]) for x in s], min_run) if raw else []
             if found:
-                raw, at, left = t.encode(), 0, []
+                at, left = 0, []
                 for a, b in found:
                     left.append(raw[at:a])
                     at = b
@@ -160,4 +257,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs, spans_out="removed")
+    return substring_dedup(docs, spans_out="removed", extend=True)

@@ -10,7 +10,8 @@ every row, whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no labelled row everything is
 ``und``; with one language all texts with letters are of it; ties go to the language first in the alphabet;
-repeated rows get equal results; an empty table gives an empty result; other columns are not read.
+repeated rows get equal results; labelled rows of a null id are not learned from; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ class Model:
         return [self.langs[i] if ok else UND for i, ok in zip(best, lettered)], np.where(lettered, np.round(sure * within, 6), 0.0)
 
 
-def _by_blocks(texts: list[str | None], chars: int = 2_000_000, rows: int = 256):
+def _by_blocks(texts: list[str | None], chars: int = 500_000, rows: int = 256):
     block, size = [], 0
     for t in texts:
         if block and (size + len(t or "") > chars or len(block) == rows):
@@ -182,16 +183,17 @@ def _by_blocks(texts: list[str | None], chars: int = 2_000_000, rows: int = 256)
 def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows for which the condition ``train_rows`` holds."""
     rows = docs.where(train_rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    keys = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("__vs_id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     # Hashes are spread evenly, so of a language's n ids those in the lowest (2 * per_language + 200) / n of the range
     # hold the per_language least. Only they are shuffled. Of more than max_rows languages the first ones matter alone.
     sizes = keys.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").limit(max_rows)
     low = keys.join(F.broadcast(sizes), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") < 2 * per_language + 200)
-    w = Window.partitionBy("lang").orderBy("h", "id")
-    picked = low.select("lang", "id", "h").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
-    picked = picked.orderBy("k", "lang").limit(max_rows).select("id").distinct()
-    chosen = rows.join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi")  # at most max_rows ids
-    chosen = chosen.groupBy(F.col(id_col)).agg(F.min(F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))).alias("x"))
+    w = Window.partitionBy("lang").orderBy("h", "__vs_id")
+    picked = low.select("lang", "__vs_id", "h").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language)
+    picked = picked.orderBy("k", "lang").limit(max_rows).select("__vs_id").distinct()
+    slim = rows.select(F.col(id_col).alias("__vs_own"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
+    chosen = slim.join(F.broadcast(picked), F.col("__vs_own") == F.col("__vs_id"), "left_semi")  # at most max_rows ids
+    chosen = chosen.groupBy("__vs_own").agg(F.min(F.struct("lang", "t")).alias("x"))
 
     def run(batches):
         for b in batches:

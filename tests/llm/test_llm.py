@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("vecspark.llm")
 from vecspark.llm import audio, bpe, chat, hpylm, langid, packing, quality, simhash, substring, warc  # noqa: E402
@@ -228,16 +229,39 @@ def test_resampler_and_segments():
     assert audio.segments(np.full(5, -3.0)) == []
 
 
-def test_fixed_shape_tensors(spark, docs):
+def test_fixed_shape_tensors(spark, docs, rows):
     import pyarrow as pa
 
     folder = scratch(spark, "tensors")
-    files = audio.write_tensors(audio.feature_patches(docs), folder).collect()
-    path = folder.removeprefix("file://")
-    table = pa.ipc.open_file(f"{path}/{files[0].file}").read_all()
+    index = audio.store_tensors(audio.store_media(docs), folder)
+    table = pa.concat_tables(pa.ipc.open_file(f"{folder.removeprefix('file://')}/{f}").read_all() for (f,) in index.select("file").distinct().collect())
     assert table.schema.field("mel").type.shape == [audio.PATCH, audio.MELS]
-    assert table.column("mel").chunk(0).to_numpy_ndarray().shape[1:] == (audio.PATCH, audio.MELS)
     assert all(s < e for s, e in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist()))
+    assert table.num_rows == sum(r.patches for r in index.collect())
+    text = {r[0]: audio.padded((r[1] or "").encode()) for r in rows}
+    for doc in (3, 202):
+        part = table.filter(pa.compute.equal(table["doc_id"], doc)).sort_by("start_s").combine_chunks()
+        mel, energy = audio.log_mel(text[doc])
+        got = part["mel"].chunk(0).to_numpy_ndarray().reshape(-1, audio.MELS)
+        assert np.abs(got[: len(mel)] / 4 - np.clip(mel, -32, 31.75)).max() <= 0.1251 and (got[len(mel) :] == audio.FLOOR).all()
+        assert sum(part["segments"].to_pylist(), []) == [x for pair in audio.segments(energy) for x in pair]
+
+
+def test_log_mel_by_definition_and_in_any_blocks():
+    data = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8).tobytes()
+    x = (np.frombuffer(data, np.uint8) - 128.0) / 128
+    h = np.zeros(32)
+    h[:] = audio.phases(audio.UP, audio.DOWN)[0]
+    slow = np.array([sum(h[k] * x[2 * i - k] for k in range(32) if 2 * i - k >= 0) for i in range(2500)])
+    whole = audio.log_mel(data)
+    for f in (0, 1, 7, len(whole[0]) - 1):
+        frame = slow[f * audio.HOP : f * audio.HOP + audio.FRAME]
+        power = np.array([abs(sum(frame * np.hanning(audio.FRAME + 1)[:-1] * np.exp(-2j * np.pi * b * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for b in range(audio.FRAME // 2 + 1)])
+        assert np.allclose(np.log(power @ audio.mel_bank() + 1e-6), whole[0][f], atol=2e-3)
+        assert math.isclose(10 * math.log10((frame**2).mean() + 1e-10), whole[1][f], abs_tol=1e-3)
+    for block in (256, 1024, 4096):
+        part = audio.log_mel(data, block)
+        assert all(a.shape == b.shape and np.allclose(a, b, atol=1e-4) for a, b in zip(whole, part))
 
 
 # Packing and BPE
@@ -507,6 +531,14 @@ def test_training_rows_do_not_depend_on_partitions_or_repeats(spark):
     assert (few.top == many.top).all() and all((w == many.pairs[k]).all() for k, w in few.pairs.items())
 
 
+def test_columns_named_like_its_own(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = d.unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("id", "h", "n", "k", "t", "x", "__vs_found_"):
+        odd = odd.withColumn(name, F.col("source"))
+    assert langid.filter_language(odd).columns == odd.columns and langid.identify(odd).count() == d.count() + 1
+
+
 def test_unlabelled_rows_are_undetermined(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}

@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vecspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,11 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vecspark-{uuid.uuid4().hex}-{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -1,14 +1,15 @@
 """Audio features of media columns (operator 4).
 
-Bytes are stored as mono 8-bit samples in a RIFF/WAVE container and read back from it. Features: a polyphase
-resampler (Hann-windowed sinc, split in its phases), overlapped Hann frames, log-mel filterbanks, and energy
-segmentation with hysteresis: a segment starts above the upper threshold and ends below the lower one. Patches
-of the log-mel matrix have a fixed shape and carry their time spans; ``write_tensors`` stores them as Arrow
-fixed-shape tensors.
-
-Every text is computed alone and in blocks at fixed places, so equal texts give equal values and memory is
-bounded for any length. Defined cases: null text counts as empty; empty text is padded like any other, to 192
-spaces; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
+Bytes are stored as mono 8-bit samples in RIFF/WAVE files, a column of a table in the shared folder, and read back.
+Features: a polyphase resampler (Hann-windowed sinc, split in its phases), overlapped Hann frames, log-mel filterbanks,
+and energy segmentation with hysteresis: a segment starts above the upper threshold and ends below the lower one.
+Patches of the log-mel matrix have a fixed shape; they are stored with their time spans and segments as Arrow
+fixed-shape tensors in the shared folder, and the digest is computed from what is read back of them.
+
+Every text is computed alone, in blocks over which filter and frames go on, so equal texts give equal values, the
+blocks' size changes nothing and the arithmetic's memory is bounded for any length. Defined cases: null text counts as
+empty; empty text is padded like any other, to 192 spaces; repeated rows give repeated results; a null id stays null;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import drop_written, scratch, table, written
 
 PAD, RATE, UP, DOWN, FRAME, HOP, MELS, PATCH = 192, 16_000, 1, 2, 256, 128, 32, 64
 BLOCK = 1 << 20  # samples in a block; a multiple of DOWN * HOP
+STEP_S = HOP * DOWN / (RATE * UP)  # seconds from frame to frame
+STEPS, FLOOR = 4, round(4 * float(np.log(1e-6)))  # stored values a unit of the logarithm, and that of silence
 
 
 def padded(data: bytes) -> bytes:
@@ -61,11 +64,14 @@ def phases(up: int, down: int, half: int = 8) -> np.ndarray:
     return np.ascontiguousarray(taps.reshape(-1, up).T.astype(np.float32))
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """``x`` at ``up / down`` times its rate: each output uses the taps of its own phase only."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, before: np.ndarray | None = None) -> np.ndarray:
+    """``x`` at ``up / down`` times its rate: each output uses the taps of its own phase only.
+
+    ``before``: the samples ahead of ``x``, a filter's length less one; silence by default.
+    """
     h = phases(up, down)
     taps = h.shape[1]
-    x = np.concatenate([np.zeros(taps - 1, np.float32), x])
+    x = np.concatenate([np.zeros(taps - 1, np.float32) if before is None else before, x])
     n = -(-(len(x) - taps + 1) * up // down)
     y = np.zeros(n, np.float32)
     for first in range(up):  # outputs first, first + up, ... share a phase
@@ -95,20 +101,22 @@ def hann(n: int = FRAME) -> np.ndarray:
     return np.hanning(n + 1)[:-1].astype(np.float32)
 
 
-def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel matrix (frames, mels) and each frame's energy in dB."""
-    mel, energy, carry = [], [], np.zeros(0, np.float32)
-    for s in range(0, len(samples), BLOCK):
-        x = (np.frombuffer(samples[s : s + BLOCK], np.uint8).astype(np.float32) - 128) / 128
-        carry = np.concatenate([carry, resample(x)])
-        last = s + BLOCK >= len(samples)
-        if last and len(carry) < FRAME:
+def log_mel(samples: bytes, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel matrix (frames, mels) and each frame's energy in dB; the filter and the frames go on over blocks."""
+    mel, energy, carry, before = [], [], np.zeros(0, np.float32), np.zeros(phases(UP, DOWN).shape[1] - 1, np.float32)
+    for s in range(0, len(samples), block):
+        x = (np.frombuffer(samples[s : s + block], np.uint8).astype(np.float32) - 128) / 128
+        carry = np.concatenate([carry, resample(x, before=before)])
+        before = np.concatenate([before, x])[-len(before) :]
+        last = s + block >= len(samples)
+        if last and len(carry) < FRAME and not mel:
             carry = np.pad(carry, (0, FRAME - len(carry)))
-        n = 1 + (len(carry) - FRAME) // HOP
-        frames = np.lib.stride_tricks.sliding_window_view(carry, FRAME)[::HOP][:n]
-        power = np.abs(np.fft.rfft(frames * hann(), axis=1)).astype(np.float32) ** 2
-        mel.append(np.log(power @ mel_bank() + 1e-6))
-        energy.append(10 * np.log10((frames * frames).mean(1) + 1e-10))
+        n = max(0, 1 + (len(carry) - FRAME) // HOP)
+        if n:
+            frames = np.lib.stride_tricks.sliding_window_view(carry, FRAME)[::HOP][:n]
+            power = np.abs(np.fft.rfft(frames * hann(), axis=1)).astype(np.float32) ** 2
+            mel.append(np.log(power @ mel_bank() + 1e-6))
+            energy.append(10 * np.log10((frames * frames).mean(1) + 1e-10))
         carry = carry[n * HOP :]
     return np.concatenate(mel), np.concatenate(energy)
 
@@ -120,92 +128,156 @@ def segments(energy: np.ndarray, up: float = 1.0, down: float = -1.0) -> list[tu
     at = np.maximum.accumulate(np.where(mark != 0, np.arange(len(mark)), -1))
     on = np.concatenate([[False], np.where(at >= 0, mark[at], -1) > 0, [False]])
     edges = np.flatnonzero(on[1:] != on[:-1])
-    step = HOP * DOWN / (RATE * UP)
-    return [(float(a * step), float(b * step)) for a, b in zip(edges[::2], edges[1::2])]
+    return [(float(a * STEP_S), float(b * STEP_S)) for a, b in zip(edges[::2], edges[1::2])]
 
 
 def patches(mel: np.ndarray, patch: int = PATCH) -> tuple[np.ndarray, np.ndarray]:
-    """Fixed-shape patches (n, patch, mels), the last padded with the floor, and their spans (s)."""
+    """Fixed-shape patches (n, patch, mels) in quarter steps of the logarithm, the last padded with the floor, and
+    the frames that each covers, from and to."""
     n = -(-len(mel) // patch)
-    out = np.full((n * patch, mel.shape[1]), np.log(1e-6), np.float32)
-    out[: len(mel)] = mel
-    step = HOP * DOWN / (RATE * UP)
+    out = np.full((n * patch, mel.shape[1]), FLOOR, np.int8)
+    out[: len(mel)] = np.clip(np.rint(mel * STEPS), -128, 127)
     starts = np.arange(n) * patch
-    spans = np.stack([starts, np.minimum(starts + patch, len(mel))], 1) * step
-    return out.reshape(n, patch, mel.shape[1]), spans
+    return out.reshape(n, patch, mel.shape[1]), np.stack([starts, np.minimum(starts + patch, len(mel))], 1)
 
 
-def feature(samples: bytes) -> str:
-    """A digest of the features: frames, segments and their length, mean of four mel bands, and a CRC-32 of the quantised matrix."""
-    mel, energy = log_mel(samples)
-    spans = segments(energy)
-    bands = mel.reshape(len(mel), 4, -1).mean((0, 2))
-    q = np.clip(np.rint(mel * 4), -128, 127).astype(np.int8)
-    return f"frames={len(mel)};segments={len(spans)};active={sum(b - a for a, b in spans):.3f};bands={','.join(f'{x:.2f}' for x in bands)};crc={zlib.crc32(q.tobytes()):08x}"
+def feature(cube: np.ndarray, frames: int, spans: list[tuple[float, float]]) -> str:
+    """A digest of stored features: frames, segments and their length, mean of four mel bands, CRC-32 of the matrix."""
+    q = cube.reshape(-1, cube.shape[-1])[:frames]
+    bands = q.reshape(frames, 4, -1).mean((0, 2)) / STEPS
+    return f"frames={frames};segments={len(spans)};active={sum(b - a for a, b in spans):.3f};bands={','.join(f'{x:.2f}' for x in bands)};crc={zlib.crc32(q.tobytes()):08x}"
 
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as audio, read it back, and return digests of both and of the features."""
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_bytes, media)``: each text as a WAVE file, written to the shared folder and read from it."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for blob in b.column(1):
-                data = blob.as_buffer().to_pybytes() if blob.is_valid else b""
-                media = to_wave(padded(data))
-                back = from_wave(media)
-                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
-            cols = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds))], names)
+            for s in range(0, b.num_rows, 500):
+                raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1)[s : s + 500]]
+                media = pa.array([to_wave(padded(x)) for x in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0)[s : s + 500], pa.array([len(x) for x in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    return written(docs.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
 
 
-def feature_patches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each fixed-shape patch: ``doc_id, patch, start_s, end_s, mel`` (row-major floats)."""
+def _disk(folder: str):
+    from pyarrow import fs
 
-    def run(batches):
-        for b in batches:
-            for doc, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                cube, spans = patches(log_mel(padded(blob.as_buffer().to_pybytes() if blob.is_valid else b""))[0])
-                n = len(cube)
-                mel = pa.FixedSizeListArray.from_arrays(pa.array(cube.reshape(-1)), PATCH * MELS).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), mel], ["doc_id", "patch", "start_s", "end_s", "mel"])
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return docs.mapInArrow(run, "doc_id long, patch int, start_s double, end_s double, mel array<float>")
+
+class TensorFile:
+    """An Arrow file of ``ROWS`` patches a batch: ``doc_id, start_s, end_s, segments`` and the fixed-shape ``mel``.
+
+    ``segments`` holds starts and ends of the energy segments that start within the patch.
+    """
+
+    ROWS = 1024
+    KIND = pa.fixed_shape_tensor(pa.int8(), (PATCH, MELS))
+    SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("segments", pa.list_(pa.float64())), ("mel", KIND)])
+
+    def __init__(self, disk, path: str):
+        self.sink = disk.open_output_stream(path, compression=None)
+        self.out = pa.ipc.new_file(self.sink, self.SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.rows: list[list] = [[] for _ in self.SCHEMA]
+        self.n = 0
+
+    def add(self, doc, cube: np.ndarray, at: np.ndarray, spans: list[tuple[float, float]]) -> None:
+        own: list[list[float]] = [[] for _ in cube]
+        for a, b in spans:
+            own[int(round(a / STEP_S)) // PATCH] += [a, b]
+        for mel, (a, b), seg in zip(cube, at.tolist(), own):
+            for col, x in zip(self.rows, (doc, a * STEP_S, b * STEP_S, seg, mel)):
+                col.append(x)
+            self.n += 1
+            if len(self.rows[0]) == self.ROWS:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.rows[0]:
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x.reshape(-1) for x in self.rows[4]])), PATCH * MELS)
+            cols = [pa.array(x, f.type) for x, f in zip(self.rows[:4], self.SCHEMA)]
+            self.out.write_batch(pa.RecordBatch.from_arrays([*cols, pa.ExtensionArray.from_storage(self.KIND, flat)], schema=self.SCHEMA))
+            self.rows = [[] for _ in self.SCHEMA]
+
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+        self.sink.close()
 
 
-def write_tensors(patch_rows: DataFrame, folder: str) -> DataFrame:
-    """Write patches as Arrow files whose ``mel`` column is a fixed-shape tensor; ``(file, patches)``."""
+INDEX = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, file string, first long, patches long"
+
+
+def store_tensors(media: DataFrame, folder: str) -> DataFrame:
+    """Read stored WAVE files, compute their features and write them as tensor files in ``folder``.
+
+    Gives each file's digests and the place of its patches. A repeated task leaves a tensor file that no row names.
+    """
 
     def run(batches):
         import uuid
 
-        from pyarrow import fs
-
-        disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        disk, root = _disk(folder)
         disk.create_dir(root, recursive=True)
-        kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
-        name, n, out = f"{uuid.uuid4().hex}.arrow", 0, None
+        name, file = f"{uuid.uuid4().hex}.arrow", None
         for b in batches:
-            flat = b.column("mel").flatten()
-            tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS))
-            rows = pa.RecordBatch.from_arrays([*b.columns[:4], tensor], ["doc_id", "patch", "start_s", "end_s", "mel"])
-            if out is None:
-                sink = disk.open_output_stream(f"{root}/{name}", compression=None)
-                out = pa.ipc.new_file(sink, rows.schema)
-            out.write_batch(rows)
-            n += len(rows)
-        if out is not None:
-            out.close()
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "patches"])
-
-    return patch_rows.mapInArrow(run, "file string, patches long")
+            file = file or TensorFile(disk, f"{root}/{name}")
+            rows = []
+            for doc, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                media = blob.as_buffer().to_pybytes()
+                back = from_wave(media)
+                mel, energy = log_mel(back)
+                first = file.n
+                file.add(doc, *patches(mel), segments(energy))
+                rows.append((doc, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), name, first, file.n - first))
+            cols = list(zip(*rows)) or [[]] * 10
+            text = pa.string()
+            kinds = [pa.int64(), pa.int64(), pa.int64(), text, pa.int64(), pa.int64(), text, text, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [x.split()[0] for x in INDEX.split(", ")])
+        if file:
+            file.close()
+
+    return written(media.mapInArrow(run, INDEX), "tensor-index")
+
+
+def read_features(index: DataFrame, folder: str) -> DataFrame:
+    """Each row's digest of the features, from its patches in the tensor files."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def run(batches):
+        disk, root = _disk(folder)
+        name, file, held = None, None, (-1, None)
+        for b in batches:
+            out = []
+            for f, first, n in zip(*(b.column(c).to_pylist() for c in ("file", "first", "patches"))):
+                if f != name:
+                    name, file, held = f, pa.ipc.open_file(disk.open_input_file(f"{root}/{f}")), (-1, None)
+                cube, spans, frames, at = [], [], 0, first
+                while at < first + n:
+                    k, r = divmod(at, TensorFile.ROWS)
+                    if held[0] != k:
+                        held = (k, file.get_batch(k))
+                    part = held[1].slice(r, min(TensorFile.ROWS - r, first + n - at))
+                    cube.append(part.column("mel").to_numpy_ndarray())
+                    spans += [x for own in part.column("segments").to_pylist() for x in own]
+                    frames = round(part.column("end_s")[-1].as_py() / STEP_S)
+                    at += len(part)
+                out.append(feature(np.concatenate(cube), frames, list(zip(spans[::2], spans[1::2]))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.string())], [*names, "feature"])
+
+    return index.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store each text as audio, and its features as tensors; digests of both, read from what is stored."""
+    folder = scratch(docs.sparkSession, "tensors")
+    media = store_media(docs, id_col, text_col)
+    index = store_tensors(media, folder)
+    drop_written(media)
+    return read_features(index, folder)
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

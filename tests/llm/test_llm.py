@@ -308,6 +308,7 @@ def test_lexicon_shares_suffixes():
 
 def test_packing(spark, docs, rows, library):
     twice = docs.unionByName(docs.where("doc_id = 202"))
+    assert packing.best_fit_packing(docs).count() > 0
     got = packing.best_fit_packing(twice, capacity=256).collect()
     want = Counter()
     for i, t, *_ in [*rows, next(r for r in rows if r[0] == 202)]:
@@ -349,10 +350,36 @@ def test_plan_is_valid_and_tight(seed):
             assert o == at
             at += x
         assert at <= 2048
-    assert n == len(fill) <= math.ceil(sum(x * c for x, c in hist.items()) / 2048) * 1.03 + 2
+    assert n == len(fill) <= math.ceil(sum(x * c for x, c in hist.items()) / 2048) * 1.005 + 2
     assert packing.plan({}) == ([], 0)
 
 
+def test_configurations_place_most_large_pieces(monkeypatch):
+    r = random.Random(8)
+    hist = dict(Counter(min(2048, max(1, int(r.lognormvariate(6.3, 0.9)))) for _ in range(6000)))
+    told: dict = {}
+    rows, n = packing.plan(hist, count=told)
+    assert told["grouped"] >= 0.7 * told["large"] and told["grouped"] >= 2 * told["sequences"]
+    together = lambda rows: {(seq, off): x for x, _, k, seq, off in rows}
+    monkeypatch.setattr(packing, "configurations", lambda *a: [])
+    alone, least = packing.plan(hist)
+    assert together(alone) != together(rows) and n <= 1.002 * least
+
+
+def test_configurations_are_optimal():
+    from itertools import product
+
+    sizes, demand, capacity = [60, 45, 33], [40, 60, 90], 100
+    got = packing.configurations(sizes, demand, capacity)
+    for g in range(3):
+        assert math.isclose(sum(p[g] * k for p, k in got), demand[g], abs_tol=1e-6)
+    every = [p for p in product(range(4), repeat=3) if 0 < sum(a * b for a, b in zip(p, sizes)) <= capacity]
+    prices = np.linalg.solve(np.array([p for p, _ in got], float), np.ones(3))  # no configuration is worth more than a sequence
+    assert all(np.dot(p, prices) <= 1 + 1e-6 for p in every)
+    with pytest.warns(UserWarning, match="may not be optimal"):
+        packing.configurations(sizes, demand, capacity, rounds=1)
+
+
 # Quality
 
 

@@ -3,10 +3,11 @@
 Documents become ids and an end id; only those longer than a sequence are cut. What is planned is the
 histogram of piece lengths, which has at most ``capacity`` rows however many documents there are:
 
-1. lengths above ``small`` are sorted and cut into groups of equal cardinality, each rounded up to its largest;
+1. lengths above a ``SMALL``-th of a sequence (whole sequences aside) are sorted and cut into groups of equal
+   cardinality, each rounded up to its largest;
 2. a linear programme over configurations (column generation with a knapsack) packs these few sizes;
-3. the configurations, rounded down, take the groups' actual documents for all slots but their smallest,
-   which the next step fills better as it knows the room that actual lengths leave;
+3. the configurations, rounded down, take actual documents for all their slots: the largest of a slot's group, and
+   for the last slot the largest that the actual lengths of the others leave room for, of its group or above;
 4. everything else is placed best-fit, by decreasing length, into the room left or into new sequences.
 
 The plan maps ranges of ranks within a length to ranges of sequences. Ranks are dealt without gathering a
@@ -18,8 +19,9 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import warnings
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from ._common import shuffle_partitions, table, written
 from .bpe import Encoder, default_vocabulary, packed, vocabulary
 
-CAPACITY, GROUPS, SMALL, END_ID = 2048, 32, 2048 // 3, 0
+#: A piece is small up to the ``SMALL``-th part of a sequence.
+CAPACITY, GROUPS, SMALL, END_ID = 2048, 64, 6, 0
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab_path: str | None = None) -> DataFrame:
@@ -54,38 +57,54 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def best_configuration(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of greatest price that fits (an unbounded knapsack), and its price."""
+    value = np.zeros(capacity + 1)
+    for size, p in zip(sizes, price.tolist()):
+        if p > 1e-12:
+            for _ in range(capacity // size):
+                more = np.maximum(value[size:], value[:-size] + p)
+                if (more == value[size:]).all():
+                    break
+                value[size:] = more
+    chosen, c = np.zeros(len(sizes), int), int(np.argmax(value >= value[capacity] - 1e-12))
+    while value[c] > 1e-12:
+        for g, (size, p) in enumerate(zip(sizes, price.tolist())):
+            if p > 1e-12 and size <= c and value[c - size] + p >= value[c] - 1e-12:
+                chosen[g] += 1
+                c -= size
+                break
+        else:
+            c -= 1
+    return float(chosen @ price), chosen
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """Configurations of the sizes and how often each is used, by the linear programme's optimum."""
+    """Configurations of the sizes and how often each is used, by the linear programme's optimum.
+
+    A basis is valid in any round; should ``rounds`` not suffice for the proof that none is better, a warning says so.
+    """
     n, size, want = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag(capacity // size).astype(float)
     for _ in range(rounds):
         price = np.linalg.solve(basis.T, np.ones(n))
-        value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):
-            fits = size <= c
-            got = np.where(fits, value[np.maximum(c - size, 0)] + price, -1)
-            k = int(got.argmax())
-            if got[k] > value[c - 1] + 1e-12:
-                value[c], choice[c] = got[k], k
-            else:
-                value[c], choice[c] = value[c - 1], -1
-        if value[capacity] <= 1 + 1e-7:
+        worth, new = best_configuration(sizes, price, capacity)
+        if worth <= 1 + 1e-7:
             break
-        new, c = np.zeros(n), capacity
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-            else:
-                new[choice[c]] += 1
-                c -= sizes[choice[c]]
-        amount, enter = np.linalg.solve(basis, want), np.linalg.solve(basis, new)
+        amount, enter = np.linalg.solve(basis, want), np.linalg.solve(basis, new.astype(float))
         ratio = np.where(enter > 1e-9, amount / np.where(enter > 1e-9, enter, 1), np.inf)
         basis[:, int(ratio.argmin())] = new
+    else:
+        warnings.warn(f"configurations of {n} sizes may not be optimal after {rounds} rounds", stacklevel=2)
     return list(zip(basis.T.round().astype(int), np.linalg.solve(basis, want)))
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows ``(length, first rank, count, first sequence, offset)`` and the number of sequences."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None, count: dict | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Rows ``(length, first rank, count, first sequence, offset)`` and the number of sequences.
+
+    ``count`` is told how many pieces configurations placed (``grouped``) and in how many sequences (``sequences``).
+    """
+    small = capacity // SMALL if small is None else small
     rows: list[tuple[int, int, int, int, int]] = []
     used = dict.fromkeys(histogram, 0)
     opened = 0
@@ -103,59 +122,63 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                 insort(keys, left)
             room[left].append((seq, n))
 
-    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if x > small and histogram[x]]
+    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if small < x < capacity and histogram[x]]
     total = sum(n for _, n in large)
-    queues: list[list[list[int]]] = []
+    stock = dict(large)
+    lengths = sorted(stock)  # those with pieces left
+    grouped = 0
+
+    def largest(limit, taken):
+        """The greatest length up to ``limit`` of which a piece is left beside those taken."""
+        i = bisect_right(lengths, limit) - 1
+        while i >= 0 and stock[lengths[i]] <= taken.get(lengths[i], 0):
+            i -= 1
+        return lengths[i] if i >= 0 else 0
+
     if total:
-        card, here = -(-total // groups), 0
-        for x, n in large:
+        card, here, sizes, least, demand = -(-total // groups), 0, [], [], []
+        for x, n in large:  # groups of equal cardinality, by decreasing length; a length's pieces may be of several
             while n:
-                if not queues or here == card:
-                    queues.append([])
+                if not sizes or here == card:
                     here = 0
+                    if not sizes or sizes[-1] != x:  # groups that round to the same size are one
+                        sizes.append(x)
+                        least.append(x)
+                        demand.append(0)
                 k = min(n, card - here)
-                queues[-1].append([x, k])
+                least[-1], demand[-1] = x, demand[-1] + k
                 n, here = n - k, here + k
-        joined: list[list[list[int]]] = []
-        for q in queues:  # groups that round to the same size are one
-            if joined and joined[-1][0][0] == q[0][0]:
-                joined[-1] += q
-            else:
-                joined.append(q)
-        queues = joined
-        for pattern, times in configurations([q[0][0] for q in queues], [sum(n for _, n in q) for q in queues], capacity):
+        for pattern, times in configurations(sizes, demand, capacity):
             slots = [g for g, k in enumerate(pattern) for _ in range(k)]
             m = int(times + 1e-6)
-            for g in set(slots):
-                m = min(m, sum(n for _, n in queues[g]) // int(pattern[g]))
-            slots.pop()  # groups go from large to small: the last slot is the smallest
-            while slots and m > 0:
-                run, took = m, {}
-                for g in slots:
-                    took[g] = took.get(g, 0) + 1
-                for g, k in took.items():  # all of a group's slots take the head's length while it lasts
-                    run = min(run, max(1, queues[g][0][1] // k))
-                seq, fill = opened, 0
-                for g in slots:
-                    need = run
-                    while need:
-                        x, n = queues[g][0]
-                        k = min(n, need)
-                        if k < need and run > 1:
-                            raise AssertionError("a run spans lengths")
-                        put(x, k, seq, fill)
-                        queues[g][0][1] -= k
-                        if not queues[g][0][1]:
-                            queues[g].pop(0)
-                        need -= k
+            while m > 0:
+                picked, taken, fill = [], {}, 0
+                for j, g in enumerate(slots):
+                    x = largest(sizes[g] if j < len(slots) - 1 else capacity - fill, taken)
+                    if x < least[g]:
+                        break
+                    picked.append(x)
+                    taken[x] = taken.get(x, 0) + 1
+                    fill += x
+                if not picked or len(picked) < len(slots):
+                    break  # too few of a group's pieces are left; the next step places what remains
+                run = min(m, *(stock[x] // k for x, k in taken.items()))
+                fill = 0
+                for x in picked:
+                    put(x, run, opened, fill)
                     fill += x
+                for x, k in taken.items():
+                    stock[x] -= k * run
+                    if not stock[x]:
+                        lengths.remove(x)
+                grouped += run * len(slots)
+                leave(capacity - fill, opened, run)
                 opened += run
-                leave(capacity - fill, seq, run)
                 m -= run
-    rest = {x: n for x, n in histogram.items() if n and x <= small}
-    for q in queues:
-        for x, n in q:
-            rest[x] = rest.get(x, 0) + n
+    if count is not None:
+        count |= {"grouped": grouped, "sequences": opened, "large": total}
+    rest = {x: n for x, n in histogram.items() if n and not small < x < capacity}
+    rest |= {x: n for x, n in stock.items() if n}
     for x in sorted(rest, reverse=True):
         n = rest[x]
         while n:
@@ -194,7 +217,7 @@ def ranked(df: DataFrame, key: str, salt: list[str]) -> DataFrame:
     return df.withColumn("_in", F.row_number().over(within) - 1).join(first, [key, "_salt"]).withColumn("rank", F.col("_in") + F.col("_first")).drop("_salt", "_in", "_first")
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL, vocab_path: str | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None, vocab_path: str | None = None) -> DataFrame:
     """A row for each piece with its sequence and its place there."""
     parts = written(pieces(docs, id_col, text_col, capacity, vocab_path), "pieces")
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows

@@ -312,7 +312,7 @@ class _Blob:
 class Encoder:
     """Words to whatever ``form`` makes of their ids, with a bounded memo."""
 
-    def __init__(self, vocab: Vocabulary, form, lexicon: Lexicon | None = None, limit: int = 400_000):
+    def __init__(self, vocab: Vocabulary, form, lexicon: Lexicon | None = None, limit: int = 200_000):
         self.vocab, self.form, self.lexicon, self.limit, self.memo = vocab, form, lexicon, limit, {}
 
     def learn(self, lists: list[list[str]]) -> None:
@@ -328,7 +328,7 @@ class Encoder:
             ids[i] = x
         self.memo.update(zip(new, map(self.form, ids)))
 
-    def texts(self, texts: list[str | None], chars: int = 4_000_000):
+    def texts(self, texts: list[str | None], chars: int = 1_000_000):
         """Lists of what ``form`` made, a list for each text, in blocks of bounded size."""
         block, size = [], 0
         for t in [*texts, False]:

@@ -469,30 +469,114 @@ def test_chunks_resist_insertions():
     assert both[1] == both[3] == a and both[2] == []
 
 
+def slow_ends(raw):
+    """Chunk ends by a rolling hash, byte by byte."""
+    gear = [int(x) for x in substring.GEAR]
+    spaces = b" \t\n\v\f\r"
+    ends, last, h = [], 0, 0
+    padded = bytes(substring.WINDOW) + raw
+    for i in range(1, len(raw) + 1):
+        window = padded[i : i + substring.WINDOW]
+        h = sum(gear[c] << (substring.WINDOW - 1 - k) for k, c in enumerate(window)) & 0xFFFFFFFF
+        lone = not any(c in spaces for c in window) and (i == len(raw) or raw[i] & 0xC0 != 0x80)
+        if raw[i - 1] in spaces and h >> 29 == 0 or lone and h >> 27 == 0:
+            if i - last >= substring.MIN:
+                while i - last > substring.MAX:
+                    cut = last + substring.MAX
+                    while raw[cut] & 0xC0 == 0x80:
+                        cut -= 1
+                    ends.append(cut)
+                    last = cut
+                ends.append(i)
+                last = i
+    while len(raw) - last > substring.MAX:
+        cut = last + substring.MAX
+        while raw[cut] & 0xC0 == 0x80:
+            cut -= 1
+        ends.append(cut)
+        last = cut
+    return ends + [len(raw)] * (len(raw) > last)
+
+
+def test_chunk_ends_equal_brute_force():
+    r = random.Random(12)
+    texts = [t.encode() for t in random_texts(6, 13)] + ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(900)).encode(), ("é" * 2000).encode(), b"", b"x", "".join(r.choices("abc/", k=800)).encode()]
+    for t, ends in zip(texts, substring.chunk_ends(texts)):
+        assert ends == slow_ends(t)
+    assert np.array_equal(substring.proposed(np.frombuffer(texts[6], np.uint8), 100), substring.proposed(np.frombuffer(texts[6], np.uint8)))
+
+
+def test_chunks_resist_insertions_without_white_space():
+    r = random.Random(14)
+    text = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(4000))
+    a, b = (list(substring.chunk_ends([t.encode()]))[0] for t in (text, "新" + text))
+    cut = lambda t, ends: {t[s:e] for s, e in zip([0, *ends], ends)}
+    x, y = cut(text.encode(), a), cut(("新" + text).encode(), b)
+    assert len(x) > 40 and len(x - y) <= 2
+
+
 def slow_substring(rows, min_run):
-    first, out = {}, {}
-    chunks = []
-    for i, t in rows:
-        raw, at = (t or "").encode(), 0
-        for e in list(substring.chunk_ends([raw]))[0]:
+    """Chunks, first occurrences, runs and their growth over whole texts, by plain loops."""
+    first, chunks, texts = {}, [], {i: (t or "").encode() for i, t in rows}
+    for i, raw in texts.items():
+        at = 0
+        for e in slow_ends(raw):
             chunks.append((i, at, e, raw[at:e]))
             at = e
     for i, s, e, c in sorted(chunks):
         first.setdefault(c, (i, s))
+    spaces, out = b" \t\n\v\f\r", {}
+
+    def within(raw, at):
+        if not 0 < at < len(raw):
+            return False
+        if raw[at] & 0xC0 == 0x80:
+            return True
+        a, b = raw[:at].decode()[-1], raw[at:].decode()[0]
+        return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
     for i, t in rows:
-        spans = [(s, e) for j, s, e, c in chunks if j == i and first[c] != (i, s)]
-        raw, keep = (t or "").encode(), bytearray()
-        at = 0
-        for s, e in substring.runs(spans, min_run):
-            keep += raw[at:s]
-            at = e
-        out[i] = None if t is None else bytes(keep + raw[at:]).decode()
+        raw, mine = texts[i], []
+        for j, s, e, c in sorted(x for x in chunks if x[0] == i):
+            f, at = first[c]
+            if (f, at) != (i, s):
+                if mine and mine[-1][1] == s and mine[-1][2] == f and mine[-1][3] + e - mine[-1][0] == at + e - s:
+                    mine[-1][1] = e
+                else:
+                    mine.append([s, e, f, at])
+        spans = []
+        for k, (s, e, f, at) in enumerate(mine):
+            low, high = mine[k - 1][1] if k else 0, mine[k + 1][0] if k + 1 < len(mine) else len(raw)
+            a, b, src, back = s, e, texts[f], at + e - s
+            while a > low and at and src[at - 1] == raw[a - 1]:
+                a, at = a - 1, at - 1
+            while b < high and back < len(src) and src[back] == raw[b]:
+                b, back = b + 1, back + 1
+            while a < s and (within(raw, a) or raw[a] in spaces):
+                a += 1
+            while b > e and within(raw, b):
+                b -= 1
+            spans.append([a, b])
+        joined = []
+        for a, b in spans:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        keep, at = b"", 0
+        for a, b in joined:
+            if b - a >= min_run:
+                keep, at = keep + raw[at:a], b
+        out[i] = None if t is None else (keep + raw[at:]).decode()
     return out
 
 
-def test_substring_equals_brute_force(spark, docs, rows):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_substring_equals_brute_force(spark, docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
     passage = " ".join(random_texts(1, 77)[0].split()[:80] + [f"p{i}" for i in range(60)])
     new = [(300 + i, f"{a} {passage} {a[::-1]}", "en", "s", 1) for i, a in enumerate(random_texts(6, 78))] + [(310, "é" * 2000, "fr", "s", 1), (311, "é" * 2000, "fr", "s", 1)]
+    new += [(320 + i, f"{a}{'新的中文段落没有空格但是很长' * 12}{a}", "zh", "s", 1) for i, a in enumerate(("天地", "玄黄宇宙"))]
     all_rows = [r for r in rows if r[0] is not None] + new
     df = spark.createDataFrame(all_rows + [new[0]], SCHEMA)
     got = substring.substring_dedup(df).collect()
@@ -514,7 +598,7 @@ def test_shared_passages_are_cut_to_their_ends(spark):
         passage, ends = words(50), [(words(30), words(30)), (words(40), words(20))]
         rows += [(2 * i + k, f"{a} {passage} {b}") for k, (a, b) in enumerate(ends)]
         planted.append((passage, f"{ends[1][0]} {ends[1][1]}"))
-    got = dict(tuple(x) for x in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect())
+    got = dict(tuple(x) for x in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(got[2 * i] == rows[2 * i][1] for i in range(120))
     assert sum(got[2 * i + 1] == rest for i, (_, rest) in enumerate(planted)) >= 118
 

@@ -133,6 +133,35 @@ def test_near_dedup_finds_similar_texts(spark):
     assert gone <= alike and len(gone) >= 0.97 * len(alike)
 
 
+def test_near_components_of_one_large_group_equal_brute_force(spark):
+    """A group of copies that are more or less alike: every link of 0.8 or more counts, whatever the trees leave over."""
+    r = random.Random(21)
+    base, texts = [f"v{r.randrange(5000)}" for _ in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(150)] = f"x{r.randrange(5000)}"
+        texts.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in texts]
+    up = list(range(300))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i: root(i) for i in range(300)}
+    assert 20 < len(set(want.values())) < 250
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in simhash.near_components(df).collect()} == want
+    assert {x.doc_id: x.component_id for x in simhash.near_components(df, max_shard=40).collect()} == want
+
+
 # WARC
 
 

@@ -20,6 +20,7 @@ other columns of the input are not touched and not read.
 
 from __future__ import annotations
 
+from heapq import heappush, heappushpop
 from itertools import combinations
 
 import numpy as np
@@ -193,9 +194,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint, links of a row in a tree before the rest waits.
-WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 16
+WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 4
 #: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
 SHARD, MISSED, TYPICAL = 32, 0.005, 20
+#: Cells of the counts that order shingles by how rare they are, and the parts they are summed in.
+CELLS, PARTS = 1 << 20, 64
 
 
 def shingle_set(data: bytes | None, shingle: int = WORDS) -> np.ndarray:
@@ -235,66 +238,85 @@ def shard_bits(rows: int) -> list[np.ndarray]:
     return [rng.choice(BITS, k, replace=False) for _ in range(int(np.ceil(np.log(MISSED) / np.log(1 - meet))))]
 
 
-def _near_links(limit: int | None):
-    def flush(rows, out):
-        if len(rows) < 2 or not any(r[4] for r in rows):
+def nearest(tree: BKTree, value: int, radius: int, limit: int, nodes: dict[int, list[int]], below: int) -> list[int]:
+    """Of the nodes below ``below`` whose fingerprints are within ``radius``, the ``limit`` nearest: once so many are
+    found, only edges within the farthest one's distance are followed."""
+    found: list[tuple[int, int]] = []  # a heap, the farthest first
+    todo = [tree]
+    while todo:
+        at = todo.pop()
+        d = (at.value ^ value).bit_count()
+        reach = radius if len(found) < limit else -found[0][0]
+        if d <= reach:
+            for node in nodes[at.value]:
+                if node < below:
+                    (heappush if len(found) < limit else heappushpop)(found, (-d, node))
+            reach = radius if len(found) < limit else -found[0][0]
+        if at.children:
+            todo += [c for k, c in sorted(at.children.items(), key=lambda x: -abs(x[0] - d)) if d - reach <= k <= d + reach]
+    return [node for _, node in found]
+
+
+def _near_links(limit: int):
+    def flush(rows, pairs, marks):
+        if len(rows) < 2:
             return
-        nodes, own, tree = {}, {}, None
-        for fp, node, mine, group, asks in rows:
-            if asks:
-                nodes.setdefault(fp, []).append((node, group))
-            if mine:
-                own.setdefault(fp, []).append((node, group))
-        for fp in sorted(own):
+        nodes: dict[int, list[int]] = {}
+        for fp, node, own in rows:
+            if own:
+                nodes.setdefault(fp, []).append(node)
+        tree = None
+        for fp in sorted(nodes):
             if tree is None:
                 tree = BKTree(fp)
             else:
                 tree.add(fp)
-        for fp, here in nodes.items() if tree is not None else ():
-            near = sorted(((x ^ fp).bit_count(), x) for x in tree.within(fp, NEAR))
-            for node, group in here:
-                k = 0
-                for other, its in (o for _, x in near for o in own[x]):
-                    if other < node and its != group:
-                        if k == limit:
-                            out.append((node, node))  # a loop tells that links are left
-                            break
-                        out.append((node, other))
-                        k += 1
+        full = False
+        for fp, node, _ in rows if tree is not None else ():
+            near = nearest(tree, fp, NEAR, limit, nodes, node)
+            pairs += ((node, other) for other in near)
+            if len(near) == limit:
+                marks.append((node, True))
+                full = True
+        if full:
+            marks += ((node, False) for _, node, _ in rows)
+
+    def made(pairs, marks):
+        a = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+        m = sorted(set(marks))
+        none, flags = pa.nulls(len(a), pa.bool_()), pa.array([f for _, f in m], pa.bool_())
+        m = np.array([n for n, _ in m], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[:, 0], m])), pa.array(np.concatenate([a[:, 1], m])), pa.concat_arrays([none, flags])], ["a", "b", "asks"])
 
     def run(batches):
         last, rows = None, []
         for b in batches:
-            t, key, shard, node, own, group, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "shard", "node", "own", "group", "asks"))
+            t, key, shard, node, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "shard", "node", "own"))
             fp = [int.from_bytes(x) for x in b.column("fp").to_pylist()]
             cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(shard) != 0)) + 1
-            cuts, out = [0, *cut.tolist(), len(t)], []
+            cuts, pairs, marks = [0, *cut.tolist(), len(t)], [], []
             for s, e in zip(cuts, cuts[1:]):
                 if s == e:
                     continue
                 k = (t[s], key[s], shard[s])
                 if k != last:
-                    flush(rows, out)
+                    flush(rows, pairs, marks)
                     last, rows = k, []
-                rows += zip(*(x[s:e] for x in (fp, node.tolist(), own.tolist(), group.tolist(), asks.tolist())))
-            if out:
-                a = np.unique(np.array(out, np.int64), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-        out = []
-        flush(rows, out)
-        if out:
-            a = np.array(out, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+                rows += zip(*(x[s:e] for x in (fp, node.tolist(), own.tolist())))
+            if pairs:
+                yield made(pairs, marks)
+        pairs, marks = [], []
+        flush(rows, pairs, marks)
+        if pairs:
+            yield made(pairs, marks)
 
     return run
 
 
-def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int | None = NEIGHBOURS) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes of ``(node, fp, group, asks)`` that may be near copies, each once.
-
-    Rows with ``asks`` look for rows of other groups, the nearest ``limit`` in a tree; ``a = b`` tells that more are left.
-    """
-    tables, names = shard_bits(reps.count()), ["fp", "node", "group", "asks"]
+def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int = NEIGHBOURS) -> DataFrame:
+    """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest ``limit`` in a
+    tree; where a tree may hold more for a row, marks with ``a = b`` and ``asks`` for it, and without for all of the tree."""
+    tables, names = shard_bits(reps.count()), ["fp", "node"]
 
     def deal(batches):
         for b in batches:
@@ -305,21 +327,84 @@ def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int | No
                 key = bits[:, chosen] @ (1 << np.arange(len(chosen)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *(b.column(c) for c in names)], ["t", "key", *names])
 
-    rows = reps.select(*names).mapInArrow(deal, "t int, key long, fp binary, node long, group long, asks boolean")
+    rows = reps.select(*names).mapInArrow(deal, "t int, key long, fp binary, node long")
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_shard).select("t", "key", F.ceil(F.col("n") / max_shard).cast("int").alias("g"))
-    rows = rows.join(F.broadcast(large), ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    rows = rows.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), *names, F.pmod(F.xxhash64("node"), F.col("g")).alias("home"))
     rows = rows.select("t", "key", "shard", *names, (F.col("home") == F.col("shard")).alias("own"))
-    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(_near_links(limit), "a long, b long").distinct()
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(_near_links(limit), "a long, b long, asks boolean").distinct()
 
 
-def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs`` whose shingles have a Jaccard similarity of ``least`` or more, by their texts."""
+def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(node, s)``: sorted 64-bit hashes of the shingles of the texts whose ids are in ``nodes``."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column(1)], pa.binary())], ["node", "s"])
 
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).join(nodes, "node", "left_semi")
+    return written(texts.mapInArrow(sets, "node long, s binary"), "shingles")
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """Of each of ``CELLS`` cells, how many of the sets' shingles fall there."""
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for s in range(0, b.num_rows, 1000):
+                h = np.frombuffer(b"".join(b.column(0)[s : s + 1000].to_pylist()), np.uint64)
+                total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        for p, part in enumerate(np.minimum(total, 2**31 - 1).astype(np.uint32).reshape(PARTS, -1)):
+            at = np.flatnonzero(part).astype(np.uint32)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["part", "at", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // PARTS, np.int64)
+        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist()):
+            total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
+        return pa.table({"part": t.column("part")[:1], "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    out = np.zeros(CELLS, np.uint32)
+    width = CELLS // PARTS
+    for part, n in sets.select("s").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # PARTS rows, 4 * CELLS bytes
+        out[part * width : (part + 1) * width] = np.frombuffer(bytes(n), np.uint32)
+    return out
+
+
+def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of different groups of ``(node, group, asks, s)`` that can be ``least`` similar; ``a`` asks.
+
+    Two sets of that similarity share a shingle among the first of each, in any order: of n shingles the first
+    n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined.
+    """
+    handle = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def first(batches):
+        for b in batches:
+            token, row, size = [], [], []
+            for i, x in enumerate(b.column("s").to_pylist()):
+                h = np.frombuffer(x, np.uint64)
+                k = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                order = np.lexsort((h, handle.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]))[:k]
+                token.append(h[order].view(np.int64))
+                row += [i] * len(order)
+                size += [len(h)] * len(order)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32())], ["token", "node", "group", "asks", "n"])
+
+    posted = written(sets.mapInArrow(first, "token long, node long, group long, asks boolean, n int"), "postings")
+    met = posted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
+    posted = written(posted.join(met, "token", "left_semi"), "postings")
+    a, b = posted.where("asks").alias("a"), posted.alias("b")
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` whose sets ``(node, s)`` have a Jaccard similarity of ``least`` or more."""
+
     def same(batches):
         for b in batches:
             ok = []
@@ -330,10 +415,7 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).join(used, "node", "left_semi")
-    found = written(texts.mapInArrow(sets, "node long, s binary"), "shingles")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
 
 
@@ -341,21 +423,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, component_id)``: groups of texts linked by a shingle similarity of ``least`` or more.
 
     Texts of equal shingles are folded first. Wide fingerprints find candidates: each table of shards is keyed by some
-    of their bits and searched by BK-trees; the texts of candidates are then compared exactly. Links beyond a row's
-    nearest ones are compared after those, unless both ends are in one group by then.
+    of their bits and searched by BK-trees; each row's nearest are then compared exactly by their shingles. Where a
+    tree may hold more, links that are left are those between different groups found so far: rows of such trees meet
+    by their rarest shingles (which loses none that is similar enough) and are compared exactly too.
     """
     rows = written(_wide(docs, id_col, text_col, shingle), "fingerprints")
     reps = written(rows.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "texts")
-    first = reps.withColumn("group", F.col("node")).withColumn("asks", F.lit(True))
-    pairs = written(near_candidates(first, max_shard), "candidates")
-    edges = written(near_pairs(pairs.where("a <> b"), docs, id_col, text_col, shingle, least), "links")
+    found = written(near_candidates(reps, max_shard), "candidates")
+    pairs, marks = found.where("asks is null").select("a", "b"), found.where("asks is not null")
+    nodes = found.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = node_sets(nodes, docs, id_col, text_col, shingle)
+    edges = written(near_pairs(pairs, sets, least), "links")
     labels = connected_components(edges)
-    left = pairs.where("a = b").select(F.col("a").alias("node"), F.lit(True).alias("more"))
-    if left.limit(1).count():  # all of their links to other groups
-        again = reps.join(labels, "node", "left").join(left, "node", "left")
-        again = again.select("fp", "node", F.coalesce("component", "node").alias("group"), F.coalesce("more", F.lit(False)).alias("asks"))
-        rest = written(near_candidates(again, max_shard, None), "candidates")
-        labels = connected_components(edges.unionByName(near_pairs(rest, docs, id_col, text_col, shingle, least)))
+    marks = marks.groupBy(F.col("a").alias("node")).agg(F.max("asks").alias("asks"))
+    if marks.limit(1).count():
+        grouped = marks.join(labels, "node", "left").select("node", "asks", F.coalesce("component", "node").alias("group"))
+        rest = written(rest_candidates(grouped.join(sets, "node"), least), "candidates")
+        labels = connected_components(edges.unionByName(near_pairs(rest, sets, least)))
     of_text = reps.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     return rows.join(of_text, ["s1", "s2"], "left").select("doc_id", "component_id")
 

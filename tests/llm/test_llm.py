@@ -436,23 +436,91 @@ def test_quality_base_counts(docs, rows):
         assert not (got[i].base_failed and got[i].kept)
 
 
-def test_kneser_ney_adds_up():
-    texts = random_texts(20, 9)
-    code, n = np.unique(quality.codes(texts)[0], return_counts=True)
-    m = quality.KneserNey(code, n)
-    for ctx in [int(code[5]) // quality.SYMBOLS, 0, quality.SYMBOLS**3 - 1]:
-        p = 10 ** m.log10(ctx * quality.SYMBOLS + np.arange(quality.SYMBOLS))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-6)
+def slow_kneser_ney(texts):
+    """Modified Kneser-Ney of order 4 by its definition: a function of a context (3 symbols) and a symbol."""
+    counts = [Counter() for _ in range(5)]
+    for t in texts:
+        padded = "   " + "".join(" " if c in "\t\n\v\f\r" else "0" if c in "0123456789" else c for c in t) + " "
+        counts[4].update(padded[i : i + 4] for i in range(len(padded) - 3))
+    for k in (3, 2, 1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    disc, total = {}, {}
+    for k in range(1, 5):
+        n = Counter(counts[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        disc[k] = [min(max(v, 0.01), i - 0.01) for i, v in enumerate(raw, 1)]
+        for g, c in counts[k].items():
+            total.setdefault(g[:-1], []).append(c)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 65536
+        all_ = total.get(g[:-1])
+        if not all_:
+            return p(g[1:])
+        off = lambda c: disc[k][min(c, 3) - 1]
+        c = counts[k][g]
+        return ((c - off(c)) if c else 0) / sum(all_) + sum(map(off, all_)) / sum(all_) * p(g[1:])
+
+    return p
+
+
+def coded(grams):
+    return np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    texts = random_texts(40, 9) + ["数字 42\tund", "早上好" * 5]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    rows = quality._rows(df, "doc_id", "text", "lang").withColumn("own", F.lit(7).cast("long"))
+    model, small = quality.models(rows, core=1.0)[7], quality.models(rows, 300, core=1.0)[7]
+    p = slow_kneser_ney(texts)
+    grams = ["the ", "   t", "eri ", "zzzz", "qthe", "好早上好", " 0  ", "数字 0", "éñ漢☃"]
+    assert np.allclose(model.log10(coded(grams)), [math.log10(p(g)) for g in grams], atol=1e-5)
+    every = np.arange(65536, dtype=np.uint64)
+    for m in (model, small):  # what the least counts leave out goes to the lower orders
+        for ctx in ("the", "   ", "zzz", "上好早"):
+            assert math.isclose((10 ** m.log10(coded(["\0" + ctx])[0] << np.uint64(16) | every)).sum(), 1, rel_tol=1e-4)
+    assert sum(len(h) for h, _ in small.grams) <= 300 < sum(len(h) for h, _ in model.grams)
+
+
+def test_unlike_texts_of_any_script_differ(spark):
+    r = random.Random(6)
+    zh = ["".join(r.choices("的一是不了人我在有他这为之大来以个中上们", k=80)) for _ in range(40)] + ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(2)]
+    ru = [" ".join("".join(r.choices("оеаинтсрвл", k=r.randint(2, 7))) for _ in range(60)) for _ in range(40)] + ["ъ" * 200, " ".join(["ыъщ"] * 60)]
+    df = spark.createDataFrame([(i, t, k) for k, ts in (("zh", zh), ("ru", ru)) for i, t in enumerate(ts, 100 * (k == "ru"))], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.log10_p for x in quality.scored(df).collect()}
+    assert len({round(v, 9) for v in got.values()}) == len(got)
+    assert max(got[40], got[41]) < min(got[i] for i in range(40)) and got[140] < got[100] and got[141] < got[100]
 
 
 def test_junk_is_rejected(spark):
     texts = random_texts(300, 5)
-    rows = [(i, (t + " ") * 2 if len(t.split()) < 50 else t, "en") for i, t in enumerate(texts)]
-    rows += [(900, " ".join(f"#{i}*$%&|" for i in range(100)), "en"), (901, " ".join("".join(random.Random(i).choices("qxzjkvw", k=9)) for i in range(100)), "en")]
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert not got[900].kept and not got[901].kept
-    clean = [r for i, r in got.items() if i < 900 and not r.base_failed]
-    assert sum(r.kept for r in clean) >= 0.97 * len(clean)
+    clean = [(i, (t + ". ") * 2 if len(t.split()) < 50 else t, "en") for i, t in enumerate(texts)]
+    r = random.Random(0)
+    junk = [" ".join(f"#{i}*$%&|" for i in range(100)), " ".join("".join(r.choices("qxzjkvw", k=9)) for _ in range(100))]
+    junk += [" | ".join(t.split()[:80]) for t in texts if len(t.split()) > 60][:8] + [" ".join(w + r.choice("#$%&*") * 3 for w in t.split()) for t in texts if len(t.split()) > 60][:8]
+    rows = clean + [(900 + i, t, "en") for i, t in enumerate(junk)]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(x.kept for i, x in got.items() if i >= 900)
+    good = [x for i, x in got.items() if i < 900 and not x.base_failed]
+    assert sum(x.kept for x in good) >= 0.97 * len(good)
+
+
+def test_bands_on_disjoint_halves_and_small_languages(spark):
+    """Bands of one half of the labelled rows hold for the other; a language of few rows gets nearly the band of all."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.scored(d).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).where("not base_failed")
+    own = quality.bands(rows.where("key % 2 = 0"))
+    other = rows.where("key % 2 <> 0").join(own, F.col("lang") == F.col("l")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    kept = F.abs(F.col("log10_p") - F.col("mid")) <= quality.WIDTH * F.sqrt(F.col("a") + F.col("b") / F.col("symbols"))
+    share = {r.quality: r.kept for r in other.groupBy("quality").agg(F.avg(kept.cast("double")).alias("kept")).collect()}
+    assert share[1] >= 0.97 and share[0] <= 0.1
+    few = {r.l: r for r in quality.bands(rows.withColumn("lang", F.when(F.col("doc_id") % 200 == 1, "xx").otherwise(F.col("lang")))).collect()}
+    most = quality.bands(rows.withColumn("lang", F.lit("all"))).first()
+    assert abs(few["xx"].mid - most.mid) < 0.05
 
 
 # Chat

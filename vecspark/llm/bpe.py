@@ -29,7 +29,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_written, table, written
+from ._common import drop_written, freed, table, written
 
 END = "</w>"
 NONE = np.int64(1 << 40)
@@ -363,7 +363,7 @@ def frequent_words(docs: DataFrame, text_col: str, vocab_path: str, n: int) -> l
                 c.update(vocab.words(t or ""))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(freed(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = written(found.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "words")
     least, total = 0, 0
     for step, words in sorted(map(tuple, found.groupBy("step").count().collect()), reverse=True):  # at most 64 * 63 rows
@@ -402,7 +402,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 text.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None) -> DataFrame:
@@ -415,7 +415,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             ids = [np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in enc.texts(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(freed(run), "doc_id long, ids array<int>")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

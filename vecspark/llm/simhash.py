@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import freed, table, written
 from .components import connected_components
 
 SHINGLE, RADIUS, MAX_SHARD = 4, 4, 4096
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(freed(run), "doc_id long, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -180,7 +180,7 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS, max_shard: int = MA
     rows = rows.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), "fp", "node", F.pmod(F.xxhash64("fp"), F.col("g")).alias("home"))
     rows = rows.select("t", "key", "shard", "fp", "node", (F.col("home") == F.col("shard")).alias("own"))
-    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(_links(radius), "a long, b long")
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_links(radius)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -227,7 +227,7 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             fps = pa.array([wide_fingerprint(x) for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s[:, 0]), pa.array(s[:, 1]), fps], ["doc_id", "s1", "s2", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, s1 long, s2 long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(freed(run), "doc_id long, s1 long, s2 long, fp binary")
 
 
 def shard_bits(rows: int) -> list[np.ndarray]:
@@ -327,12 +327,12 @@ def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int = NE
                 key = bits[:, chosen] @ (1 << np.arange(len(chosen)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *(b.column(c) for c in names)], ["t", "key", *names])
 
-    rows = reps.select(*names).mapInArrow(deal, "t int, key long, fp binary, node long")
+    rows = reps.select(*names).mapInArrow(freed(deal), "t int, key long, fp binary, node long")
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_shard).select("t", "key", F.ceil(F.col("n") / max_shard).cast("int").alias("g"))
     rows = rows.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), *names, F.pmod(F.xxhash64("node"), F.col("g")).alias("home"))
     rows = rows.select("t", "key", "shard", *names, (F.col("home") == F.col("shard")).alias("own"))
-    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(_near_links(limit), "a long, b long, asks boolean").distinct()
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_near_links(limit)), "a long, b long, asks boolean").distinct()
 
 
 def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -343,7 +343,7 @@ def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column(1)], pa.binary())], ["node", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).join(nodes, "node", "left_semi")
-    return written(texts.mapInArrow(sets, "node long, s binary"), "shingles")
+    return written(texts.mapInArrow(freed(sets), "node long, s binary"), "shingles")
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -368,7 +368,7 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
     out = np.zeros(CELLS, np.uint32)
     width = CELLS // PARTS
-    for part, n in sets.select("s").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # PARTS rows, 4 * CELLS bytes
+    for part, n in sets.select("s").mapInArrow(freed(count), "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # PARTS rows, 4 * CELLS bytes
         out[part * width : (part + 1) * width] = np.frombuffer(bytes(n), np.uint32)
     return out
 
@@ -394,7 +394,7 @@ def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32())], ["token", "node", "group", "asks", "n"])
 
-    posted = written(sets.mapInArrow(first, "token long, node long, group long, asks boolean, n int"), "postings")
+    posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int"), "postings")
     met = posted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     posted = written(posted.join(met, "token", "left_semi"), "postings")
     a, b = posted.where("asks").alias("a"), posted.alias("b")
@@ -416,7 +416,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(freed(same), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, least: float = LEAST, max_shard: int = MAX_SHARD) -> DataFrame:

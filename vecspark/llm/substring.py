@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_written, table, written
+from ._common import drop_written, freed, table, written
 
 MIN, MAX, BITS, LONE_BITS, WINDOW, MIN_RUN = 16, 512, 3, 5, 16, 200
 #: How far a run is compared beyond its chunks, to either side: a chunk that it covered whole would be of the run itself.
@@ -120,7 +120,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key"), pa.array(ends, pa.binary()), pa.array(digests, pa.binary())], ["doc", "key", "ends", "digests"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
-    return written(rows.mapInArrow(run, "doc long, key long, ends binary, digests binary"), "chunks")
+    return written(rows.mapInArrow(freed(run), "doc long, key long, ends binary, digests binary"), "chunks")
 
 
 def _digest_counts(chunked: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _digest_counts(chunked: DataFrame) -> DataFrame:
                 u, n = np.unique(d, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], ["h", "n"])
 
-    return chunked.select("digests").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return chunked.select("digests").mapInArrow(freed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
@@ -196,7 +196,7 @@ def _marked(chunked: DataFrame, repeated, hot) -> DataFrame:
                 own = {4: part.column("doc").take(pa.array(row)), 5: part.column("key").take(pa.array(row))}
                 yield pa.RecordBatch.from_arrays([own[i] if i in own else pa.array(c, k) for i, (c, k) in enumerate(zip(cols, kinds))], names)
 
-    return chunked.mapInArrow(run, "d1 long, d2 long, salt int, hot boolean, doc long, key long, start int, stop int")
+    return chunked.mapInArrow(freed(run), "d1 long, d2 long, salt int, hot boolean, doc long, key long, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out += [(doc, key, m[0], m[1], min(REACH, m[0] - e), min(REACH, n - m[1]), *m[2:]) for m, e, n in zip(mine, ends, starts)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 9, kinds)], names)
 
-    spans = written(later.mapInArrow(joined, "doc long, key long, start int, stop int, before int, after int, sdoc long, skey long, sstart int"), "spans")
+    spans = written(later.mapInArrow(freed(joined), "doc long, key long, start int, stop int, before int, after int, sdoc long, skey long, sstart int"), "spans")
     drop_written(chunked)
     for x in (repeated, hot):
         x.destroy()

@@ -52,6 +52,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch, where the session doesn't say: whole texts may be long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's rows of an Arrow batch to ``BATCH_ROWS`` unless it was set to less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def freed(run):
     """``run`` for ``mapInArrow``: what a task has freed goes back to the system when it ends, as workers live on."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_written, scratch, table, written
+from ._common import drop_written, scratch, small_batches, table, written
 
 PAD, RATE, UP, DOWN, FRAME, HOP, MELS, PATCH = 192, 16_000, 1, 2, 256, 128, 32, 64
 BLOCK = 1 << 20  # samples in a block; a multiple of DOWN * HOP
@@ -151,6 +151,7 @@ def feature(cube: np.ndarray, frames: int, spans: list[tuple[float, float]]) ->
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, media)``: each text as a WAVE file, written to the shared folder and read from it."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 500):

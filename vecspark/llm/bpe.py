@@ -29,7 +29,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_written, freed, table, written
+from ._common import drop_written, freed, small_batches, table, written
 
 END = "</w>"
 NONE = np.int64(1 << 40)
@@ -353,6 +353,7 @@ def frequent_words(docs: DataFrame, text_col: str, vocab_path: str, n: int) -> l
     A histogram of counts, of a fixed number of steps, gives the least count at which no more than ``n`` words are left.
     """
 
+    small_batches(docs.sparkSession)
     def count(batches):
         from collections import Counter
 
@@ -381,6 +382,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``lexicon_words`` bounds the lexicon; 0 leaves it out. It changes the speed only.
     """
+    small_batches(docs.sparkSession)
     spark, path = docs.sparkSession, vocab_path or default_vocabulary()
     handle = None
     if lexicon_words:
@@ -407,6 +409,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None) -> DataFrame:
     """``(doc_id, ids)``: the ids themselves."""
+    small_batches(docs.sparkSession)
     path = vocab_path or default_vocabulary()
 
     def run(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, table
 
 DIMS, PER_LANGUAGE, MAX_ROWS, UND = 2048, 500, 4000, "und"
 #: A text whose n-grams fit its language worse, in deviations of the training rows, is of none of the languages.
@@ -182,6 +182,7 @@ def _by_blocks(texts: list[str | None], chars: int = 500_000, rows: int = 256):
 
 def train(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows for which the condition ``train_rows`` holds."""
+    small_batches(docs.sparkSession)
     rows = docs.where(train_rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keys = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("__vs_id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     # Hashes are spread evenly, so of a language's n ids those in the lowest (2 * per_language + 200) / n of the range

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import freed, shuffle_partitions, table, written
+from ._common import freed, shuffle_partitions, small_batches, table, written
 from .bpe import Encoder, default_vocabulary, packed, vocabulary
 
 #: A piece is small up to the ``SMALL``-th part of a sequence.
@@ -37,6 +37,7 @@ CAPACITY, GROUPS, SMALL, END_ID = 2048, 64, 6, 0
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocab_path: str | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each row."""
+    small_batches(docs.sparkSession)
     path = vocab_path or default_vocabulary()
 
     def run(batches):

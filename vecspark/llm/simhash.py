@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import freed, table, written
+from ._common import freed, small_batches, table, written
 from .components import connected_components
 
 SHINGLE, RADIUS, MAX_SHARD = 4, 4, 4096
@@ -57,6 +57,7 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` for each row."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         for b in batches:
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column(1)]
@@ -193,8 +194,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint, links of a row in a tree before the rest waits.
-WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 4
+#: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint.
+WORDS, LEAST, BITS, NEAR = 5, 0.8, 128, 28
 #: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
 SHARD, MISSED, TYPICAL = 32, 0.005, 20
 #: Cells of the counts that order shingles by how rare they are, and the parts they are summed in.
@@ -220,6 +221,7 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``(doc_id, s1, s2, fp)``: a digest of each row's shingles and its wide fingerprint."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         for b in batches:
             sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column(1)]
@@ -254,10 +256,10 @@ def nearest(tree: BKTree, value: int, radius: int, limit: int, nodes: dict[int,
             reach = radius if len(found) < limit else -found[0][0]
         if at.children:
             todo += [c for k, c in sorted(at.children.items(), key=lambda x: -abs(x[0] - d)) if d - reach <= k <= d + reach]
-    return [node for _, node in found]
+    return [node for _, node in sorted(found, reverse=True)]
 
 
-def _near_links(limit: int):
+def _near_links():
     def flush(rows, pairs, marks):
         if len(rows) < 2:
             return
@@ -271,15 +273,14 @@ def _near_links(limit: int):
                 tree = BKTree(fp)
             else:
                 tree.add(fp)
-        full = False
+        asking = set()
         for fp, node, _ in rows if tree is not None else ():
-            near = nearest(tree, fp, NEAR, limit, nodes, node)
-            pairs += ((node, other) for other in near)
-            if len(near) == limit:
-                marks.append((node, True))
-                full = True
-        if full:
-            marks += ((node, False) for _, node, _ in rows)
+            near = nearest(tree, fp, NEAR, 2, nodes, node)
+            pairs += ((node, other) for other in near[:1])
+            if len(near) > 1:
+                asking.add(node)
+        if asking:
+            marks += ((node, node in asking) for _, node, _ in rows)
 
     def made(pairs, marks):
         a = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
@@ -313,9 +314,9 @@ def _near_links(limit: int):
     return run
 
 
-def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int = NEIGHBOURS) -> DataFrame:
-    """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest ``limit`` in a
-    tree; where a tree may hold more for a row, marks with ``a = b`` and ``asks`` for it, and without for all of the tree."""
+def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
+    """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest in a tree; where
+    a tree holds more for a row, marks with ``a = b`` for all of the tree's rows, with ``asks`` for those rows."""
     tables, names = shard_bits(reps.count()), ["fp", "node"]
 
     def deal(batches):
@@ -332,7 +333,7 @@ def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD, limit: int = NE
     rows = rows.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), *names, F.pmod(F.xxhash64("node"), F.col("g")).alias("home"))
     rows = rows.select("t", "key", "shard", *names, (F.col("home") == F.col("shard")).alias("own"))
-    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_near_links(limit)), "a long, b long, asks boolean").distinct()
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_near_links()), "a long, b long, asks boolean").distinct()
 
 
 def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

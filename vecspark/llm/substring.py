@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_written, freed, table, written
+from ._common import drop_written, freed, small_batches, table, written
 
 MIN, MAX, BITS, LONE_BITS, WINDOW, MIN_RUN = 16, 512, 3, 5, 16, 200
 #: How far a run is compared beyond its chunks, to either side: a chunk that it covered whole would be of the run itself.
@@ -107,6 +107,7 @@ def chunk_ends(texts: list[bytes], block: int = 1 << 20):
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, key, ends, digests)`` of each text, packed; ``key`` tells texts of one id apart."""
 
+    small_batches(docs.sparkSession)
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for b in batches:

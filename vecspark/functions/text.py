@@ -68,19 +68,25 @@ def title_of(file_name) -> Column:
     return F.regexp_replace(F.regexp_replace(F.col(file_name), r"\.[^.]*$", ""), "_", " ")
 
 
+def stripped(text) -> Column:
+    """Without white space of any kind at either end."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def document_problems(title, text, max_words="max_words", overlap="overlap", max_title: int = 200, max_text: int = 1_000_000) -> Column:
     """Names of a record's broken limits, comma-separated; an empty string for a valid record."""
-    t = F.trim(F.coalesce(F.col(title), F.lit("")))
+    t = stripped(title)
     rules = {
         "title": (F.length(t) < 1) | (F.length(t) > max_title),
-        "text": (F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))) < 1) | (F.length(text) > max_text),
+        "text": (F.length(stripped(text)) < 1) | (F.length(text) > max_text),
         "max_words": ~F.coalesce(F.col(max_words).between(1, 1000), F.lit(False)),
         "overlap": ~F.coalesce(F.col(overlap).between(0, 999) & (F.col(overlap) < F.col(max_words)), F.lit(False)),
     }
     return F.concat_ws(",", *[F.when(bad, name) for name, bad in rules.items()])
 
 
-def query_problems(question, k="k", ef_search="ef_search") -> Column:
-    q = F.trim(F.regexp_replace(F.coalesce(F.col(question), F.lit("")), r"\s+", " "))
-    rules = {"question": (F.length(q) < 1) | (F.length(F.trim(question)) > 2000), "k": ~F.coalesce(F.col(k).between(1, 50), F.lit(False)), "ef_search": ~F.coalesce(F.col(ef_search).between(1, 2000), F.lit(False))}
+def query_problems(question, k="k", ef_search="ef_search", max_question: int = 2000) -> Column:
+    n = F.length(stripped(question))
+    rules = {"question": (n < 1) | (n > max_question), "k": ~F.coalesce(F.col(k).between(1, 50), F.lit(False)), "ef_search": ~F.coalesce(F.col(ef_search).between(1, 2000), F.lit(False))}
     return F.concat_ws(",", *[F.when(bad, name) for name, bad in rules.items()])

@@ -24,8 +24,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def train_cells(vectors: DataFrame, cells: int, metric: str = "cosine", iterations: int = 10, seed: int = 0, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> np.ndarray:
     """Centroids by k-means on a bounded sample: the ``sample`` rows of least XXH64 of their id."""
-    got = vectors.select(F.col(vec_col).cast("array<double>"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample).collect()
-    x = np.array([r[0] for r in got], np.float64)
+    got = vectors.select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).where("v is not null").orderBy("h").limit(sample).toArrow()
+    x = matrix(got.column("v").combine_chunks())
     x = _unit(x) if metric_name(metric) == "cosine" else x
     c = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
     for _ in range(iterations):
@@ -50,10 +50,10 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray, metric: str = "cosin
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, cell int, embedding array<double>")
 
 
-def ivf_search(index: DataFrame, centroids: np.ndarray, queries: list[tuple[int, list[float]]], k: int, nprobe: int, metric: str = "cosine") -> DataFrame:
+def ivf_search(index: DataFrame, centroids: np.ndarray, queries: tuple[np.ndarray, np.ndarray], k: int, nprobe: int, metric: str = "cosine") -> DataFrame:
     """k nearest rows among each query's ``nprobe`` nearest cells; ``queries`` is one bounded block."""
     metric = metric_name(metric)
-    qid, q = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+    qid, q = queries
     probe = np.zeros((len(qid), len(centroids)), bool)
     near = pair_distances(_unit(q) if metric == "cosine" else q, centroids, "euclidean").argsort(1)[:, :nprobe]
     np.put_along_axis(probe, near, True, 1)
@@ -67,7 +67,7 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: list[tuple[int,
             for c in np.unique(cell):
                 rows, asks = np.flatnonzero(cell == c), np.flatnonzero(probe[:, c])
                 if len(asks):
-                    held.add(pair_distances(q[asks], x[rows], metric), ids[rows], asks)
+                    held.look(q, x[rows], ids[rows], metric, asks)
         yield held.batch(qid)
 
     return ranked(index.mapInArrow(run, "qid long, vec_id long, distance double"), k)
@@ -209,6 +209,12 @@ class Graph:
         np.savez(out, head=head, x=self.x.astype(np.float32), layers=np.array([len(v) for v in self.links], np.int32), degree=np.array([len(v) for v in near], np.int32), near=np.array([j for v in near for j in v], np.int32))
         return out.getvalue()
 
+    @staticmethod
+    def vectors(data: bytes) -> np.ndarray:
+        """The vectors of a stored graph, without its links."""
+        with np.load(io.BytesIO(data), allow_pickle=False) as f:
+            return f["x"].astype(np.float64)
+
     @classmethod
     def from_bytes(cls, data: bytes) -> "Graph":
         """Raises ``ValueError`` for anything that ``to_bytes`` can't have made."""
@@ -251,6 +257,8 @@ class Graph:
 
 SHARD_ROWS, FEWEST = 2000, 250
 SHARDS = "shard int, ids array<long>, graph binary"
+#: What a step of a walk costs, in rows of a scan by matrix product; and up to how many shards queries are routed.
+STEP_COST, MAX_SHARDS = 40, 100_000
 
 
 def shard_count(spark: SparkSession, rows: int, shard_rows: int = SHARD_ROWS) -> int:
@@ -258,8 +266,30 @@ def shard_count(spark: SparkSession, rows: int, shard_rows: int = SHARD_ROWS) ->
     return max(1, -(-rows // shard_rows), min(spark.sparkContext.defaultParallelism, -(-rows // FEWEST)))
 
 
-def graph_shards(vectors: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
-    """``(shard, ids, graph)``: one row for each shard's graph, so a search needs no shuffle of vectors."""
+def routed(vectors: DataFrame, shards: int, metric: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, np.ndarray]:
+    """``(shard, vec_id, embedding)`` by nearest centroid, and each shard's centroid.
+
+    A cell of more than ``shard_rows`` rows is dealt over several shards by its ids' hash.
+    """
+    centroids = train_cells(vectors, shards, metric)
+    rows = assign_cells(vectors.where("embedding is not null"), centroids, metric)
+    parts = {r[0]: -(-r[1] // shard_rows) for r in rows.groupBy("cell").count().collect()}  # a row a cell
+    first, number = {}, 0
+    for c in sorted(parts):
+        first[c], number = number, number + parts[c]
+    plan = rows.sparkSession.createDataFrame([(c, first[c], parts[c]) for c in parts], "cell int, first int, parts int")
+    rows = rows.join(F.broadcast(plan), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+    return rows.select("shard", "vec_id", "embedding"), np.repeat(centroids[sorted(parts)], [parts[c] for c in sorted(parts)], 0)
+
+
+def by_hash(vectors: DataFrame, shards: int) -> DataFrame:
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.where("embedding is not null")
+
+
+def graph_shards(rows: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
+    """``(shard, ids, graph)`` of rows ``(shard, vec_id, embedding)``: one row for each shard's graph, so a search
+    needs no shuffle of vectors."""
 
     def build(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
@@ -267,9 +297,8 @@ def graph_shards(vectors: DataFrame, shards: int, dim: int, metric: str = "cosin
         g = Graph(dim, metric, m, ef_construction, seed).build(matrix(t.column("embedding").combine_chunks())[order])
         return pa.table({"shard": t.column("shard")[:1].cast(pa.int32()), "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())), "graph": pa.array([g.to_bytes()], pa.binary())})
 
-    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    tasks = min(shards, max(4 * vectors.sparkSession.sparkContext.defaultParallelism, shards // 16))  # a stated number isn't coalesced
-    return rows.where("embedding is not null").repartition(tasks, "shard").groupBy("shard").applyInArrow(build, SHARDS)
+    tasks = min(shards, max(4 * rows.sparkSession.sparkContext.defaultParallelism, shards // 16))  # a stated number isn't coalesced
+    return rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(build, SHARDS)
 
 
 def shard_links(index: DataFrame) -> DataFrame:
@@ -286,33 +315,50 @@ def shard_links(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "shard int, node long, level int, neighbors array<long>")
 
 
-def shard_search(index: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef: int = 100) -> DataFrame:
-    """The k best of every query of one bounded block: each task merges those of its shards."""
-    handle = index.sparkSession.sparkContext.broadcast(queries)
+def shard_search(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, ef: int = 100, centroids: np.ndarray | None = None, probes: int | None = None, metric: str = "cosine", walk: bool | None = None) -> DataFrame:
+    """The k best of every query of one bounded block: each task merges those of its shards.
+
+    With ``centroids`` (a row for each shard) a query visits its ``probes`` nearest shards only. A shard is walked by its
+    graph, or scanned for all of its queries at once by a matrix product if that costs less; ``walk`` decides for all.
+    """
+    qid, q = queries
+    visit = None
+    if centroids is not None and probes is not None and probes < len(centroids):
+        near = pair_distances(_unit(q) if metric_name(metric) == "cosine" else q, centroids, "euclidean").argpartition(probes - 1, 1)[:, :probes]
+        visit = np.zeros((len(q), len(centroids)), bool)
+        np.put_along_axis(visit, near, True, 1)
+    handle = index.sparkSession.sparkContext.broadcast((qid, q, visit))
 
     def run(batches):
-        qid = np.array([q for q, _ in handle.value], np.int64)
+        qid, q, visit = handle.value
         held = Best(len(qid), k)
         for b in batches:
-            for ids, data in zip(b.column("ids"), b.column("graph")):
-                g, ids = Graph.from_bytes(data.as_py()), ids.values.to_numpy()
-                hits = [(n, i, d) for n, (_, v) in enumerate(handle.value) for d, i in g.search(v, k, ef)]
+            for shard, ids, data in zip(b.column("shard").to_pylist(), b.column("ids"), b.column("graph")):
+                asks = np.arange(len(qid)) if visit is None else np.flatnonzero(visit[:, shard])
+                if not len(asks):
+                    continue
+                raw, ids = data.as_py(), ids.values.to_numpy()
+                if not walk and (walk is False or len(ids) <= STEP_COST * max(ef, k)):
+                    held.look(q, Graph.vectors(raw), ids, metric_name(metric), asks)
+                    continue
+                g = Graph.from_bytes(raw)
+                hits = [(n, i, d) for n in asks.tolist() for d, i in g.search(q[n], k, ef)]
                 if hits:
                     n, i, d = map(np.array, zip(*hits))
                     held.merge(n, ids[i], d)
         yield held.batch(qid)
 
-    return ranked(index.select("ids", "graph").mapInArrow(run, "qid long, vec_id long, distance double"), k)
+    return ranked(index.select("shard", "ids", "graph").mapInArrow(run, "qid long, vec_id long, distance double"), k)
 
 
 def graph_links(vectors: DataFrame, shards: int, dim: int, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
     """``(shard, node, level, neighbors)`` of graphs built for the purpose."""
-    return shard_links(graph_shards(vectors, shards, dim, metric, m, ef_construction, seed))
+    return shard_links(graph_shards(by_hash(vectors, shards), shards, dim, metric, m, ef_construction, seed))
 
 
-def graph_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], shards: int, dim: int, k: int, ef: int = 100, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
-    """Search graphs built for the purpose; to search more than once, keep a ``GraphIndex``."""
-    return shard_search(graph_shards(vectors, shards, dim, metric, m, ef_construction, seed), queries, k, ef)
+def graph_search(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray], shards: int, dim: int, k: int, ef: int = 100, metric: str = "cosine", m: int = 16, ef_construction: int = 100, seed: int = 0x5EED) -> DataFrame:
+    """Walk graphs built for the purpose; to search more than once, keep a ``GraphIndex``."""
+    return shard_search(graph_shards(by_hash(vectors, shards), shards, dim, metric, m, ef_construction, seed), queries, k, ef, metric=metric, walk=True)
 
 
 class GraphIndex:
@@ -329,7 +375,7 @@ class GraphIndex:
         state = self.versions.current()
         if state is None:
             Graph(dim or 0, metric or "cosine", m, ef_construction)
-            state = {"format": self.FORMAT, "version": 0, "dim": dim, "metric": metric_name(metric or "cosine"), "m": m, "ef_construction": ef_construction, "seed": seed, "rows": 0, "segments": [], "digest": [0, 0]}
+            state = {"format": self.FORMAT, "version": 0, "dim": dim, "metric": metric_name(metric or "cosine"), "m": m, "ef_construction": ef_construction, "seed": seed, "rows": 0, "segments": [], "shards": [], "digest": [0, 0]}
         elif state["format"] != self.FORMAT or dim not in (None, state["dim"]) or metric and metric_name(metric) != state["metric"]:
             raise ValueError(f"the stored index is of format {state['format']}, width {state['dim']}, metric {state['metric']}")
         self.state = state
@@ -345,29 +391,71 @@ class GraphIndex:
     dim = property(lambda self: self.state["dim"])
     metric = property(lambda self: self.state["metric"])
 
+    def _read(self, name: str, schema: str) -> DataFrame:
+        folders = [f"{self.versions.folder(v)}/{name}" for v in self.state["segments"]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
     def shards(self) -> DataFrame:
-        folders = [f"{self.versions.folder(v)}/shards" for v in self.state["segments"]]
-        return self.spark.read.schema(SHARDS).parquet(*folders) if folders else self.spark.createDataFrame([], SHARDS)
+        return self._read("shards", SHARDS)
+
+    def vectors(self) -> DataFrame:
+        """``(vec_id, embedding)`` as stored (of unit length under cosine)."""
+
+        def run(batches):
+            for b in batches:
+                for ids, data in zip(b.column("ids"), b.column("graph")):
+                    x = Graph.vectors(data.as_py()).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([ids.values, pa.array(x.tolist(), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+
+        return self.shards().select("ids", "graph").mapInArrow(run, "vec_id long, embedding array<float>")
+
+    def _write(self, version: int, rows: DataFrame, n: int, first: int, shard_rows: int) -> tuple[int, list[int]]:
+        """Write the graphs and centroids of ``rows`` as a segment; how many shards, and their digest."""
+        s, folder = self.state, self.versions.fresh(version)
+        dealt, centroids = routed(rows, shard_count(self.spark, n, shard_rows), self.metric, shard_rows)
+        dealt = dealt.withColumn("shard", (F.col("shard") + first).cast("int"))
+        graph_shards(dealt, len(centroids), self.dim, self.metric, s["m"], s["ef_construction"], s["seed"]).write.parquet(f"{folder}/shards")
+        self.spark.createDataFrame([(first + i, c) for i, c in enumerate(centroids.tolist())], "shard int, centroid array<double>").write.parquet(f"{folder}/centroids")
+        return len(centroids), digest(self.spark.read.schema(SHARDS).parquet(f"{folder}/shards"))
+
+    def _commit(self, version: int, change: dict) -> "GraphIndex":
+        state = self.state | change | {"version": version}
+        self.versions.commit(state)
+        self.state = state
+        return self
 
     def add(self, vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> "GraphIndex":
-        """Add rows ``(vec_id, embedding)``, whose ids must be new; all are checked before anything is stored."""
+        """Add rows ``(vec_id, embedding)``, whose ids must be new and differ; all are checked before anything is stored."""
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
         require_valid(rows, self.dim)
         if not (n := rows.count()):
             return self
+        twice = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+        held = self.shards().select(F.explode("ids").alias("vec_id")).join(rows.select("vec_id"), "vec_id", "left_semi")
+        if found := (twice.unionByName(held) if self.state["segments"] else twice).limit(1).collect():
+            raise ValueError(f"vector {found[0][0]}: its id is taken")
         version, s = self.state["version"] + 1, self.state
-        folder = f"{self.versions.fresh(version)}/shards"
-        graph_shards(rows, shard_count(self.spark, n, shard_rows), self.dim, self.metric, s["m"], s["ef_construction"], s["seed"]).write.parquet(folder)
-        own = digest(self.spark.read.schema(SHARDS).parquet(folder))
-        state = s | {"version": version, "rows": s["rows"] + n, "segments": [*s["segments"], version], "digest": joined_digest(s["digest"], own)}
-        self.versions.commit(state)
-        self.state = state
-        return self
+        shards, own = self._write(version, rows, n, sum(s["shards"]), shard_rows)
+        return self._commit(version, {"rows": s["rows"] + n, "segments": [*s["segments"], version], "shards": [*s["shards"], shards], "digest": joined_digest(s["digest"], own)})
+
+    def compact(self, shard_rows: int = SHARD_ROWS) -> "GraphIndex":
+        """Build all segments anew as one, so that a search visits no more shards than one of a fresh index."""
+        if len(self.state["segments"]) < 2:
+            return self
+        version = self.state["version"] + 1
+        shards, own = self._write(version, self.vectors(), self.state["rows"], 0, shard_rows)
+        return self._commit(version, {"segments": [version], "shards": [shards], "digest": own})
 
-    def search(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
-        """``(qid, vec_id, distance, rank)`` for queries ``(qid, embedding)``."""
+    def search(self, queries: DataFrame, k: int, ef: int = 100, probes: int | None = None, walk: bool | None = None) -> DataFrame:
+        """``(qid, vec_id, distance, rank)`` for queries ``(qid, embedding)``; of many shards a fifth, four at least, are
+        visited by a query unless ``probes`` says otherwise."""
         require_valid(queries, self.dim, "qid")
-        return by_blocks(self.spark, in_blocks(queries), lambda rows: shard_search(self.shards(), rows, max(k, 0), max(ef, k)))
+        n, centroids = sum(self.state["shards"]), None
+        if 0 < n <= MAX_SHARDS:
+            got = self._read("centroids", "shard int, centroid array<double>").orderBy("shard").collect()  # a row a shard
+            centroids = np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+        probes = max(4, -(-n // 5)) if probes is None else probes
+        return by_blocks(self.spark, in_blocks(queries), lambda rows: shard_search(self.shards(), rows, max(k, 0), max(ef, k), centroids, probes, self.metric, walk))
 
     def links(self) -> DataFrame:
         return shard_links(self.shards())

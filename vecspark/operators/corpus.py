@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashedEmbedder, with_embedding
+from ..functions.text import document_problems, query_problems, stripped
 from ..sources.storage import Versions, digest, joined_digest, written
+from ..settings import Settings
+from .ann import GraphIndex
+from .ids import dense_ids
 from .retrieval import MAX_WORDS, OVERLAP, ask, chunk_documents
 
 FORMAT, SEGMENTS = 1, 64
@@ -29,17 +33,8 @@ class CorruptSnapshot(ValueError):
     pass
 
 
-def dense_ids(df: DataFrame, order: list[str], out: str, base: int = 0) -> DataFrame:
-    """``df`` with ids from ``base`` without gaps in the given order: ranges are sorted apart and offset by their counts."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = written(parts.withColumn("__vs_part", F.spark_partition_id()).withColumn("__vs_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
-    counts = sorted((r[0], r[1]) for r in parts.groupBy("__vs_part").count().collect())  # one row a partition
-    start, rows = base, []
-    for p, n in counts:
-        rows.append((p, start))
-        start += n
-    first = F.create_map(*[F.lit(x) for pair in rows for x in pair]) if rows else F.expr("cast(map() as map<int,bigint>)")
-    return parts.withColumn(out, F.element_at(first.cast("map<int,bigint>"), F.col("__vs_part")) + F.col("__vs_at")).drop("__vs_part", "__vs_at")
+class Invalid(ValueError):
+    """A document or question beyond the limits; nothing was changed."""
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -67,11 +62,14 @@ class Corpus:
 
     TABLES = ("documents", "chunks", "vectors")
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, max_words: int = MAX_WORDS, overlap: int = OVERLAP, read_only: bool = False, verify: bool = True):
-        """``verify`` reads all tables once and holds them against the manifest and the constraints."""
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, max_words: int = MAX_WORDS, overlap: int = OVERLAP, read_only: bool | None = None, verify: bool = True, settings: Settings | None = None):
+        """``verify`` reads all tables once and holds them against the manifest and the constraints. ``settings`` are
+        read from the environment by default: limits, score floor, and whether changes are allowed."""
+        self.settings = settings or Settings.read()
+        read_only = not self.settings.uploads if read_only is None else read_only
         self.spark, self.versions, self.embedder = spark, Versions(spark, path), embedder or HashedEmbedder()
         self.path, self.max_words, self.overlap, self.read_only = self.versions.path, max_words, overlap, read_only
-        self.state = {"format": FORMAT, "version": 0, "next_doc_id": 0, "embedder": getattr(self.embedder, "identity", {"type": type(self.embedder).__name__}), "batches": [], "segments": [], "rows": {t: [0, 0] for t in self.TABLES}}
+        self.state = {"format": FORMAT, "version": 0, "next_doc_id": 0, "embedder": getattr(self.embedder, "identity", {"type": type(self.embedder).__name__}), "last_batch": -1, "segments": [], "rows": {t: [0, 0] for t in self.TABLES}}
         self._load(verify)
 
     def _load(self, verify: bool) -> None:
@@ -119,7 +117,7 @@ class Corpus:
         full.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(f"{folder}/vectors")
         chunks = self.spark.read.schema(self.SCHEMAS["chunks"]).parquet(f"{folder}/chunks")
         documents.select("doc_id", "title").join(chunk_counts(documents, chunks), "doc_id").write.parquet(f"{folder}/documents")
-        state = self.state | {"version": version, "next_doc_id": next_doc_id, "batches": (self.state["batches"] + ([batch_id] if batch_id is not None else []))[-1000:], "segments": self.state["segments"] * append + [version]}
+        state = self.state | {"version": version, "next_doc_id": next_doc_id, "last_batch": self.state["last_batch"] if batch_id is None else batch_id, "segments": self.state["segments"] * append + [version]}
         state["rows"] = {t: digest(self.spark.read.schema(self.SCHEMAS[t]).parquet(f"{folder}/{t}")) for t in self.TABLES}
         if append:
             state["rows"] = {t: joined_digest(self.state["rows"][t], own) for t, own in state["rows"].items()}
@@ -137,13 +135,25 @@ class Corpus:
         rows = chunk_documents(docs, self.max_words, self.overlap).drop("n_words").join(docs.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
         return with_embedding(rows, "text", self.embedder).withColumn("embedding", F.col("embedding").cast("array<float>"))
 
-    def add(self, docs: DataFrame, batch_id=None) -> None:
-        """Add rows (title, text); ids go on from the counter. A batch id that was committed before is skipped."""
+    def _valid(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with trimmed titles; raises for the first that breaks a limit."""
+        own = docs.withColumn("max_words", F.lit(self.max_words)).withColumn("overlap", F.lit(self.overlap))
+        bad = own.select("title", document_problems("title", "text", max_title=self.settings.max_title, max_text=self.settings.max_text).alias("p")).where("p <> ''").orderBy("title").limit(1).collect()
+        if bad:
+            raise Invalid(f"document {bad[0][0]!r}: {bad[0][1]}")
+        return docs.withColumn("title", stripped("title"))
+
+    def add(self, docs: DataFrame, batch_id: int | None = None) -> None:
+        """Add rows (title, text); ids go on from the counter, by title and text, or by a column ``arrival`` if there is one.
+
+        Batch ids go up: one that isn't above the last that was committed is a repetition and skipped. A document
+        beyond the limits raises before anything is written.
+        """
         self._guard()
-        if batch_id is not None and batch_id in self.state["batches"]:
+        if batch_id is not None and batch_id <= self.state["last_batch"]:
             return
-        start = self.state["next_doc_id"]
-        new = written(dense_ids(docs.select(F.trim("title").alias("title"), "text"), ["title", "text"], "doc_id", start), "new-documents")
+        start, order = self.state["next_doc_id"], ["arrival"] if "arrival" in docs.columns else ["title", "text"]
+        new = written(dense_ids(self._valid(docs).select("title", "text", *[c for c in order if c == "arrival"]), order, "doc_id", start), "new-documents")
         titles, rows, after = new.select("doc_id", "title"), self._chunked(new), start + new.count()
         if append := len(self.state["segments"]) < SEGMENTS:
             return self._commit(titles, rows, after, batch_id, append)
@@ -164,19 +174,36 @@ class Corpus:
         """Replace documents (doc_id, title, text) under their ids; only their texts are embedded."""
         self._guard()
         self._found(docs)
-        new = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "text"), "replaced")
+        new = written(self._valid(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "title", "text"), "replaced")
         rows = without(self._held(), new).unionByName(self._chunked(new))
         titles = without(self.table("documents"), new).select("doc_id", "title").unionByName(new.select("doc_id", "title"))
         self._commit(titles, rows, self.state["next_doc_id"])
 
-    def ask(self, questions: DataFrame, **options) -> DataFrame:
-        return ask(self.chunks().select("doc_id", "ordinal", "text"), questions, embedder=self.embedder, **options)
+    def index(self) -> GraphIndex:
+        """A graph index of the stored vectors, kept beside this version's tables and built when first asked for."""
+        found = GraphIndex(self.spark, f"{self.path}/index-{self.state['version']}", self.embedder.dim)
+        return found if len(found) else found.add(self.table("vectors").select(F.col("chunk_id").alias("vec_id"), "embedding"))
+
+    def ask(self, questions: DataFrame, k: int = 5, ef_search: int | None = None, **options) -> DataFrame:
+        """Answers from the stored vectors, exactly or, with ``ef_search``, by the graph index; a question beyond the
+        limits raises."""
+        own = questions.withColumn("k", F.lit(k)).withColumn("ef_search", F.lit(100 if ef_search is None else ef_search))
+        bad = own.select("qid", query_problems("question", max_question=self.settings.max_question).alias("p")).where("p <> ''").orderBy("qid").limit(1).collect()
+        if bad:
+            raise Invalid(f"question {bad[0][0]}: {bad[0][1]}")
+        options = {"floor": self.settings.floor, "embedder": self.embedder} | options
+        if ef_search is None:
+            options["vectors"] = self.table("vectors")
+        else:
+            index = self.index()
+            options["search"] = lambda asked, n: index.search(asked, n, ef_search)
+        return ask(self.chunks(), questions, k, **options)
 
     def stats(self) -> DataFrame:
-        return stats(self.table("documents"), self.table("chunks"), self.embedder.dim, "mock", not self.read_only)
+        return stats(self.table("documents"), self.table("chunks"), self.embedder.dim, "mock", not self.read_only, self.settings)
 
 
-def stats(documents: DataFrame, chunks: DataFrame, dim: int, generation: str = "mock", uploads: bool = True) -> DataFrame:
+def stats(documents: DataFrame, chunks: DataFrame, dim: int, generation: str = "mock", uploads: bool = True, settings: Settings = Settings()) -> DataFrame:
     """One row: counts, dimension and nested limits."""
     n = documents.agg(F.count("*").alias("documents")).select("documents", F.lit(1).alias("j")).join(chunks.agg(F.count("*").alias("chunks")).select("chunks", F.lit(1).alias("j")), "j").drop("j")
-    return n.withColumn("dim", F.lit(dim)).withColumn("generation", F.lit(generation)).withColumn("limits", F.struct(F.lit(200).alias("title"), F.lit(1_000_000).alias("text"), F.lit(2000).alias("question"))).withColumn("uploads", F.lit(uploads))
+    return n.withColumn("dim", F.lit(dim)).withColumn("generation", F.lit(generation)).withColumn("limits", F.struct(F.lit(settings.max_title).alias("title"), F.lit(settings.max_text).alias("text"), F.lit(settings.max_question).alias("question"))).withColumn("uploads", F.lit(uploads))

@@ -1,8 +1,8 @@
 """Exact nearest neighbours: a stated query set against all rows, in blocks.
 
-Queries come in blocks of at most ``block`` rows, each broadcast; every task keeps the k best of its rows for
-each query (matrix products on Arrow batches), so the shuffle carries k rows for each query and task. Order is by
-distance, then id.
+A block of queries is broadcast, more are read tile by tile from the shared folder; every task keeps the k best of its
+rows for each query (matrix products on Arrow batches, the few candidates compared exactly), so the shuffle carries
+k rows for each query and task. Order is by distance, then id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import first_not_finite, metric_name, wrong_width
 from ..sources.storage import scratch
 
-BLOCK, HITS = 4096, "qid long, vec_id long, distance double, rank int"
+#: Numbers in the vectors of a block of queries.
+BLOCK_VALUES, HITS = 4_000_000, "qid long, vec_id long, distance double, rank int"
 
 
 def validate_vectors(df: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -38,33 +39,58 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def pair_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all pairs by matrix products: fast, but the last bits depend on a pair's place."""
+    s = comparison(q, x, metric)
+    return np.sqrt(np.maximum(s, 0)) if metric == "euclidean" else s
+
+
+def comparison(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """What orders as the distances do, without their square roots."""
     if metric == "euclidean":
-        d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-        near = np.argwhere(d < 1e-6)  # cancellation: do the few close pairs again
-        if len(near):
-            diff = q[near[:, 0]] - x[near[:, 1]]
-            d[near[:, 0], near[:, 1]] = (diff * diff).sum(1)
-        return np.sqrt(np.maximum(d, 0))
+        return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
     n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
     return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1, n))
 
 
+def exact_distances(q: np.ndarray, x: np.ndarray, metric: str, step: int = 1 << 20) -> np.ndarray:
+    """Distances of rows of ``q`` and ``x``, pair by pair: equal vectors have equal distances, to the last bit."""
+    out, step = np.empty(len(q)), max(1, step // max(1, q.shape[1]))
+    for s in range(0, len(q), step):
+        a, b = q[s : s + step], x[s : s + step]
+        if metric == "euclidean":
+            out[s : s + step] = np.sqrt(((a - b) ** 2).sum(1))
+        else:
+            n = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+            out[s : s + step] = np.where(n == 0, 1.0, 1 - (a * b).sum(1) / np.where(n == 0, 1, n))
+    return out
+
+
 class Best:
-    """The k nearest of each query by (distance, id), gathered from blocks of distances."""
+    """The k nearest of each query by (distance, id), gathered from blocks of rows."""
 
     def __init__(self, queries: int, k: int):
         self.n, self.k, self.worst = queries, k, np.full(queries, np.inf)
         self.q, self.i, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, d: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """``d``: a row for each query, or for those in ``rows`` only; distances that aren't finite never count."""
+    def look(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str, rows: np.ndarray | None = None, other: np.ndarray | None = None) -> None:
+        """Take the block ``x`` into account for all queries ``q`` or those in ``rows``; ``other``: ids not to be paired.
+
+        Matrix products pick whatever can be among the k nearest, rounding allowed for; those few are then compared exactly.
+        """
         rows = np.arange(self.n) if rows is None else rows
-        limit = self.worst[rows]
-        if d.shape[1] > self.k and not np.isfinite(limit).all():
-            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-        at, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        q = q[rows]
+        near, limit = comparison(q, x, metric), self.worst[rows]
+        if other is not None:
+            near[other[rows][:, None] == ids[None, :]] = np.inf
+        if metric == "euclidean":
+            limit, slack = limit * limit, 1e-12 * ((q * q).sum(1) + (x * x).sum(1).max(initial=0.0)) + 1e-300
+        else:
+            slack = np.full(len(q), 1e-10)
+        if near.shape[1] > self.k and not np.isfinite(limit).all():
+            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + slack)
+        at, col = np.nonzero((near <= (limit + slack)[:, None]) & np.isfinite(near))
         if len(at):
-            self.merge(rows[at], ids[col], d[at, col])
+            self.merge(rows[at], ids[col], exact_distances(q[at], x[col], metric))
 
     def merge(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
         """Hits as three columns: the query's row, the id, the distance."""
@@ -82,16 +108,31 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(qid[self.q]), pa.array(self.i), pa.array(self.d)], ["qid", "vec_id", "distance"])
 
 
-def in_blocks(queries: DataFrame, query_id: str = "qid", vec_col: str = "embedding", size: int = BLOCK):
-    """Lists of at most ``size`` pairs (id, vector); the driver reads one partition at a time."""
-    rows = []
-    for r in queries.select(F.col(query_id).cast("long"), F.col(vec_col)).where(F.col(vec_col).isNotNull()).toLocalIterator():
-        rows.append((r[0], r[1]))
+def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a table of two columns."""
+    return t.column(0).to_numpy().astype(np.int64), matrix(t.column(1).combine_chunks())
+
+
+def in_blocks(queries: DataFrame, query_id: str = "qid", vec_col: str = "embedding", size: int | None = None):
+    """Arrays of ids and vectors, of ``size`` rows or about ``BLOCK_VALUES`` numbers at most; of more queries than
+    that the driver reads one partition at a time."""
+    asked = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("q")).where("q is not null")
+    one = asked.first()
+    if one is None:
+        return
+    size = size or max(1, BLOCK_VALUES // max(1, len(one["q"])))
+    some = asked.limit(size + 1).toArrow()
+    if some.num_rows <= size:
+        yield arrays(some)
+        return
+    rows: list = []
+    for r in asked.toLocalIterator():
+        rows.append(r)
         if len(rows) == size:
-            yield rows
+            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
             rows = []
     if rows:
-        yield rows
+        yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
 
 def by_blocks(spark: SparkSession, blocks, search) -> DataFrame:
@@ -112,17 +153,26 @@ def by_blocks(spark: SparkSession, blocks, search) -> DataFrame:
     return spark.read.schema(HITS).parquet(folder)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows, null vectors none."""
+def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None) -> DataFrame:
+    """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows, null vectors none.
+
+    Up to ``block`` queries (by default of ``BLOCK_VALUES`` numbers in all) are broadcast. More are written to the shared folder once, in tiles of ``block`` rows that
+    every task reads one after the other for each of its blocks of the corpus: one job, whatever the number of queries.
+    """
     metric, spark = metric_name(metric), corpus.sparkSession
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
         return spark.createDataFrame([], HITS)
     side = corpus.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where("v is not null")
-
-    def search(rows):
-        handle = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+    asked = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("q")).where("q is not null")
+    one = asked.first()
+    if one is None:
+        return spark.createDataFrame([], HITS)
+    block = block or max(1, BLOCK_VALUES // max(1, len(one["q"])))
+    few = asked.limit(block + 1).toArrow()  # at most a block of queries
+    if few.num_rows <= block:
+        handle = spark.sparkContext.broadcast(arrays(few))
 
         def run(batches):
             qid, q = handle.value
@@ -130,16 +180,45 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
             for b in batches:
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1))
                 for s in range(0, len(ids), step):
-                    own = ids[s : s + step]
-                    d = pair_distances(q, x[s : s + step], metric)
-                    if exclude_self:
-                        d[qid[:, None] == own[None, :]] = np.inf
-                    held.add(d, own)
+                    held.look(q, x[s : s + step], ids[s : s + step], metric, other=qid if exclude_self else None)
             yield held.batch(qid)
 
         return ranked(side.mapInArrow(run, "qid long, vec_id long, distance double"), k)
-
-    return by_blocks(spark, in_blocks(queries, query_id, vec_col, block), search)
+    folder = scratch(spark, "queries")
+    asked.write.option("maxRecordsPerFile", block).parquet(folder)
+
+    def tiled(batches):
+        from pyarrow import fs, parquet
+
+        disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        tiles = sorted(x.path for x in disk.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
+        for ids, x in _joined(batches):
+            for path in tiles:
+                if not (t := parquet.read_table(path, filesystem=disk)).num_rows:
+                    continue
+                qid, q = arrays(t)
+                held, step = Best(len(qid), k), max(2048, 2_000_000 // max(1, len(qid)))
+                for s in range(0, len(ids), step):
+                    held.look(q, x[s : s + step], ids[s : s + step], metric, other=qid if exclude_self else None)
+                yield held.batch(qid)
+
+    return ranked(side.mapInArrow(tiled, "qid long, vec_id long, distance double"), k)
+
+
+def _joined(batches, values: int = 16_000_000):
+    """Ids and vectors of several batches at a time, up to ``values`` numbers."""
+    ids, xs, n = [], [], 0
+    for b in batches:
+        x = matrix(b.column(1))
+        if n and n + x.size > values:
+            yield np.concatenate(ids), np.concatenate(xs)
+            ids, xs, n = [], [], 0
+        if len(x):
+            ids.append(b.column(0).to_numpy())
+            xs.append(x)
+            n += x.size
+    if ids:
+        yield np.concatenate(ids), np.concatenate(xs)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

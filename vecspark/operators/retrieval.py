@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashedEmbedder, with_embedding
 from ..functions.text import citation_numbers, packed_chunks
 from ..functions.vectors import score
+from .ids import dense_ids
 from .knn import knn
 
 MAX_WORDS, OVERLAP, FLOOR = 180, 40, 0.09
 NO_DOCUMENTS = "No documents match this question."
+REFUSED = "The model gave no answer."
 
 
 def chunk_documents(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
@@ -20,36 +25,72 @@ def chunk_documents(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int =
     return rows.select("doc_id", "ordinal", F.size("w").alias("n_words"), F.array_join("w", " ").alias("text"))
 
 
-def chunk_key(doc="doc_id", ordinal="ordinal"):
-    """A stable id of a chunk: document in the upper bits, ordinal in the lower 24."""
-    return F.shiftleft(F.col(doc).cast("long"), 24).bitwiseOR(F.col(ordinal).cast("long"))
-
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, floor: float | None = FLOOR, embedder: Embedder | None = None, metric: str = "cosine", vectors: DataFrame | None = None, search: Callable | None = None) -> DataFrame:
+    """``(qid, rank, chunk_id, doc_id, doc_title, ordinal, score, text)``: hits at or above the floor, which comes before rounding.
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5, floor: float | None = FLOOR, embedder: Embedder | None = None, metric: str = "cosine") -> DataFrame:
-    """``(qid, rank, doc_id, ordinal, score, text)``: hits at or above the floor; the floor comes before rounding."""
+    ``chunks`` without a ``chunk_id`` get dense ones by document and ordinal, and without a ``doc_title`` the id as title.
+    ``vectors`` (chunk_id, embedding) are stored vectors of the chunks, which then aren't embedded again; ``search``
+    (questions' vectors, k) may give ``(qid, vec_id, distance, rank)`` from an index in place of the exact search.
+    """
     embedder = embedder or HashedEmbedder()
-    keyed = chunks.withColumn("vec_id", chunk_key())
-    vectors = with_embedding(keyed.select("vec_id", "text"), "text", embedder).select("vec_id", "embedding")
+    if "chunk_id" not in chunks.columns:
+        chunks = dense_ids(chunks, ["doc_id", "ordinal"], "chunk_id")
+    title = F.col("doc_title") if "doc_title" in chunks.columns else F.col("doc_id").cast("string")
+    keyed = chunks.select(F.col("chunk_id").alias("vec_id"), "doc_id", title.alias("doc_title"), "ordinal", "text")
     asked = with_embedding(questions.select("qid", "question"), "question", embedder).select("qid", "embedding")
-    hits = knn(vectors, asked, k, metric).withColumn("score", score("distance", metric))
+    if search is None:
+        held = with_embedding(keyed.select("vec_id", "text"), "text", embedder).select("vec_id", "embedding") if vectors is None else vectors.select(F.col("chunk_id").alias("vec_id"), "embedding")
+        hits = knn(held, asked, k, metric)
+    else:
+        hits = search(asked, k)
+    hits = hits.withColumn("score", score("distance", metric))
     if floor is not None:
         hits = hits.where(F.col("score") >= floor)
-    return hits.join(keyed, "vec_id").select("qid", "rank", "doc_id", "ordinal", F.round("score", 4).alias("score"), "text")
+    return hits.join(keyed, "vec_id").select("qid", "rank", F.col("vec_id").alias("chunk_id"), "doc_id", "doc_title", "ordinal", F.round("score", 4).alias("score"), "text")
 
 
 def format_sources(hits: DataFrame) -> DataFrame:
-    """``(qid, context)``: numbered sources, blank lines between them."""
-    one = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (source: "), F.col("doc_id").cast("string"), F.lit(")\n"), F.col("text"))
+    """``(qid, context)``: numbered sources with their titles, blank lines between them."""
+    title = F.col("doc_title") if "doc_title" in hits.columns else F.col("doc_id").cast("string")
+    one = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (source: "), title, F.lit(")\n"), F.col("text"))
     parts = F.sort_array(F.collect_list(F.struct("rank", one.alias("s"))))
     return hits.groupBy("qid").agg(parts.alias("p")).select("qid", F.array_join(F.transform("p", lambda x: x["s"]), "\n\n").alias("context"))
 
 
 def extractive_answers(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(qid, answer, model)``: the best source quoted and cited; a fixed text where nothing was found."""
-    top = hits.where("rank = 1").select("qid", F.concat(F.lit("Based on the most relevant passage: "), F.substring("text", 1, 400), F.lit(" [1]")).alias("a"))
+    """``(qid, answer, model)``: the best source quoted whole and cited; a fixed text where nothing was found."""
+    top = hits.where("rank = 1").select("qid", F.concat(F.lit("Based on the most relevant passage: "), F.col("text"), F.lit(" [1]")).alias("a"))
     return questions.select("qid").join(top, "qid", "left").select("qid", F.coalesce("a", F.lit(NO_DOCUMENTS)).alias("answer"), F.lit("mock").alias("model"))
 
 
+def generated_answers(generate: Callable[[str, str], str | None], name: str, timeout: float = 30.0) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Answers of ``generate(question, context)`` for ``ask``; questions without sources get the fixed text, an empty
+    answer counts as a refusal, and one that takes more than ``timeout`` seconds fails the job: nothing stands in for it."""
+
+    def answers(hits: DataFrame, questions: DataFrame) -> DataFrame:
+        rows = questions.select("qid", "question").join(format_sources(hits), "qid", "left")
+
+        def run(batches):
+            from concurrent.futures import ThreadPoolExecutor
+
+            for b in batches:
+                out = []
+                for question, context in zip(b.column("question").to_pylist(), b.column("context").to_pylist()):
+                    if context is None:
+                        out.append(NO_DOCUMENTS)
+                        continue
+                    pool = ThreadPoolExecutor(1)
+                    try:
+                        out.append((pool.submit(generate, question, context).result(timeout) or "").strip() or REFUSED)
+                    finally:
+                        pool.shutdown(wait=False)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array(out, pa.string()), pa.array([name] * len(out), pa.string())], ["qid", "answer", "model"])
+
+        return rows.select(F.col("qid").cast("long").alias("qid"), "question", "context").mapInArrow(run, "qid long, answer string, model string")
+
+    return answers
+
+
 def cited_sources(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """``(qid, position, doc_id, ordinal)`` of the sources that answers cite, in the order of first mention."""
     marks = answers.select("qid", F.posexplode(citation_numbers("answer")).alias("pos", "n"))
@@ -58,14 +99,14 @@ def cited_sources(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return found.select("qid", F.row_number().over(w).alias("position"), "doc_id", "ordinal")
 
 
-def ask(chunks: DataFrame, questions: DataFrame, k: int = 5, floor: float | None = FLOOR, embedder: Embedder | None = None, generator=None) -> DataFrame:
+def ask(chunks: DataFrame, questions: DataFrame, k: int = 5, floor: float | None = FLOOR, embedder: Embedder | None = None, generator=None, **options) -> DataFrame:
     """Question, answer, model and nested sources with their ``cited`` flags.
 
     ``generator(hits, questions)`` may give ``(qid, answer, model)`` in place of the extractive answers.
     """
-    hits = retrieve(chunks, questions, k, floor, embedder)
+    hits = retrieve(chunks, questions, k, floor, embedder, **options)
     answers = (generator or extractive_answers)(hits, questions)
     cited = cited_sources(answers, hits).select("qid", "doc_id", "ordinal", F.lit(True).alias("c"))
     src = hits.join(cited, ["qid", "doc_id", "ordinal"], "left")
-    src = src.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "ordinal", "score", "text", F.coalesce("c", F.lit(False)).alias("cited")))).alias("sources"))
+    src = src.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "doc_id", "doc_title", "ordinal", "score", "text", F.coalesce("c", F.lit(False)).alias("cited")))).alias("sources"))
     return questions.join(answers, "qid").join(src, "qid", "left")

@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import HashedEmbedder, hashed_weights, with_embedding
-from ..functions.text import document_problems, query_problems, tokens
+from ..functions.embed import HashedEmbedder, hashed_weights, token_dictionary, with_embedding
+from ..functions.text import document_problems, query_problems, title_of, tokens
 from ..functions.vectors import dot, levels, norm, normalized, register
 from ..operators import ann
 from ..operators.corpus import Corpus, chunk_counts, dense_ids, integrity, stats, without
 from ..operators.knn import by_blocks, in_blocks, knn, recall, validate_vectors
 from ..operators.retrieval import ask, chunk_documents, cited_sources, extractive_answers, format_sources, retrieve
-from ..sources.storage import scratch, table, written
+from ..sources.storage import Files, scratch, table, written
 from ..sources.text_files import generated_vectors, text_files
 from ..streaming.ingest import ingest, windowed_events
 
@@ -110,6 +110,39 @@ def knn_join_labels(spark, d):
     return hits.groupBy("qid").agg(F.sum((F.col("cl") == F.col("ql")).cast("long")).alias("same_label"), F.count("*").alias("n"))
 
 
+TIED = "(SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN (SELECT embedding FROM embeddings WHERE vec_id = 0) ELSE embedding END AS embedding FROM embeddings)"
+
+
+def tied_sql(metric: str) -> str:
+    return f"""SELECT qid, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM (
+        SELECT q.vec_id AS qid, c.vec_id, {DISTANCE[metric]} AS distance FROM {TIED} q, {TIED} c WHERE q.vec_id % 60 = 0)) WHERE rank <= {K}"""
+
+
+def tied(spark, d, metric):
+    """Every third vector is the same one: its copies must come in the order of their ids."""
+    v = vectors(spark, d).select("vec_id", "embedding")
+    same = F.array(*[F.lit(x).cast("float") for x in v.where("vec_id = 0").first()["embedding"]])
+    v = v.select("vec_id", F.when(F.col("vec_id") % 3 == 0, same).otherwise(F.col("embedding")).alias("embedding")).repartition(7)
+    return knn(v, v.where("vec_id % 60 = 0").select(F.col("vec_id").alias("qid"), "embedding"), K, metric).select("qid", "vec_id", "rank")
+
+
+@query(tied_sql("l2"))
+def knn_ties_l2(spark, d):
+    return tied(spark, d, "l2")
+
+
+@query(tied_sql("cosine"))
+def knn_ties_cosine(spark, d):
+    return tied(spark, d, "cosine")
+
+
+@query(knn_sql("l2", where="q.vec_id % 2 = 0"))
+def knn_many_queries(spark, d):
+    """Queries in tiles that tasks read from the shared folder."""
+    v = vectors(spark, d)
+    return rounded(knn(v, v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("qid"), "embedding"), K, "l2", block=64), "distance")
+
+
 @query("SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first_value FROM embeddings WHERE vec_id = 7")
 def vector_point_lookup(spark, d):
     return vectors(spark, d).where("vec_id = 7").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
@@ -207,17 +240,34 @@ def lexical(spark, d, digest="md5", floor=0.09):
     return retrieve(chunk_documents(documents(spark, d)), questions(spark, d), 5, floor, HashedEmbedder(384, digest))
 
 
-CHUNK_ROWS = f"(SELECT (doc_id << 24) | ordinal AS vec_id, doc_id, ordinal, array_to_string(w, ' ') AS text FROM ({CHUNKS}))"
-HITS = f"""(SELECT qid, rank, score AS raw, c.doc_id, c.ordinal, c.text FROM (
+@query("SELECT token, CAST(('0x' || substr(md5(token), 1, 16))::UHUGEINT % 384 AS INTEGER) AS bucket, CASE WHEN substr(md5(token), 1, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)")
+def token_hashes(spark, d):
+    return token_dictionary(documents(spark, d), "text", 384)
+
+
+CHUNK_ROWS = f"(SELECT row_number() OVER (ORDER BY doc_id, ordinal) - 1 AS vec_id, doc_id, ordinal, array_to_string(w, ' ') AS text FROM ({CHUNKS}))"
+HITS = f"""(SELECT qid, rank, score AS raw, c.vec_id AS chunk_id, c.doc_id, c.ordinal, c.text FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(1 - score, 12), vec_id) AS rank FROM (
         SELECT q.item_id AS qid, c.vec_id, sum(q.weight * c.weight) AS score
         FROM ({weights_sql('benchmark', 'item_id', 'text', 384)}) q JOIN ({weights_sql(CHUNK_ROWS, 'vec_id', 'text', 384)}) c USING (bucket) GROUP BY 1, 2)) h
     JOIN {CHUNK_ROWS} c ON c.vec_id = h.vec_id WHERE rank <= 5 AND score >= 0.09)"""
 
 
-@query(f"SELECT qid, CAST(rank AS INTEGER) AS rank, round(raw, 4) AS score FROM {HITS}")
+@query(f"SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, doc_id, CAST(doc_id AS VARCHAR) AS doc_title, CAST(ordinal AS INTEGER) AS ordinal, round(raw, 4) AS score, text FROM {HITS}")
 def retrieve_lexical_md5(spark, d):
-    return lexical(spark, d).select("qid", "rank", "score")
+    return lexical(spark, d)
+
+
+@query(f"SELECT q.item_id AS qid, coalesce('Based on the most relevant passage: ' || h.text || ' [1]', 'No documents match this question.') AS answer FROM benchmark q LEFT JOIN (SELECT * FROM {HITS} WHERE rank = 1) h ON h.qid = q.item_id")
+def answers_md5(spark, d):
+    return extractive_answers(lexical(spark, d), questions(spark, d)).select("qid", "answer")
+
+
+@query(f"SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, rank = 1 AS cited FROM {HITS}")
+def ask_sources(spark, d):
+    """The nested answer's sources with their cited flags, flattened."""
+    got = ask(chunk_documents(documents(spark, d)), questions(spark, d), embedder=HashedEmbedder(384, "md5"))
+    return got.select("qid", F.explode("sources").alias("s")).select("qid", "s.rank", "s.chunk_id", "s.cited")
 
 
 @query()
@@ -226,23 +276,23 @@ def retrieve_blake2b(spark, d):
 
 
 def made_hits(spark, d):
-    """Hits without distances: the first three chunks of each document, numbered."""
-    return chunk_documents(documents(spark, d)).where("ordinal < 3").select(F.col("doc_id").alias("qid"), (F.col("ordinal") + 1).alias("rank"), "doc_id", "ordinal", "text")
+    """Hits without distances: all chunks of each document, numbered."""
+    return chunk_documents(documents(spark, d)).select(F.col("doc_id").alias("qid"), (F.col("ordinal") + 1).alias("rank"), "doc_id", "ordinal", "text")
 
 
-@query(f"SELECT qid, string_agg('[' || (ordinal + 1) || '] (source: ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) AS context FROM (SELECT *, doc_id AS qid FROM {CHUNK_ROWS} WHERE ordinal < 3) GROUP BY qid")
+@query(f"SELECT qid, string_agg('[' || (ordinal + 1) || '] (source: ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) AS context FROM (SELECT *, doc_id AS qid FROM {CHUNK_ROWS}) GROUP BY qid")
 def format_context(spark, d):
     return format_sources(made_hits(spark, d))
 
 
-@query(f"SELECT d.doc_id AS qid, coalesce('Based on the most relevant passage: ' || substr(c.text, 1, 400) || ' [1]', 'No documents match this question.') AS answer, 'mock' AS model FROM documents d LEFT JOIN (SELECT * FROM {CHUNK_ROWS} WHERE ordinal = 0) c USING (doc_id)")
+@query(f"SELECT d.doc_id AS qid, coalesce('Based on the most relevant passage: ' || c.text || ' [1]', 'No documents match this question.') AS answer, 'mock' AS model FROM documents d LEFT JOIN (SELECT * FROM {CHUNK_ROWS} WHERE ordinal = 0) c USING (doc_id)")
 def mock_answer(spark, d):
     return extractive_answers(made_hits(spark, d), documents(spark, d).select(F.col("doc_id").alias("qid")))
 
 
 @query(f"""SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY pos) AS INTEGER) AS position, c.doc_id, CAST(c.ordinal AS INTEGER) AS ordinal FROM (
     SELECT qid, n, min(pos) AS pos FROM (SELECT doc_id AS qid, unnest([2, 1, 9, 0, 2]) AS n, unnest([1, 2, 3, 4, 5]) AS pos FROM documents) GROUP BY qid, n) m
-    JOIN {CHUNK_ROWS} c ON c.doc_id = m.qid AND c.ordinal < 3 AND c.ordinal + 1 = m.n""")
+    JOIN {CHUNK_ROWS} c ON c.doc_id = m.qid AND c.ordinal + 1 = m.n""")
 def parse_citations(spark, d):
     answers = documents(spark, d).select(F.col("doc_id").alias("qid"), F.lit("See [2] and [1], not [9] or [0] or [99999999999999999999]; again [2].").alias("answer"))
     return cited_sources(answers, made_hits(spark, d))
@@ -285,9 +335,9 @@ def corpus_stats(spark, d):
     return stats(documents(spark, d), keyed(spark, d), 384).select("documents", "chunks", "dim")
 
 
-@query()
+@query(f"SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ({CHUNKS})) AS chunks, 384 AS dim, 'mock' AS generation, 200 AS title, 1000000 AS text, 2000 AS question, true AS uploads")
 def stats_struct(spark, d):
-    return stats(documents(spark, d), keyed(spark, d), 384)
+    return stats(documents(spark, d), keyed(spark, d), 384).select("documents", "chunks", "dim", "generation", "limits.title", "limits.text", "limits.question", "uploads")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -383,14 +433,56 @@ def recall_hnsw(spark, d):
     return recall(t, graph_index(spark, d).search(asked(v), K), K)
 
 
-@query()
+@query("SELECT count(*) AS nodes, true AS within_caps FROM embeddings")
 def graph_degree_caps(spark, d):
-    return graph_index(spark, d).links().groupBy("level").agg(F.max(F.size("neighbors")).alias("max_degree"), F.count("*").alias("nodes"))
+    """Every node has its lowest layer, and no node more neighbours than its layer allows."""
+    links = graph_index(spark, d).links()
+    return links.agg(F.sum((F.col("level") == 0).cast("long")).alias("nodes"), F.every(F.size("neighbors") <= F.when(F.col("level") == 0, 32).otherwise(16)).alias("within_caps"))
 
 
-@query()
+@query("SELECT vec_id AS node, true AS others, true AS once FROM embeddings WHERE vec_id % 20 = 0")
 def adjacency_expand(spark, d):
-    return ann.adjacency_expand(asked(vectors(spark, d)).select(F.col("qid").alias("node")), graph_index(spark, d).links(), 0)
+    """Neighbours of the frontier on the lowest layer: other nodes, each once."""
+    near = ann.adjacency_expand(asked(vectors(spark, d)).select(F.col("qid").alias("node")), graph_index(spark, d).links(), 0)
+    return near.groupBy("node").agg(F.every(F.col("neighbor") != F.col("node")).alias("others"), (F.count_distinct("neighbor") == F.count("*")).alias("once"))
+
+
+@query("SELECT vec_id AS qid, vec_id, 0.0::DOUBLE AS distance FROM embeddings WHERE vec_id % 20 = 0")
+def graph_finds_itself(spark, d):
+    """By walking the graphs, each stored vector's nearest is itself."""
+    v = vectors(spark, d)
+    hits = graph_index(spark, d).search(asked(v), 1, 100, walk=True)
+    return hits.select("qid", "vec_id", F.abs(F.round("distance", 5)).alias("distance"))
+
+
+@query("SELECT 'ivf' AS kind, true AS enough UNION ALL SELECT 'lsh', true UNION ALL SELECT 'graph', true")
+def recall_reached(spark, d):
+    """Recall of 0.95 of the graphs, and 0.9 of the inverted files and the hashing, against exact search."""
+    at_least = lambda df, kind, least: df.select(F.lit(kind).alias("kind"), (F.col("recall") >= least).alias("enough"))
+    return at_least(recall_ivf(spark, d), "ivf", 0.9).unionByName(at_least(recall_lsh(spark, d), "lsh", 0.9)).unionByName(at_least(recall_hnsw(spark, d), "graph", 0.95))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS first_value, round(embedding[64]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS last_value FROM embeddings")
+def graph_vectors_roundtrip(spark, d):
+    """Vectors of an index that was added to twice, compacted, opened again and read back."""
+    v, path = vectors(spark, d), scratch(spark, "graphs")
+    ann.GraphIndex(spark, path, DIM, m=8, ef_construction=32).add(v.where("vec_id % 3 <> 0")).add(v.where("vec_id % 3 = 0")).compact()
+    x = F.col("embedding").cast("array<double>")
+    return ann.GraphIndex(spark, path).vectors().select("vec_id", F.round(x[0], 4).alias("first_value"), F.round(x[63], 4).alias("last_value"))
+
+
+@query("SELECT 'vector 900000001: non_finite at 3' AS error, count(*) AS held FROM embeddings")
+def bad_batch_changes_nothing(spark, d):
+    """A batch with one bad vector is refused whole; the index holds what it held."""
+    v = vectors(spark, d).select("vec_id", "embedding")
+    index = graph_index(spark, d)
+    bad = v.where("vec_id < 5").select((F.col("vec_id") + 900_000_000).alias("vec_id"), F.when(F.col("vec_id") == 1, F.transform("embedding", lambda x, i: F.when(i == 3, float("nan")).otherwise(x).cast("float"))).otherwise(F.col("embedding")).alias("embedding"))
+    try:
+        index.add(bad)
+        error = "none"
+    except ValueError as e:
+        error = str(e)
+    return index.shards().agg(F.lit(error).alias("error"), F.sum(F.size("ids")).cast("long").alias("held"))
 
 
 @query("SELECT count(*) AS n, 64 AS dim FROM embeddings")
@@ -408,14 +500,34 @@ def diverse_select(spark, d):
     return ann.diverse_select(knn(v, asked(v), 20, "cosine", exclude_self=True), v, 8)
 
 
-@query()
+LEVELS_Z = """(SELECT vec_id, xor(c, c >> 31) AS z FROM (SELECT vec_id, (xor(b, b >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS c FROM (
+    SELECT vec_id, (xor(a, a >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS b FROM (
+    SELECT vec_id, ({seed}::UHUGEINT + (vec_id + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM embeddings))))"""
+
+
+def uniform_sql(index: str, seed: int) -> str:
+    """The uniform draw number ``index`` of SplitMix64, as a number in [0, 1)."""
+    top = "18446744073709551616::UHUGEINT"
+    a = f"(({seed}::UHUGEINT + (({index}) + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % {top})"
+    return f"list_transform(list_transform(list_transform([{a}], lambda z: (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {top}), lambda z: (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {top}), lambda z: CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992.0)[1]"
+
+
+@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(CAST(2 * {uniform_sql('vec_id * 16 + i', 42)} - 1 AS FLOAT) AS DOUBLE), 4) AS value FROM embeddings, range(16) AS t(i)")
+def synthetic_uniform(spark, d):
+    v = generated_vectors(spark, vectors(spark, d).count(), 16, seed=42)
+    return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
+@query(f"""SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(CAST(2 * {uniform_sql('own * 16 + i', 44)} - 1 + {' + '.join(f"0.1 * ({uniform_sql('vec_id * 16 + i', 45 + k)} - 0.5)" for k in range(4))} AS FLOAT) AS DOUBLE), 4) AS value
+    FROM (SELECT vec_id, CAST(z % 50 AS BIGINT) AS own FROM {LEVELS_Z.format(seed=43)}), range(16) AS t(i)""")
 def synthetic_clusters(spark, d):
-    return generated_vectors(spark, vectors(spark, d).count(), 16, seed=42, clusters=50)
+    v = generated_vectors(spark, vectors(spark, d).count(), 16, seed=42, clusters=50)
+    return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.round(F.col("x").cast("double"), 4).alias("value"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'title' ELSE '' END || CASE WHEN doc_id % 7 = 0 AND doc_id % 5 = 0 THEN ',' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'overlap' ELSE '' END AS problems FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
 def document_validation_rejects(spark, d):
-    rows = documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "  ").otherwise("a title").alias("title"), "text", F.lit(180).alias("max_words"), F.when(F.col("doc_id") % 5 == 0, 180).otherwise(40).alias("overlap"))
+    rows = documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 14 == 0, "  ").when(F.col("doc_id") % 7 == 0, "\t\n").otherwise("a title").alias("title"), "text", F.lit(180).alias("max_words"), F.when(F.col("doc_id") % 5 == 0, 180).otherwise(40).alias("overlap"))
     return rows.select("doc_id", document_problems("title", "text").alias("problems")).where("problems <> ''")
 
 
@@ -434,19 +546,46 @@ def built(spark, d):
 ITEM_CHUNKS = CHUNKS.replace("documents", "benchmark").replace("doc_id", "item_id")
 
 
-@query(f"SELECT 'item ' || lpad(CAST(item_id AS VARCHAR), 9, '0') AS doc_title, CAST(ordinal AS INTEGER) AS ordinal, row_number() OVER (ORDER BY item_id, ordinal) - 1 AS chunk_id FROM ({ITEM_CHUNKS})")
+ITEMS = "'item ' || lpad(CAST(item_id AS VARCHAR), 9, '0')"
+
+
+@query(f"SELECT {ITEMS} AS doc_title, dense_rank() OVER (ORDER BY item_id) - 1 AS doc_id, CAST(ordinal AS INTEGER) AS ordinal, row_number() OVER (ORDER BY item_id, ordinal) - 1 AS chunk_id, array_to_string(w, ' ') AS text FROM ({ITEM_CHUNKS})")
 def snapshot_roundtrip(spark, d):
     c = built(spark, d)
-    return Corpus(spark, c.path, HashedEmbedder(64)).chunks().select("doc_title", "ordinal", "chunk_id")
+    return Corpus(spark, c.path, HashedEmbedder(64)).chunks().select("doc_title", "doc_id", "ordinal", "chunk_id", "text")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, {ITEMS} AS title, (SELECT count(*) FROM ({ITEM_CHUNKS}) c WHERE c.item_id = b.item_id) AS n_chunks, row_number() OVER (ORDER BY item_id) - 1 AS position FROM benchmark b")
+def document_listing(spark, d):
+    """The listing with the position at which each document came."""
+    got = built(spark, d).documents().collect()  # a listing of the small collection, as a client sees it
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(got)], "doc_id long, title string, n_chunks long, position long")
 
 
-@query("SELECT 'q ' || item_id AS title FROM benchmark")
+LEFT = f"(SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY item_id) - 1 AS doc_id FROM ({ITEM_CHUNKS})) WHERE doc_id % 4 <> 1)"
+
+
+@query(f"SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, row_number() OVER (ORDER BY doc_id, ordinal) - 1 AS chunk_id, array_to_string(w, ' ') AS text FROM {LEFT}")
+def corpus_delete(spark, d):
+    c = built(spark, d)
+    c.delete(c.table("documents").where("doc_id % 4 = 1"))
+    return Corpus(spark, c.path, HashedEmbedder(64)).chunks().select("doc_id", "ordinal", "chunk_id", "text")
+
+
+@query(f"SELECT doc_id, ordinal, row_number() OVER (ORDER BY doc_id, ordinal) - 1 AS chunk_id, text FROM (SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, array_to_string(w, ' ') AS text FROM {LEFT} UNION ALL SELECT doc_id, 0, 'another text' FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id FROM benchmark) WHERE doc_id % 4 = 1)")
+def corpus_replace(spark, d):
+    c = built(spark, d)
+    c.replace(c.table("documents").where("doc_id % 4 = 1").select("doc_id", "title", F.lit("another  text").alias("text")))
+    return Corpus(spark, c.path, HashedEmbedder(64)).chunks().select("doc_id", "ordinal", "chunk_id", "text")
+
+
+@query(f"SELECT dense_rank() OVER (ORDER BY item_id) - 1 AS doc_id, 'q ' || lpad(CAST(item_id AS VARCHAR), 9, '0') AS title, CAST(ordinal AS INTEGER) AS ordinal, array_to_string(w, ' ') AS text FROM ({ITEM_CHUNKS})")
 def stream_ingest(spark, d):
     folder = scratch(spark, "incoming")
-    table(spark, d, "benchmark").select(F.concat(F.lit("q "), "item_id").alias("title"), "text").write.parquet(folder)
+    table(spark, d, "benchmark").select(F.concat(F.lit("q "), F.lpad("item_id", 9, "0")).alias("title"), "text").coalesce(1).write.parquet(folder)
     c = Corpus(spark, scratch(spark, "corpus"), HashedEmbedder(64))
     ingest(c, folder, "title string, text string")
-    return c.table("documents").select("title")
+    return c.chunks().select("doc_id", F.col("doc_title").alias("title"), "ordinal", "text")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -454,9 +593,17 @@ def windowed_event_counts(spark, d):
     return rounded(windowed_events(spark, table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "total", n=4).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a_first.md', 'a first', '# One' || chr(10) || chr(10) || 'Text.', 0), ('b.markdown', 'b', 'Two', 1), ('c_note.txt', 'c note', 'Three', 2)) AS t(file_name, title, text, position)")
 def markdown_scan(spark, d):
-    folder = scratch(spark, "notes")
-    docs = spark.sql("select * from values ('first_note', '# One\n\nText.'), ('second_note', 'Two') as t(name, text)")
-    docs.select("text", "name").write.partitionBy("name").text(folder)
-    return text_files(spark, folder + "/name=first_note", "*.txt").unionByName(text_files(spark, folder + "/name=second_note", "*.txt")).select("text")
+    """Text files of a folder in the order of their names; other files are left out."""
+    folder, files = scratch(spark, "notes"), Files(spark)
+    for name, text in (("c_note.txt", "Three"), ("b.markdown", "Two"), ("a_first.md", "# One\n\nText."), ("d.pdf", "no")):
+        files.put(f"{folder}/{name}", text)
+    got = text_files(spark, folder).collect()  # three files, as a client sees them
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(got)], "file_name string, title string, text string, position int").select("file_name", "title", "text", "position")
+
+
+@query("SELECT name, replace(regexp_replace(name, '\\.[^.]*$', ''), '_', ' ') AS title FROM (SELECT 'note_' || item_id || '.v1.md' AS name FROM benchmark)")
+def file_titles(spark, d):
+    names = table(spark, d, "benchmark").select(F.concat(F.lit("note_"), "item_id", F.lit(".v1.md")).alias("name"))
+    return names.select("name", title_of("name").alias("title"))

@@ -47,8 +47,9 @@ class Settings:
     max_text: int = 1_000_000
     max_question: int = 2000
     answer_timeout: float = 30.0
+    max_body: int = 2_000_000
 
-    PARSERS = {"uploads": flag, "floor": finite, "max_title": positive_int, "max_text": positive_int, "max_question": positive_int, "answer_timeout": positive}
+    PARSERS = {"uploads": flag, "floor": finite, "max_title": positive_int, "max_text": positive_int, "max_question": positive_int, "answer_timeout": positive, "max_body": positive_int}
 
     @classmethod
     def read(cls, env: Mapping[str, str] | None = None) -> "Settings":
@@ -58,5 +59,21 @@ class Settings:
         return cls(**{k: cls.PARSERS[k](name, env[name]) for k, name in names.items() if env.get(name, "").strip()})
 
 
+class TooLarge(ValueError):
+    pass
+
+
+def guarded(chunks, declared: int | None = None, settings: Settings = Settings()) -> bytes:
+    """A request's body from its parts: raises as soon as what is declared or has come exceeds the limit."""
+    if declared is not None and declared > settings.max_body:
+        raise TooLarge(f"{declared} bytes are declared, {settings.max_body} are allowed")
+    body = bytearray()
+    for part in chunks:
+        body += part
+        if len(body) > settings.max_body:
+            raise TooLarge(f"more than {settings.max_body} bytes")
+    return bytes(body)
+
+
 def health() -> dict[str, str]:
     return {"status": "ok"}

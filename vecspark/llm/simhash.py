@@ -194,8 +194,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint.
-WORDS, LEAST, BITS, NEAR = 5, 0.8, 128, 28
+#: Near copies: words in a shingle, least Jaccard similarity, bits and radius of the fingerprint, links of a row in a tree before the rest waits.
+WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 4
 #: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
 SHARD, MISSED, TYPICAL = 32, 0.005, 20
 #: Cells of the counts that order shingles by how rare they are, and the parts they are summed in.
@@ -240,10 +240,10 @@ def shard_bits(rows: int) -> list[np.ndarray]:
     return [rng.choice(BITS, k, replace=False) for _ in range(int(np.ceil(np.log(MISSED) / np.log(1 - meet))))]
 
 
-def nearest(tree: BKTree, value: int, radius: int, limit: int, nodes: dict[int, list[int]], below: int) -> list[int]:
+def nearest(tree: BKTree, value: int, radius: int, limit: int, nodes: dict[int, list[int]], below: int) -> list[tuple[int, int]]:
     """Of the nodes below ``below`` whose fingerprints are within ``radius``, the ``limit`` nearest: once so many are
     found, only edges within the farthest one's distance are followed."""
-    found: list[tuple[int, int]] = []  # a heap, the farthest first
+    found: list[tuple[int, int, int]] = []  # a heap, the farthest first
     todo = [tree]
     while todo:
         at = todo.pop()
@@ -252,15 +252,17 @@ def nearest(tree: BKTree, value: int, radius: int, limit: int, nodes: dict[int,
         if d <= reach:
             for node in nodes[at.value]:
                 if node < below:
-                    (heappush if len(found) < limit else heappushpop)(found, (-d, node))
+                    (heappush if len(found) < limit else heappushpop)(found, (-d, node, at.value))
             reach = radius if len(found) < limit else -found[0][0]
         if at.children:
             todo += [c for k, c in sorted(at.children.items(), key=lambda x: -abs(x[0] - d)) if d - reach <= k <= d + reach]
-    return [node for _, node in sorted(found, reverse=True)]
+    return [(fp, node) for _, node, fp in found]
 
 
-def _near_links():
-    def flush(rows, pairs, marks):
+def _near_links(masks: list[int], limit: int = NEIGHBOURS):
+    """``masks`` has the bits that key each table: a pair is handed on by the first table whose key both share."""
+
+    def flush(table, rows, pairs, marks):
         if len(rows) < 2:
             return
         nodes: dict[int, list[int]] = {}
@@ -275,9 +277,9 @@ def _near_links():
                 tree.add(fp)
         asking = set()
         for fp, node, _ in rows if tree is not None else ():
-            near = nearest(tree, fp, NEAR, 2, nodes, node)
-            pairs += ((node, other) for other in near[:1])
-            if len(near) > 1:
+            near = nearest(tree, fp, NEAR, limit, nodes, node)
+            pairs += ((node, other) for x, other in near if all((x ^ fp) & m for m in masks[:table]))
+            if len(near) == limit:
                 asking.add(node)
         if asking:
             marks += ((node, node in asking) for _, node, _ in rows)
@@ -301,23 +303,24 @@ def _near_links():
                     continue
                 k = (t[s], key[s], shard[s])
                 if k != last:
-                    flush(rows, pairs, marks)
+                    flush(last[0] if last else 0, rows, pairs, marks)
                     last, rows = k, []
                 rows += zip(*(x[s:e] for x in (fp, node.tolist(), own.tolist())))
-            if pairs:
+            if pairs or marks:
                 yield made(pairs, marks)
         pairs, marks = [], []
-        flush(rows, pairs, marks)
-        if pairs:
+        flush(last[0] if last else 0, rows, pairs, marks)
+        if pairs or marks:
             yield made(pairs, marks)
 
     return run
 
 
 def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
-    """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest in a tree; where
-    a tree holds more for a row, marks with ``a = b`` for all of the tree's rows, with ``asks`` for those rows."""
+    """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest ``NEIGHBOURS`` in
+    a tree; where a tree may hold more for a row, marks with ``a = b`` for all of the tree's rows, with ``asks`` for those rows."""
     tables, names = shard_bits(reps.count()), ["fp", "node"]
+    masks = [sum(1 << (BITS - 1 - b) for b in bits.tolist()) for bits in tables]
 
     def deal(batches):
         for b in batches:
@@ -333,7 +336,7 @@ def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     rows = rows.join(large, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("shard"), *names, F.pmod(F.xxhash64("node"), F.col("g")).alias("home"))
     rows = rows.select("t", "key", "shard", *names, (F.col("home") == F.col("shard")).alias("own"))
-    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_near_links()), "a long, b long, asks boolean").distinct()
+    return rows.repartition("t", "key", "shard").sortWithinPartitions("t", "key", "shard").mapInArrow(freed(_near_links(masks)), "a long, b long, asks boolean").distinct()
 
 
 def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -378,28 +381,36 @@ def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
     """Pairs ``(a, b)`` of different groups of ``(node, group, asks, s)`` that can be ``least`` similar; ``a`` asks.
 
     Two sets of that similarity share a shingle among the first of each, in any order: of n shingles the first
-    n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined.
+    n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined. A pair is
+    made by its first common shingle only (``before`` has those ahead of it), and only if what follows it in both sets
+    can still make up the common shingles that the similarity takes.
     """
     handle = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     def first(batches):
         for b in batches:
-            token, row, size = [], [], []
+            token, row, size, place, before = [], [], [], [], []
             for i, x in enumerate(b.column("s").to_pylist()):
                 h = np.frombuffer(x, np.uint64)
                 k = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                 order = np.lexsort((h, handle.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]))[:k]
-                token.append(h[order].view(np.int64))
-                row += [i] * len(order)
-                size += [len(h)] * len(order)
+                own = h[order].view(np.int64)
+                token.append(own)
+                row += [i] * k
+                size += [len(h)] * k
+                place += range(k)
+                before += [own[:j] for j in range(k)]
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32())], ["token", "node", "group", "asks", "n"])
+            cols = [pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(before, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "node", "group", "asks", "n", "place", "before"])
 
-    posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int"), "postings")
+    posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int, place int, before array<long>"), "postings")
     met = posted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     posted = written(posted.join(met, "token", "left_semi"), "postings")
     a, b = posted.where("asks").alias("a"), posted.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
+    on = on & (F.col("a.n") - F.col("a.place") >= need) & (F.col("b.n") - F.col("b.place") >= need) & ~F.arrays_overlap("a.before", "b.before")
     return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 

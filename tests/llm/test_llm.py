@@ -204,13 +204,22 @@ def test_scores_and_base_equal_brute_force(spark, docs, rows):
         assert r.score < 0
 
 
+def lm_totals(s, full):
+    at, cols = s.shared()
+    sums = np.zeros((hpylm.SAMPLES, hpylm.K2 + hpylm.K1 + 16), np.int64)
+    sums[:, at] = cols
+    return hpylm.Totals(full, sums)
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(0)
     hashes = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
     w, x = rng.integers(0, 50, 4000), rng.choice([0, 8, 9, 800], 4000)
     code, n = np.unique(w * 4096 + x, return_counts=True)
-    s = hpylm.Seating(hashes[code >> 12], code & 0xFFF, n, 1, 5)
-    total = s.shared()
+    ctx = code & 0xFFF
+    full = np.bincount(ctx, weights=n, minlength=hpylm.K2).astype(np.float32)
+    s = hpylm.Seating(hashes[code >> 12], ctx, n, full, 1, 5)
+    total = lm_totals(s, full)
     for ctx in (0, 9, 17):
         known = hpylm.predict(s, total, s.words, np.full(len(s.words), ctx))[1]
         unknown = hpylm.predict(s, total, np.array([1], np.uint64), np.array([ctx]))[1]
@@ -218,14 +227,81 @@ def test_probabilities_add_up():
 
 
 def test_stirling_and_tables():
-    s = hpylm.stirling(0.5, 4)
-    assert math.isclose(math.exp(s[3, 2]), 1.5 + 0 * 1 + (2 - 0.5 * 2) * 0 + 0, rel_tol=1e-9) or math.exp(s[3, 2]) > 0
+    assert math.isclose(math.exp(hpylm.stirling(0.5, 4)[3, 2]), 1.5, rel_tol=1e-9)
     rng = np.random.default_rng(1)
     c = np.array([1, 2, 10, 40, 5000])
     t = hpylm.sample_tables(c, np.full(5, 0.5), 0.5, hpylm.stirling(0.5), rng)
     assert (t >= 1).all() and (t <= c).all() and t[0] == 1
 
 
+def test_table_counts_follow_all_seatings():
+    """Drawn table counts against every seating of five customers, written out."""
+    d, mass, weight = 0.4, 0.7, Counter()
+
+    def seat(tables, left, w):
+        if not left:
+            weight[len(tables)] += w
+            return
+        for i, n in enumerate(tables):
+            seat([*tables[:i], n + 1, *tables[i + 1 :]], left - 1, w * (n - d))
+        seat([*tables, 1], left - 1, w * mass)
+
+    seat([1], 4, mass)
+    got = Counter(hpylm.sample_tables(np.full(40_000, 5), np.full(40_000, mass), d, hpylm.stirling(d), np.random.default_rng(3)).tolist())
+    for t, w in weight.items():
+        assert abs(got[t] / 40_000 - w / sum(weight.values())) < 0.01
+
+
+def test_score_equals_plain_formula(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 40) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in hpylm.score(df, seed=11).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    name = lambda w: xxhash.xxh64_intdigest(w)
+    rest = lambda w: int(hpylm.contexts([w], np.array([name(w)], np.uint64))[0])
+    pairs = {i: [(name(b), rest(a)) for a, b in zip([b"", *t.encode().split()], [*t.encode().split(), b""])] for i, t in enumerate(texts)}
+    train = Counter(x for i, p in pairs.items() if not held(i) for x in p)
+    keys = sorted(train)
+    full = np.zeros(hpylm.K2, np.float32)
+    for (_, u), n in train.items():
+        full[u] += n
+    s = hpylm.Seating(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys]), np.array([train[k] for k in keys]), full, 1, 11)
+    total = lm_totals(s, full)
+    d2, d1, d0 = total.discounts
+    words = s.words.tolist()
+    at2, at1 = ({int(k): j for j, k in enumerate(v)} for v in (s.k2, s.k1))
+    for i, p in pairs.items():
+        want = 0.0
+        for w, u in p:
+            j = words.index(w) if w in words else None
+            mean = 0.0
+            for t2, c1, t1, c0, t0 in s.samples:
+                a = at2.get((j << 21) | u) if j is not None else None
+                b = at1.get((j << 21) | u >> hpylm.SLOTS) if j is not None else None
+                same1 = [k for k in range(len(s.k1)) if s.x1[k] == u >> hpylm.SLOTS]
+                same2 = [k for k in range(len(s.k2)) if s.x2[k] == u]
+                p0 = ((c0[j] - d0 * t0[j] if j is not None else 0) + (1 + d0 * t0.sum()) / (len(words) + 1)) / (1 + c0.sum())
+                p1 = ((c1[b] - d1 * t1[b] if b is not None else 0) + (1 + d1 * sum(t1[k] for k in same1)) * p0) / (1 + sum(c1[k] for k in same1))
+                p2 = ((s.c2[a] - d2 * t2[a] if a is not None else 0) + (1 + d2 * sum(t2[k] for k in same2)) * p1) / (1 + sum(s.c2[k] for k in same2))
+                mean += p2 / len(s.samples)
+            want += math.log10(mean)
+        assert math.isclose(got[i], want, rel_tol=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    key, out = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for n in (4, 16):
+            spark.conf.set(key, n)
+            out.append({r.doc_id: r.score for r in hpylm.score(d.repartition(n)).collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert all(math.isclose(v, out[1][k], rel_tol=1e-9) for k, v in out[0].items())
+
+
 def test_model_beats_baseline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     r = {x.held_out: x for x in hpylm.perplexity(hpylm.score(d)).collect()}

@@ -175,11 +175,17 @@ def test_warc_round_trip(spark):
     n = len(big.encode())
     want = [(1, n, sha(big), "revisit", 5), (5, n, sha(big), "response", None), (5, n, sha(big), "response", None), (3, n, sha(big), "revisit", 5), (4, 0, sha(""), "response", None), (6, 0, sha(""), "response", None), (7, 5, sha("short"), "response", None), (8, 5, sha("short"), "response", None), (None, n, sha(big), "revisit", 5), (9, 600_000, sha("y" * 600_000), "response", None)]
     assert got == sorted(want, key=str)
+    some = index.where("page_id in (7, 5)")
+    got = sorted((tuple(r) for r in warc.read_bundles(some, folder, task_bytes=100).collect()), key=str)
+    assert got == sorted((w for w in want if w[0] in (7, 5)), key=str)
+    with pytest.raises(Exception, match="in the place of page 70"):
+        warc.read_bundles(some.replace(7, 70), folder).collect()
     (fields, block), *rest = warc.read_record(index, folder, 9)
     assert not rest and block.endswith(b"y" * 600_000) and fields["warc-type"] == "response"
     empty = spark.createDataFrame([], pages.schema)
     folder = scratch(spark, "t")
-    assert warc.write_bundles(empty, folder).count() == 0
+    index = warc.write_bundles(empty, folder)
+    assert index.count() == 0 and warc.read_bundles(index, folder).count() == 0
 
 
 # Language model

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import scratch, table, written
 
-MIN_REVISIT, FRAME_BYTES, BUNDLE_BYTES = 1000, 256 << 10, 64 << 20
+MIN_REVISIT, FRAME_BYTES, BUNDLE_BYTES, TASK_BYTES = 1000, 256 << 10, 64 << 20, 32 << 20
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -100,6 +100,15 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def footer(file) -> list[tuple[int, int, int]]:
+    """The seek table of an open bundle; reads nothing else of it."""
+    size = file.size()
+    file.seek(size - 9)
+    last = file.read(9)
+    file.seek(max(size - 9 - 8 * struct.unpack("<IBI", last)[0], 0))
+    return seek_table(file.read())
+
+
 def read_frame(data: bytes, frame: int) -> bytes:
     start, c, d = seek_table(data)[frame]
     return zstandard.ZstdDecompressor().decompress(data[start : start + c], max_output_size=d) if d else b""
@@ -144,36 +153,57 @@ def write_bundles(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT,
     return written(rows.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """Read every record of the index's bundles back; a stored payload is checked against its digest."""
-    spark = index.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(index.select("bundle").distinct(), "bundle", "left_semi").select("content")
+def read_bundles(index: DataFrame, folder: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Read the index's records back by their places; a stored payload is checked against its digest.
+
+    Frames next to each other go to one task, some ``task_bytes`` of records to each; a task seeks to its frames.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    places = index.select("page_id", "bundle", "frame", "frame_start", "offset")
+    places = places.repartitionByRange(parts, "bundle", "frame_start").sortWithinPartitions("bundle", "frame_start", "offset")
 
     def page(urn: str | None):
         body = urn[len("<urn:page:") : -1] if urn else "None"
         return None if body == "None" else int(body)
 
     def read(batches):
-        zstd = zstandard.ZstdDecompressor()
-        for b in batches:
-            for blob in b.column(0):
-                data, rows = memoryview(blob.as_buffer()), []
-                for start, c, d in seek_table(data):
-                    plain, at = zstd.decompress(data[start : start + c], max_output_size=d), 0
-                    while at < len(plain):
-                        fields, block, at = parse(plain, at)
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(head.rpartition(b"Content-Length: ")[2])
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                            raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
-                        rows.append((page(fields["warc-record-id"]), size, digest, fields["warc-type"], page(fields.get("warc-refers-to"))))
+        from pyarrow import fs
+
+        disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        zstd, name, file, frames, now, plain = zstandard.ZstdDecompressor(), None, None, [], None, b""
+        try:
+            for b in batches:
+                rows = []
+                for want, bundle, frame, start, at in zip(*(c.to_pylist() for c in b.columns)):
+                    if bundle != name:
+                        if file is not None:
+                            file.close()
+                        file, name, now = disk.open_input_file(f"{root}/{bundle}"), bundle, None
+                        frames = footer(file)
+                    if frame != now:
+                        place, c, d = frames[frame]
+                        if place != start:
+                            raise ValueError(f"frame {frame} of {bundle} isn't where the index says")
+                        file.seek(place)
+                        plain, now = zstd.decompress(file.read(c), max_output_size=d), frame
+                    fields, block, _ = parse(plain, at)
+                    head, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(head.rpartition(b"Content-Length: ")[2])
+                    digest, found = fields["warc-payload-digest"].removeprefix("sha1:"), page(fields["warc-record-id"])
+                    if found != want:
+                        raise ValueError(f"the record of page {found} stands in the place of page {want}")
+                    if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                        raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
+                    rows.append((found, size, digest, fields["warc-type"], page(fields.get("warc-refers-to"))))
                 cols = list(zip(*rows)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        finally:
+            if file is not None:
+                file.close()
 
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def read_record(index: DataFrame, folder: str, page_id: int) -> list[tuple[dict[str, str], bytes]]:

@@ -199,7 +199,7 @@ WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 4
 #: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
 SHARD, MISSED, TYPICAL = 32, 0.005, 20
 #: Cells of the counts that order shingles by how rare they are, and the parts they are summed in.
-CELLS, PARTS = 1 << 20, 64
+CELLS, PARTS, BEFORE = 1 << 20, 64, 8
 
 
 def shingle_set(data: bytes | None, shingle: int = WORDS) -> np.ndarray:
@@ -381,32 +381,31 @@ def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
     """Pairs ``(a, b)`` of different groups of ``(node, group, asks, s)`` that can be ``least`` similar; ``a`` asks.
 
     Two sets of that similarity share a shingle among the first of each, in any order: of n shingles the first
-    n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined. A pair is
-    made by its first common shingle only (``before`` has those ahead of it), and only if what follows it in both sets
-    can still make up the common shingles that the similarity takes.
+    n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined. A shingle
+    makes a pair only if none of the last ``BEFORE`` ahead of it is common too, as the first common one makes it in
+    any case, and only if what follows in both sets can still make up the common shingles that the similarity takes.
     """
     handle = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     def first(batches):
         for b in batches:
-            token, row, size, place, before = [], [], [], [], []
+            token, row, size, place = [], [], [], []
             for i, x in enumerate(b.column("s").to_pylist()):
                 h = np.frombuffer(x, np.uint64)
                 k = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                 order = np.lexsort((h, handle.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]))[:k]
-                own = h[order].view(np.int64)
-                token.append(own)
+                token.append(h[order].view(np.int64))
                 row += [i] * k
                 size += [len(h)] * k
                 place += range(k)
-                before += [own[:j] for j in range(k)]
             at = pa.array(row, pa.int64())
-            cols = [pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(before, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "node", "group", "asks", "n", "place", "before"])
+            cols = [pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "group", "asks")), pa.array(size, pa.int32()), pa.array(place, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "node", "group", "asks", "n", "place"])
 
-    posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int, place int, before array<long>"), "postings")
+    posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int, place int"), "postings")
     met = posted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    posted = written(posted.join(met, "token", "left_semi"), "postings")
+    ahead = Window.partitionBy("node", "n").orderBy("place", "token").rowsBetween(-BEFORE, -1)
+    posted = written(posted.join(met, "token", "left_semi").withColumn("before", F.collect_list("token").over(ahead)), "postings")
     a, b = posted.where("asks").alias("a"), posted.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group"))

@@ -162,6 +162,22 @@ def test_near_components_of_one_large_group_equal_brute_force(spark):
     assert {x.doc_id: x.component_id for x in simhash.near_components(df, max_shard=40).collect()} == want
 
 
+def test_only_rows_near_a_large_group_wait(spark):
+    """Rows that share a tree with a large group, but no likeness, aren't compared by their rarest shingles."""
+    r, texts = random.Random(31), []
+    base = [f"v{r.randrange(5000)}" for _ in range(150)]
+    for i in range(20):
+        words = list(base)
+        words[r.randrange(150)] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    texts += [(i, " ".join(f"v{r.randrange(5000)}" for _ in range(150))) for i in range(20, 400)]
+    rows = simhash._wide(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 5)
+    found = simhash.near_candidates(rows.withColumnRenamed("doc_id", "node")).where("asks is not null").collect()
+    asking = {x.a for x in found if x.asks}
+    assert set(range(10, 20)) <= asking <= set(range(20)) and set(range(20)) <= {x.a for x in found}
+    assert len({x.a for x in found}) <= 30
+
+
 # WARC
 
 

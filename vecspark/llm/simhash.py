@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import freed, small_batches, table, written
+from ._common import drop_written, freed, small_batches, table, written
 from .components import connected_components
+from .substring import bit_map, in_map
 
 SHINGLE, RADIUS, MAX_SHARD = 4, 4, 4096
 
@@ -103,6 +104,17 @@ class BKTree:
         return found
 
 
+    def any_within(self, value: int, radius: int) -> bool:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            d = (node.value ^ value).bit_count()
+            if d <= radius:
+                return True
+            todo += [c for k, c in node.children.items() if d - radius <= k <= d + radius]
+        return False
+
+
 def _forest(members: list[int], queries: list[int], node_of: dict[int, int], radius: int):
     """Edges of a spanning forest of the links between a tree's members and the queries."""
     up = {x: x for x in node_of}
@@ -198,6 +210,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 WORDS, LEAST, BITS, NEAR, NEIGHBOURS = 5, 0.8, 128, 28, 4
 #: About so many rows share a shard; so few of the pairs at TYPICAL bits (similarity 0.8) may meet in none.
 SHARD, MISSED, TYPICAL = 32, 0.005, 20
+#: Rows of a tree wait with those rows that have more than ``NEIGHBOURS`` if they are as near to one; NEAR and a margin.
+WAITING = 36
 #: Cells of the counts that order shingles by how rare they are, and the parts they are summed in.
 CELLS, PARTS, BEFORE = 1 << 20, 64, 8
 
@@ -275,14 +289,20 @@ def _near_links(masks: list[int], limit: int = NEIGHBOURS):
                 tree = BKTree(fp)
             else:
                 tree.add(fp)
-        asking = set()
+        asking: dict[int, int] = {}
         for fp, node, _ in rows if tree is not None else ():
             near = nearest(tree, fp, NEAR, limit, nodes, node)
             pairs += ((node, other) for x, other in near if all((x ^ fp) & m for m in masks[:table]))
             if len(near) == limit:
-                asking.add(node)
+                asking[node] = fp
         if asking:
-            marks += ((node, node in asking) for _, node, _ in rows)
+            tree = None
+            for fp in sorted(set(asking.values())):
+                if tree is None:
+                    tree = BKTree(fp)
+                else:
+                    tree.add(fp)
+            marks += ((node, node in asking) for fp, node, _ in rows if node in asking or tree.any_within(fp, WAITING))
 
     def made(pairs, marks):
         a = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
@@ -318,7 +338,8 @@ def _near_links(masks: list[int], limit: int = NEIGHBOURS):
 
 def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     """``(a, b, asks)``: pairs of nodes of ``(node, fp)`` that may be near copies, each row's nearest ``NEIGHBOURS`` in
-    a tree; where a tree may hold more for a row, marks with ``a = b`` for all of the tree's rows, with ``asks`` for those rows."""
+    a tree; where a tree may hold more for a row, marks with ``a = b``, with ``asks``, for it and for the tree's rows within
+    ``WAITING`` bits of it, without."""
     tables, names = shard_bits(reps.count()), ["fp", "node"]
     masks = [sum(1 << (BITS - 1 - b) for b in bits.tolist()) for bits in tables]
 
@@ -340,14 +361,19 @@ def near_candidates(reps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
 
 
 def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(node, s)``: sorted 64-bit hashes of the shingles of the texts whose ids are in ``nodes``."""
+    """``(node, s)``: sorted 64-bit hashes of the shingles of the texts whose ids are in ``nodes``, and of a few besides
+    whose bit in a map is set too: texts aren't shuffled for this."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column(1)], pa.binary())], ["node", "s"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).join(nodes, "node", "left_semi")
-    return written(texts.mapInArrow(freed(sets), "node long, s binary"), "shingles")
+    wanted = nodes.sparkSession.sparkContext.broadcast(bit_map(nodes.select(F.xxhash64("node").alias("h"))))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t"))
+    texts = texts.where(F.col("node").isNotNull()).where(in_map(wanted)(F.xxhash64("node")))
+    out = written(texts.mapInArrow(freed(sets), "node long, s binary"), "shingles")
+    wanted.destroy()
+    return out
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -377,8 +403,9 @@ def rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` of different groups of ``(node, group, asks, s)`` that can be ``least`` similar; ``a`` asks.
+def rest_candidates(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of different groups of ``(node, group, asks, s)`` that can be ``least`` similar; ``a`` asks. And
+    the table that they are made from, to be dropped after them.
 
     Two sets of that similarity share a shingle among the first of each, in any order: of n shingles the first
     n - ceil(least n) + 1. With the rarest first, few sets meet; shingles within one group aren't joined. A shingle
@@ -405,12 +432,14 @@ def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
     posted = written(sets.mapInArrow(freed(first), "token long, node long, group long, asks boolean, n int, place int"), "postings")
     met = posted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     ahead = Window.partitionBy("node", "n").orderBy("place", "token").rowsBetween(-BEFORE, -1)
-    posted = written(posted.join(met, "token", "left_semi").withColumn("before", F.collect_list("token").over(ahead)), "postings")
+    first_posted, posted = posted, written(posted.join(met, "token", "left_semi").withColumn("before", F.collect_list("token").over(ahead)), "postings")
+    drop_written(first_posted)
+    handle.destroy()
     a, b = posted.where("asks").alias("a"), posted.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
     on = on & (F.col("a.n") - F.col("a.place") >= need) & (F.col("b.n") - F.col("b.place") >= need) & ~F.arrays_overlap("a.before", "b.before")
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), posted
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -435,7 +464,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of equal shingles are folded first. Wide fingerprints find candidates: each table of shards is keyed by some
     of their bits and searched by BK-trees; each row's nearest are then compared exactly by their shingles. Where a
-    tree may hold more, links that are left are those between different groups found so far: rows of such trees meet
+    tree may hold more, links that are left are those between different groups found so far: rows of such trees that are within ``WAITING`` bits of one that may have more meet
     by their rarest shingles (which loses none that is similar enough) and are compared exactly too.
     """
     rows = written(_wide(docs, id_col, text_col, shingle), "fingerprints")
@@ -447,11 +476,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(near_pairs(pairs, sets, least), "links")
     labels = connected_components(edges)
     marks = marks.groupBy(F.col("a").alias("node")).agg(F.max("asks").alias("asks"))
+    done = [reps, found, sets, edges]
     if marks.limit(1).count():
         grouped = marks.join(labels, "node", "left").select("node", "asks", F.coalesce("component", "node").alias("group"))
-        rest = written(rest_candidates(grouped.join(sets, "node"), least), "candidates")
+        rest, posted = rest_candidates(grouped.join(sets, "node"), least)
+        rest = written(rest, "candidates")
+        drop_written(posted)
         labels = connected_components(edges.unionByName(near_pairs(rest, sets, least)))
-    of_text = reps.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+        done.append(rest)
+    of_text = written(reps.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "groups")
+    for x in done:
+        drop_written(x)
     return rows.join(of_text, ["s1", "s2"], "left").select("doc_id", "component_id")
 
 

@@ -162,7 +162,7 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _in_map(handle):
+def in_map(handle):
     """Whether a hash's bit is set: only the hashes go through Python."""
 
     @F.pandas_udf("boolean")
@@ -244,7 +244,7 @@ def extended_spans(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     sources = spark.sparkContext.broadcast(bit_map(spans.select(F.xxhash64("sdoc", "skey").alias("h"))))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
-    texts = texts.where(_in_map(sources)(F.xxhash64("d", "k")))
+    texts = texts.where(in_map(sources)(F.xxhash64("d", "k")))
     beside = spans.join(texts, F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("skey") == F.col("k")))
     left = F.expr("substring(t, greatest(sstart - before, 0) + 1, least(before, sstart))").alias("left")
     right = F.expr("substring(t, sstart + (stop - start) + 1, after)").alias("right")
@@ -293,7 +293,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = extended_spans(spans, docs, id_col, text_col).select(F.col("doc").alias("__vs_d"), F.col("key").alias("__vs_k"), F.col("spans").alias("__vs_spans"))
     touched = docs.sparkSession.sparkContext.broadcast(bit_map(spans.select(F.xxhash64("doc", "key").alias("h"))))
     rows = docs.withColumn("__vs_doc", F.col(id_col).cast("long")).withColumn("__vs_key", F.xxhash64(text_col))
-    rows = rows.withColumn("__vs_hit", _in_map(touched)(F.xxhash64("__vs_doc", "__vs_key")))
+    rows = rows.withColumn("__vs_hit", in_map(touched)(F.xxhash64("__vs_doc", "__vs_key")))
     gone = "array<struct<start:int,stop:int>>"
 
     @F.pandas_udf(f"struct<text string, spans {gone}>")

@@ -607,6 +607,23 @@ def test_junk_is_rejected(spark):
     assert sum(x.kept for x in good) >= 0.97 * len(good)
 
 
+def test_thresholds_are_exact_quantiles_of_all_rows(spark):
+    """Shares that bound who teaches, and medians of bands, are those of all rows, however these are dealt."""
+    r = random.Random(8)
+    texts = [(g, "a" * r.randint(50, 5000) + "#" * r.randint(0, 2000)) for g in (1, 2) for _ in range(6000)]
+    df = spark.createDataFrame(texts, "own long, t string")
+    want = {}
+    for g in (1, 2):
+        share = sorted(quality.odd_share(t) for h, t in texts if h == g)
+        want[g] = share[math.ceil(0.75 * len(share)) - 1]
+    assert quality.plainest(df.repartition(1)) == want == quality.plainest(df.repartition(9))
+    fits = [(lang, r.gauss(-1, 0.1), r.randint(100, 9000)) for lang in ("en", None) for _ in range(6001)]
+    good = spark.createDataFrame(fits, "lang string, log10_p double, symbols long").repartition(5)
+    for lang, mid in ((x.l, x.mid) for x in quality.bands(good, prior=0).collect()):
+        assert math.isclose(mid, sorted(p for h, p, _ in fits if h == lang)[3000], rel_tol=1e-12)
+    assert quality.exact_quantile(good, [], "log10_p").first()[0] == sorted(p for _, p, _ in fits)[6000]
+
+
 def test_bands_on_disjoint_halves_and_small_languages(spark):
     """Bands of one half of the labelled rows hold for the other; a language of few rows gets nearly the band of all."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

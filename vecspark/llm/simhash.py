@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import drop_written, freed, small_batches, table, written
 from .components import connected_components
-from .substring import bit_map, in_map
+from .substring import _set, bit_map
 
 SHINGLE, RADIUS, MAX_SHARD = 4, 4, 4096
 
@@ -366,11 +366,11 @@ def node_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column(1)], pa.binary())], ["node", "s"])
+            b = b.filter(pa.array(_set(wanted.value, b.column("h").to_numpy())))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([np.sort(shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)[:, 0]).tobytes() for x in b.column("t")], pa.binary())], ["node", "s"])
 
     wanted = nodes.sparkSession.sparkContext.broadcast(bit_map(nodes.select(F.xxhash64("node").alias("h"))))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t"))
-    texts = texts.where(F.col("node").isNotNull()).where(in_map(wanted)(F.xxhash64("node")))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("t")).where("node is not null").select("node", F.xxhash64("node").alias("h"), "t")
     out = written(texts.mapInArrow(freed(sets), "node long, s binary"), "shingles")
     wanted.destroy()
     return out

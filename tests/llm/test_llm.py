@@ -904,3 +904,26 @@ def test_pipeline(spark, docs):
     for name, stage in pipeline.STAGES:
         empty = written(stage(spark, empty, SF), name)
     assert empty.count() == 0
+
+
+def test_pipeline_stages_hand_back_what_the_driver_freed(spark, monkeypatch):
+    """Memory freed outside of the driver's heap stayed with the C library's threads, more with each stage."""
+    import re
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return int(re.search(r"\nRss:\s+(\d+)", f.read())[1]) / 1024
+
+    for name in ("filter_language", "filter_quality", "near_dedup", "substring_dedup", "best_fit_packing"):
+        monkeypatch.setattr(pipeline, name, lambda docs: docs)
+    for _, stage in pipeline.STAGES:
+        native = [spark._jvm.java.util.zip.Deflater() for _ in range(500)]
+        for i, x in enumerate(native):
+            if i % 10:
+                x.end()
+        before = held()
+        stage(spark, None, SF)
+        assert held() < before - 25

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_written, freed, small_batches, table, written
+from ._common import driver_freed, drop_written, freed, small_batches, table, written
 from .components import connected_components
 from .substring import _set, bit_map
 
@@ -474,6 +474,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = found.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = node_sets(nodes, docs, id_col, text_col, shingle)
     edges = written(near_pairs(pairs, sets, least), "links")
+    driver_freed(docs.sparkSession)
     labels = connected_components(edges)
     marks = marks.groupBy(F.col("a").alias("node")).agg(F.max("asks").alias("asks"))
     done = [reps, found, sets, edges]
@@ -487,6 +488,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_text = written(reps.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id")), "groups")
     for x in done:
         drop_written(x)
+    driver_freed(docs.sparkSession)
     return rows.join(of_text, ["s1", "s2"], "left").select("doc_id", "component_id")
 
 

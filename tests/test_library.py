@@ -54,6 +54,33 @@ def test_equal_vectors_come_by_id(spark, metric, block):
         assert got == list(range(0, 30, 3))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("ties", [False, True])
+def test_nearest_in_bounded_memory(metric, ties):
+    """Neither many queries nor many equal vectors take memory by their number; hits are those of brute force."""
+    import tracemalloc
+
+    from vecspark.operators.knn import Best
+
+    r = np.random.default_rng(3)
+    x, n = r.standard_normal((3000, 64)), 800 if ties else 12_000
+    if ties:
+        x[::3] = x[0]
+    q, ids = (x[:1].repeat(n, 0) if ties else r.standard_normal((n, 64))), r.permutation(3000) * 7
+    tracemalloc.start()
+    held = Best(n, 5)
+    for s in (0, 2900):
+        held.look(q, x[s : s + 2900], ids[s : s + 2900], metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    got = held.batch(np.arange(n)).to_pydict()
+    for one in (0, 1, n - 1):
+        d = np.sqrt(((x - q[one]) ** 2).sum(1)) if metric == "euclidean" else 1 - x @ q[one] / np.sqrt((x * x).sum(1) * (q[one] @ q[one]))
+        want = [i for _, i in sorted(zip(d.round(9).tolist(), ids.tolist()))[:5]]
+        assert [i for a, i in zip(got["qid"], got["vec_id"]) if a == one] == want
+
+
 def test_commit_is_atomic(spark):
     """Whatever a writer that breaks off leaves, a reader finds the last whole version, and the next write goes on."""
     path = scratch(spark, "corpus")

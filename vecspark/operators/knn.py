@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import first_not_finite, metric_name, wrong_width
+from ..functions.vectors import first_not_finite, metric_name, splitmix64, wrong_width
 from ..sources.storage import scratch
 
 #: Numbers in the vectors of a block of queries.
 BLOCK_VALUES, HITS = 4_000_000, "qid long, vec_id long, distance double, rank int"
+#: Pairs of a query and a row compared at once by a matrix product, and numbers gathered for exact comparisons.
+PAIRS, GATHERED = 1 << 20, 1 << 21
 
 
 def validate_vectors(df: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -41,15 +43,24 @@ def matrix(column: pa.Array) -> np.ndarray:
 def pair_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Distances of all pairs by matrix products: fast, but the last bits depend on a pair's place."""
     s = comparison(q, x, metric)
-    return np.sqrt(np.maximum(s, 0)) if metric == "euclidean" else s
+    return np.sqrt(np.maximum(s, 0, out=s), out=s) if metric == "euclidean" else s
 
 
 def comparison(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """What orders as the distances do, without their square roots."""
+    near = q @ x.T
     if metric == "euclidean":
-        return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-    n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-    return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1, n))
+        near *= -2
+        near += (q * q).sum(1)[:, None]
+        near += (x * x).sum(1)[None, :]
+        return near
+    n = np.multiply.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+    zero = n == 0
+    n[zero] = 1
+    near /= n
+    np.subtract(1, near, out=near)
+    near[zero] = 1
+    return near
 
 
 def exact_distances(q: np.ndarray, x: np.ndarray, metric: str, step: int = 1 << 20) -> np.ndarray:
@@ -65,12 +76,31 @@ def exact_distances(q: np.ndarray, x: np.ndarray, metric: str, step: int = 1 <<
     return out
 
 
+def fewest(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray | slice:
+    """Which rows are among the ``k`` of smallest id of those equal to them: no other row can be among k nearest."""
+    if len(x) <= k or not x.shape[1]:
+        return slice(None)
+    mix = splitmix64(np.arange(x.shape[1]), 0) | np.uint64(1)
+    h = (np.ascontiguousarray(x).view(np.uint64) * mix).sum(1)
+    if len(np.unique(h)) == len(h) or len(np.unique(ids)) < len(ids):
+        return slice(None)
+    order = np.lexsort((ids, h))
+    h, x = h[order], x[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]).any(1))
+    at = np.arange(len(order))
+    return np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
+
+
 class Best:
-    """The k nearest of each query by (distance, id), gathered from blocks of rows."""
+    """The k nearest of each query by (distance, id), gathered from blocks of rows.
+
+    Whatever the number of queries, rows and ties, ``PAIRS`` pairs are compared at once, and exactly as many as
+    have ``GATHERED`` numbers.
+    """
 
     def __init__(self, queries: int, k: int):
-        self.n, self.k, self.worst = queries, k, np.full(queries, np.inf)
-        self.q, self.i, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.n, self.k, self.worst, self.held = queries, k, np.full(queries, np.inf), np.zeros(queries, np.int64)
+        self.i, self.d = np.zeros((queries, k), np.int64), np.zeros((queries, k))
 
     def look(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str, rows: np.ndarray | None = None, other: np.ndarray | None = None) -> None:
         """Take the block ``x`` into account for all queries ``q`` or those in ``rows``; ``other``: ids not to be paired.
@@ -78,6 +108,17 @@ class Best:
         Matrix products pick whatever can be among the k nearest, rounding allowed for; those few are then compared exactly.
         """
         rows = np.arange(self.n) if rows is None else rows
+        if not self.k or not len(rows) or not len(x):
+            return
+        some = fewest(x, ids, self.k + (other is not None))
+        x, ids = x[some], ids[some]
+        wide = min(len(x), max(2048, PAIRS // len(rows)))
+        tall = max(1, PAIRS // wide)
+        for s in range(0, len(x), wide):
+            for r in range(0, len(rows), tall):
+                self._tile(q, x[s : s + wide], ids[s : s + wide], metric, rows[r : r + tall], other)
+
+    def _tile(self, q, x, ids, metric, rows, other) -> None:
         q = q[rows]
         near, limit = comparison(q, x, metric), self.worst[rows]
         if other is not None:
@@ -86,26 +127,37 @@ class Best:
             limit, slack = limit * limit, 1e-12 * ((q * q).sum(1) + (x * x).sum(1).max(initial=0.0)) + 1e-300
         else:
             slack = np.full(len(q), 1e-10)
-        if near.shape[1] > self.k and not np.isfinite(limit).all():
-            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + slack)
-        at, col = np.nonzero((near <= (limit + slack)[:, None]) & np.isfinite(near))
-        if len(at):
-            self.merge(rows[at], ids[col], exact_distances(q[at], x[col], metric))
+        free = ~np.isfinite(limit)
+        if near.shape[1] > self.k and free.any():
+            limit[free] = np.partition(near[free], self.k - 1, axis=1)[:, self.k - 1] + slack[free]
+        found = near <= (limit + slack)[:, None]
+        if not np.isfinite(limit).all():
+            found &= np.isfinite(near)
+        at, col = np.nonzero(found)
+        step = max(1, GATHERED // q.shape[1]) if q.shape[1] else PAIRS
+        for s in range(0, len(at), step):
+            a, c = at[s : s + step], col[s : s + step]
+            self.merge(rows[a], ids[c], exact_distances(q[a], x[c], metric))
 
     def merge(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
         """Hits as three columns: the query's row, the id, the distance."""
-        q, i, d = np.concatenate([self.q, q]), np.concatenate([self.i, i]), np.concatenate([self.d, d])
+        asked, q = np.unique(q, return_inverse=True)
+        own = np.arange(self.k)[None, :] < self.held[asked][:, None]
+        q, i, d = np.concatenate([np.nonzero(own)[0], q]), np.concatenate([self.i[asked][own], i]), np.concatenate([self.d[asked][own], d])
         order = np.lexsort((i, d, q))
         q, i, d = q[order], i[order], d[order]
-        first = np.searchsorted(q, np.arange(self.n))
-        keep = np.arange(len(q)) - first[q] < self.k
-        self.q, self.i, self.d = q[keep], i[keep], d[keep]
-        held = np.bincount(self.q, minlength=self.n)
-        full = held == self.k
-        self.worst[full] = self.d[(np.cumsum(held) - 1)[full]]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(asked)))[q]
+        keep = rank < self.k
+        q, rank = q[keep], rank[keep]
+        self.i[asked[q], rank], self.d[asked[q], rank] = i[keep], d[keep]
+        self.held[asked] = np.bincount(q, minlength=len(asked))
+        full = asked[self.held[asked] == self.k]
+        if self.k:
+            self.worst[full] = self.d[full, self.k - 1]
 
     def batch(self, qid: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(qid[self.q]), pa.array(self.i), pa.array(self.d)], ["qid", "vec_id", "distance"])
+        own = np.arange(self.k)[None, :] < self.held[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(qid[np.nonzero(own)[0]]), pa.array(self.i[own]), pa.array(self.d[own])], ["qid", "vec_id", "distance"])
 
 
 def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -169,18 +221,16 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
     one = asked.first()
     if one is None:
         return spark.createDataFrame([], HITS)
-    block = block or max(1, BLOCK_VALUES // max(1, len(one["q"])))
+    block = block or max(1, BLOCK_VALUES // max(1, len(one["q"]), k))
     few = asked.limit(block + 1).toArrow()  # at most a block of queries
     if few.num_rows <= block:
         handle = spark.sparkContext.broadcast(arrays(few))
 
         def run(batches):
             qid, q = handle.value
-            held, step = Best(len(qid), k), max(2048, 2_000_000 // len(qid))
+            held = Best(len(qid), k)
             for b in batches:
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-                for s in range(0, len(ids), step):
-                    held.look(q, x[s : s + step], ids[s : s + step], metric, other=qid if exclude_self else None)
+                held.look(q, matrix(b.column(1)), b.column(0).to_numpy(), metric, other=qid if exclude_self else None)
             yield held.batch(qid)
 
         return ranked(side.mapInArrow(run, "qid long, vec_id long, distance double"), k)
@@ -197,9 +247,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
                 if not (t := parquet.read_table(path, filesystem=disk)).num_rows:
                     continue
                 qid, q = arrays(t)
-                held, step = Best(len(qid), k), max(2048, 2_000_000 // max(1, len(qid)))
-                for s in range(0, len(ids), step):
-                    held.look(q, x[s : s + step], ids[s : s + step], metric, other=qid if exclude_self else None)
+                held = Best(len(qid), k)
+                held.look(q, x, ids, metric, other=qid if exclude_self else None)
                 yield held.batch(qid)
 
     return ranked(side.mapInArrow(tiled, "qid long, vec_id long, distance double"), k)

@@ -154,6 +154,24 @@ def test_limits_and_settings(spark, corpus):
             guarded(parts, declared, Settings(max_body=8))
 
 
+def test_document_validation_equals_sql(spark, tmp_path):
+    """Whatever the texts are: blank, missing, longer than a document may be."""
+    import duckdb
+
+    from vecspark.functions.text import document_problems
+    from vecspark.plans import queries
+
+    texts = ["fine", " \n", None, "x" * 1_000_001]
+    rows = [(i, texts[i % 4]) for i in range(140)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.document_validation_rejects(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(db.execute(queries.SQL["document_validation_rejects"]).fetchall())
+    judged = spark.createDataFrame(rows[:4], "doc_id long, text string").selectExpr("*", "'a title' title", "180 max_words", "40 overlap").select("doc_id", document_problems("title", "text").alias("p"))
+    assert [r.p for r in judged.orderBy("doc_id").collect()] == ["", "text", "text", "text"]
+
+
 def test_generators(spark, corpus):
     import time
 

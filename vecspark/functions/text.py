@@ -75,11 +75,11 @@ def stripped(text) -> Column:
 
 
 def document_problems(title, text, max_words="max_words", overlap="overlap", max_title: int = 200, max_text: int = 1_000_000) -> Column:
-    """Names of a record's broken limits, comma-separated; an empty string for a valid record."""
+    """Names of a record's broken limits, comma-separated; an empty string for a valid record. A ``text`` of None isn't judged."""
     t = stripped(title)
     rules = {
         "title": (F.length(t) < 1) | (F.length(t) > max_title),
-        "text": (F.length(stripped(text)) < 1) | (F.length(text) > max_text),
+        "text": F.lit(False) if text is None else (F.length(stripped(text)) < 1) | (F.length(text) > max_text),
         "max_words": ~F.coalesce(F.col(max_words).between(1, 1000), F.lit(False)),
         "overlap": ~F.coalesce(F.col(overlap).between(0, 999) & (F.col(overlap) < F.col(max_words)), F.lit(False)),
     }

@@ -355,6 +355,24 @@ def test_recall_of_approximate_search(spark):
     assert all(r[1] <= (8 if r[0] == 0 else 4) for r in caps)
 
 
+@pytest.mark.parametrize("bits,block", [(2, None), (9, None), (9, 7)])
+def test_hashed_search_makes_no_pairs(spark, bits, block):
+    """The nearest of all rows that share a bucket, whether few or most do; no join makes rows of pairs."""
+    x = np.random.default_rng(8).standard_normal((700, 12)).astype(np.float32)
+    x[1::50] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], SCHEMA).repartition(3)
+    hits = ann.lsh_search(v, v.where("vec_id < 20").withColumnRenamed("vec_id", "qid"), 6, 12, tables=5, bits=bits, block=block)
+    planes = np.random.default_rng(0).standard_normal((5, bits, 12))
+    side = np.einsum("nd,tbd->ntb", x.astype(float), planes) > 0
+    share = (side[:20, None] == side[None]).all(3).any(2)
+    d = np.array([[1 - a @ b / np.sqrt((a @ a) * (b @ b)) for b in x.astype(float)] for a in x[:20].astype(float)]).round(9)
+    got = sorted((r.qid, r["rank"], r.vec_id) for r in hits.collect())
+    assert got == [(q, n + 1, j) for q in range(20) for n, (_, j) in enumerate(sorted((d[q, j], j) for j in np.flatnonzero(share[q]).tolist())[:6])]
+    assert "Join" not in hits._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="width 12"):
+        ann.lsh_search(v, v.withColumnRenamed("vec_id", "qid"), 6, 13).collect()
+
+
 def test_levels():
     got = np.bincount(levels(np.arange(2000), 0x5EED, 16), minlength=4)
     assert got.tolist() == [1887, 101, 11, 1]

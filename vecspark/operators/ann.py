@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import levels, metric_name
 from ..sources.storage import Versions, digest, joined_digest
-from .knn import Best, by_blocks, in_blocks, matrix, pair_distances, ranked, require_valid
+from .knn import Best, by_blocks, in_blocks, knn, matrix, pair_distances, ranked, require_valid
 
 SAMPLE = 10_000
 
@@ -73,29 +73,29 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: tuple[np.ndarra
     return ranked(index.mapInArrow(run, "qid long, vec_id long, distance double"), k)
 
 
-def lsh_keys(vectors: DataFrame, id_name: str, dim: int, tables: int, bits: int, seed: int = 0, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """``(id, v, keys)``: the side of ``bits`` random hyperplanes in each of ``tables`` tables."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+def lsh_keys(x: np.ndarray, tables: int, bits: int, seed: int = 0, step: int = 4096) -> np.ndarray:
+    """A row's side of ``bits`` random hyperplanes in each of ``tables`` tables: its bucket there."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, x.shape[1])).reshape(tables * bits, x.shape[1])
+    keys = np.zeros((len(x), tables), np.min_scalar_type((1 << bits) - 1))
+    for s in range(0, len(x), step):
+        side = (x[s : s + step] @ planes.T).reshape(-1, tables, bits) > 0
+        keys[s : s + step] = (side * (1 << np.arange(bits))).sum(2)
+    return keys
 
-    def run(batches):
-        for b in batches:
-            x = matrix(b.column(1))
-            side = np.einsum("nd,tbd->ntb", x, planes) > 0
-            keys = (side * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], [id_name, "v", "keys"])
 
-    return vectors.select(F.col(id_col).cast("long").alias(id_name), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, f"{id_name} long, v array<double>, keys array<long>")
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 16, bits: int = 6, seed: int = 0, metric: str = "cosine", block: int | None = None) -> DataFrame:
+    """k nearest of the rows that share a bucket with the query, compared exactly; no table of pairs is made.
 
+    Buckets of a block of rows are joined with those of the queries where they are small; where most pairs share one,
+    a matrix product goes ahead and buckets are looked up for what is near enough.
+    """
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 16, bits: int = 6, seed: int = 0, metric: str = "cosine") -> DataFrame:
-    """k nearest of the rows that share a bucket with the query: a join on (table, bucket), then exact distances."""
-    from ..functions.vectors import distance
+    def keys(x):
+        if len(x) and x.shape[1] != dim:
+            raise ValueError(f"vectors are of width {x.shape[1]}, not {dim}")
+        return lsh_keys(x, tables, bits, seed)
 
-    x = lsh_keys(vectors, "vec_id", dim, tables, bits, seed)
-    q = lsh_keys(queries, "qid", dim, tables, bits, seed, id_col="qid")
-    pairs = x.select("vec_id", F.explode("keys").alias("key")).join(q.select("qid", F.explode("keys").alias("key")), "key").select("qid", "vec_id").distinct()
-    full = pairs.join(x.select("vec_id", F.col("v").alias("a")), "vec_id").join(q.select("qid", F.col("v").alias("b")), "qid")
-    return ranked(full.select("qid", "vec_id", distance("b", "a", metric).alias("distance")), k)
+    return knn(vectors, queries, k, metric, block=block, keys=keys)
 
 
 class Graph:

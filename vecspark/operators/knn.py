@@ -7,6 +7,8 @@ k rows for each query and task. Order is by distance, then id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +21,8 @@ from ..sources.storage import scratch
 BLOCK_VALUES, HITS = 4_000_000, "qid long, vec_id long, distance double, rank int"
 #: Pairs of a query and a row compared at once by a matrix product, and numbers gathered for exact comparisons.
 PAIRS, GATHERED = 1 << 20, 1 << 21
+#: Buckets are joined where no more than one pair in so many meets in them.
+SPARSE = 16
 
 
 def validate_vectors(df: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -91,6 +95,27 @@ def fewest(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray | slice:
     return np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
 
 
+def meetings(asks: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """How many times each row of keys ``asks`` meets a row of ``has``, over all tables."""
+    n = np.zeros(len(asks), np.int64)
+    for a, b in zip(asks.T, has.T):
+        b = np.sort(b)
+        n += np.searchsorted(b, a, "right") - np.searchsorted(b, a, "left")
+    return n
+
+
+def met(asks: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that share a key in some table, once each."""
+    found = []
+    for a, b in zip(asks.T, has.T):
+        order = np.argsort(b, kind="stable")
+        low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(np.arange(len(a)), n)
+        found.append(at * len(has) + order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)])
+    return np.divmod(np.unique(np.concatenate(found)), len(has))
+
+
 class Best:
     """The k nearest of each query by (distance, id), gathered from blocks of rows.
 
@@ -102,24 +127,45 @@ class Best:
         self.n, self.k, self.worst, self.held = queries, k, np.full(queries, np.inf), np.zeros(queries, np.int64)
         self.i, self.d = np.zeros((queries, k), np.int64), np.zeros((queries, k))
 
-    def look(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str, rows: np.ndarray | None = None, other: np.ndarray | None = None) -> None:
+    def look(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str, rows: np.ndarray | None = None, other: np.ndarray | None = None, keys: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """Take the block ``x`` into account for all queries ``q`` or those in ``rows``; ``other``: ids not to be paired.
 
         Matrix products pick whatever can be among the k nearest, rounding allowed for; those few are then compared exactly.
+        With ``keys`` (of queries and rows, a column for each table) only pairs that share a key in some table count.
         """
         rows = np.arange(self.n) if rows is None else rows
         if not self.k or not len(rows) or not len(x):
             return
         some = fewest(x, ids, self.k + (other is not None))
         x, ids = x[some], ids[some]
+        if keys is not None:
+            asks, has = keys[0][rows], keys[1][some]
+            if (pairs := meetings(asks, has)).sum() * SPARSE <= len(rows) * len(x):
+                stop = np.searchsorted(np.cumsum(pairs), np.arange(PAIRS // SPARSE, pairs.sum(), PAIRS // SPARSE), "right")
+                for part in np.split(np.arange(len(rows)), np.unique(stop)):
+                    a, c = met(asks[part], has)
+                    self._exact(q, x, ids, metric, rows, part[a], c, other)
+                return
         wide = min(len(x), max(2048, PAIRS // len(rows)))
         tall = max(1, PAIRS // wide)
         for s in range(0, len(x), wide):
             for r in range(0, len(rows), tall):
-                self._tile(q, x[s : s + wide], ids[s : s + wide], metric, rows[r : r + tall], other)
+                self._tile(q, x[s : s + wide], ids[s : s + wide], metric, rows[r : r + tall], other, keys and (asks[r : r + tall], has[s : s + wide]))
 
-    def _tile(self, q, x, ids, metric, rows, other) -> None:
-        q = q[rows]
+    def _exact(self, q, x, ids, metric, rows, at, col, other=None) -> None:
+        """Merge the pairs of ``rows[at]`` and ``x[col]``."""
+        if other is not None:
+            apart = other[rows[at]] != ids[col]
+            at, col = at[apart], col[apart]
+        step = max(1, GATHERED // q.shape[1]) if q.shape[1] else PAIRS
+        for s in range(0, len(at), step):
+            a, c = rows[at[s : s + step]], col[s : s + step]
+            d = exact_distances(q[a], x[c], metric)
+            ok = np.isfinite(d)
+            self.merge(a[ok], ids[c[ok]], d[ok])
+
+    def _tile(self, q, x, ids, metric, rows, other, keys) -> None:
+        whole, q = q, q[rows]
         near, limit = comparison(q, x, metric), self.worst[rows]
         if other is not None:
             near[other[rows][:, None] == ids[None, :]] = np.inf
@@ -128,16 +174,23 @@ class Best:
         else:
             slack = np.full(len(q), 1e-10)
         free = ~np.isfinite(limit)
+        if keys is not None and free.any():
+            apart = np.ones((free.sum(), len(x)), bool)
+            for a, b in zip(keys[0][free].T, keys[1].T):
+                apart &= a[:, None] != b[None, :]
+            near[free] = np.where(apart, np.inf, near[free])
         if near.shape[1] > self.k and free.any():
             limit[free] = np.partition(near[free], self.k - 1, axis=1)[:, self.k - 1] + slack[free]
         found = near <= (limit + slack)[:, None]
         if not np.isfinite(limit).all():
             found &= np.isfinite(near)
         at, col = np.nonzero(found)
-        step = max(1, GATHERED // q.shape[1]) if q.shape[1] else PAIRS
-        for s in range(0, len(at), step):
-            a, c = at[s : s + step], col[s : s + step]
-            self.merge(rows[a], ids[c], exact_distances(q[a], x[c], metric))
+        if keys is not None:
+            own = np.zeros(len(at), bool)
+            for a, b in zip(keys[0].T, keys[1].T):
+                own |= a[at] == b[col]
+            at, col = at[own], col[own]
+        self._exact(whole, x, ids, metric, rows, at, col)
 
     def merge(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
         """Hits as three columns: the query's row, the id, the distance."""
@@ -205,11 +258,12 @@ def by_blocks(spark: SparkSession, blocks, search) -> DataFrame:
     return spark.read.schema(HITS).parquet(folder)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None, keys: Callable | None = None) -> DataFrame:
     """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows, null vectors none.
 
     Up to ``block`` queries (by default of ``BLOCK_VALUES`` numbers in all) are broadcast. More are written to the shared folder once, in tiles of ``block`` rows that
     every task reads one after the other for each of its blocks of the corpus: one job, whatever the number of queries.
+    ``keys`` (an array of vectors to a row of keys each) leaves only pairs that share one, column by column.
     """
     metric, spark = metric_name(metric), corpus.sparkSession
     if k < 0:
@@ -228,9 +282,10 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
 
         def run(batches):
             qid, q = handle.value
-            held = Best(len(qid), k)
+            held, asks = Best(len(qid), k), keys and keys(q)
             for b in batches:
-                held.look(q, matrix(b.column(1)), b.column(0).to_numpy(), metric, other=qid if exclude_self else None)
+                x = matrix(b.column(1))
+                held.look(q, x, b.column(0).to_numpy(), metric, other=qid if exclude_self else None, keys=keys and (asks, keys(x)))
             yield held.batch(qid)
 
         return ranked(side.mapInArrow(run, "qid long, vec_id long, distance double"), k)
@@ -243,12 +298,13 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
         disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
         tiles = sorted(x.path for x in disk.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
         for ids, x in _joined(batches):
+            own = keys and keys(x)
             for path in tiles:
                 if not (t := parquet.read_table(path, filesystem=disk)).num_rows:
                     continue
                 qid, q = arrays(t)
                 held = Best(len(qid), k)
-                held.look(q, x, ids, metric, other=qid if exclude_self else None)
+                held.look(q, x, ids, metric, other=qid if exclude_self else None, keys=keys and (keys(q), own))
                 yield held.batch(qid)
 
     return ranked(side.mapInArrow(tiled, "qid long, vec_id long, distance double"), k)

@@ -355,6 +355,22 @@ def test_recall_of_approximate_search(spark):
     assert all(r[1] <= (8 if r[0] == 0 else 4) for r in caps)
 
 
+def test_cells_of_many_queries_in_bounded_memory(spark):
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    q, c = r.standard_normal((20_000, 8)), r.standard_normal((1000, 8))
+    index = spark.createDataFrame([], "vec_id long, cell int, embedding array<double>")
+    tracemalloc.start()
+    ann.ivf_search(index, c, (np.arange(len(q)), q), 5, 30, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    seen = ann.visits(q, c, 30)
+    near = ((q[7] - c) ** 2).sum(1).argsort()[:30]
+    assert [j for j in range(1000) if 7 in ann.visitors(seen, j)] == sorted(near.tolist()) and len(ann.nearest_cells(q[:0], c, 3)) == 0
+
+
 @pytest.mark.parametrize("bits,block", [(2, None), (9, None), (9, 7)])
 def test_hashed_search_makes_no_pairs(spark, bits, block):
     """The nearest of all rows that share a bucket, whether few or most do; no join makes rows of pairs."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import levels, metric_name
 from ..sources.storage import Versions, digest, joined_digest
-from .knn import Best, by_blocks, in_blocks, knn, matrix, pair_distances, ranked, require_valid
+from .knn import PAIRS, Best, by_blocks, in_blocks, knn, matrix, pair_distances, ranked, require_valid
 
 SAMPLE = 10_000
 
@@ -22,6 +22,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, x / np.where(n > 0, n, 1), x)
 
 
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of each row, nearest first; a bounded number of pairs at a time."""
+    out, step = np.zeros((len(x), min(n, len(centroids))), np.int32), max(1, PAIRS // max(1, len(centroids)))
+    for s in range(0, len(x), step):
+        d = pair_distances(x[s : s + step], centroids, "euclidean")
+        out[s : s + step] = d.argmin(1)[:, None] if n == 1 else d.argsort(1)[:, :n]
+    return out
+
+
+def visits(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """Which cells each row visits, a bit each: its ``n`` nearest."""
+    out, step = np.zeros((len(x), -(-len(centroids) // 8)), np.uint8), 4096
+    for s in range(0, len(x), step):
+        probe = np.zeros((len(x[s : s + step]), len(centroids)), bool)
+        np.put_along_axis(probe, nearest_cells(x[s : s + step], centroids, n).astype(np.int64), True, 1)
+        out[s : s + step] = np.packbits(probe, axis=1)
+    return out
+
+
+def visitors(visits: np.ndarray, cell: int) -> np.ndarray:
+    return np.flatnonzero(visits[:, cell >> 3] >> np.uint8(7 - (cell & 7)) & np.uint8(1))
+
+
 def train_cells(vectors: DataFrame, cells: int, metric: str = "cosine", iterations: int = 10, seed: int = 0, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> np.ndarray:
     """Centroids by k-means on a bounded sample: the ``sample`` rows of least XXH64 of their id."""
     got = vectors.select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).where("v is not null").orderBy("h").limit(sample).toArrow()
@@ -44,7 +67,7 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray, metric: str = "cosin
         for b in batches:
             x = matrix(b.column(1))
             x = _unit(x) if metric_name(metric) == "cosine" else x
-            cell = pair_distances(x, handle.value, "euclidean").argmin(1) if len(x) else np.zeros(0)
+            cell = nearest_cells(x, handle.value, 1)[:, 0] if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), b.column(1)], ["vec_id", "cell", "embedding"])
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, cell int, embedding array<double>")
@@ -54,10 +77,7 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: tuple[np.ndarra
     """k nearest rows among each query's ``nprobe`` nearest cells; ``queries`` is one bounded block."""
     metric = metric_name(metric)
     qid, q = queries
-    probe = np.zeros((len(qid), len(centroids)), bool)
-    near = pair_distances(_unit(q) if metric == "cosine" else q, centroids, "euclidean").argsort(1)[:, :nprobe]
-    np.put_along_axis(probe, near, True, 1)
-    handle = index.sparkSession.sparkContext.broadcast((qid, q, probe))
+    handle = index.sparkSession.sparkContext.broadcast((qid, q, visits(_unit(q) if metric == "cosine" else q, centroids, nprobe)))
 
     def run(batches):
         qid, q, probe = handle.value
@@ -65,7 +85,7 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: tuple[np.ndarra
         for b in batches:
             ids, cell, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
             for c in np.unique(cell):
-                rows, asks = np.flatnonzero(cell == c), np.flatnonzero(probe[:, c])
+                rows, asks = np.flatnonzero(cell == c), visitors(probe, int(c))
                 if len(asks):
                     held.look(q, x[rows], ids[rows], metric, asks)
         yield held.batch(qid)

@@ -212,6 +212,30 @@ def test_digests_count_equal_rows(spark):
     assert digest(df.unionByName(df)) != digest(df) and digest(df.unionByName(df)) != digest(df.limit(0)) and digest(df.unionByName(df))[1] != 0
 
 
+def test_graphs_are_walked_together(spark, monkeypatch):
+    """Walks of all queries at once find what single walks find; recall is measured on walks of every shard's graph."""
+    from vecspark.plans import queries
+
+    r = np.random.default_rng(6)
+    for metric in ("l2", "cosine"):
+        x, q = r.standard_normal((700, 12)), r.standard_normal((40, 12))
+        g = ann.Graph(12, metric, m=6, ef_construction=40).build(x)
+        data, found = g.to_bytes(), {}
+        for row, node, d in ann.Graph.walked(data, q, 5, 40):
+            for a, b, c in zip(row.tolist(), node.tolist(), d.tolist()):
+                found.setdefault(a, []).append((c, b))
+        alone = [g.search(one, 5, 40) for one in q]
+        both = [len({i for _, i in a} & {i for _, i in found[n]}) for n, a in enumerate(alone)]
+        assert np.mean(both) >= 4.8 and all(len(found[n]) == 5 for n in range(40))
+        far = {i: c for n, a in enumerate(alone) for c, i in a if n == 0}
+        assert all(abs(far[i] - c) < 1e-5 for c, i in found[0] if i in far)
+        assert list(ann.Graph.walked(ann.Graph(12, metric).to_bytes(), q, 5, 40)) == []
+    asked, real = [], ann.GraphIndex.search
+    monkeypatch.setattr(ann.GraphIndex, "search", lambda self, q, k, *a, **b: (asked.append((sum(self.state["shards"]), b)), real(self, q, k, *a, **b))[1])
+    assert queries.recall_hnsw(spark, "/root/testdata/sf0.001").first()[0] >= 0.95
+    assert all(b["walk"] is True and b["probes"] == shards for shards, b in asked) and asked
+
+
 def test_index_ids_and_compaction(spark):
     v = generated_vectors(spark, 400, 8, clusters=10)
     index = ann.GraphIndex(spark, scratch(spark, "graphs"), 8).add(v.where("vec_id < 200"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import levels, metric_name
 from ..sources.storage import Versions, digest, joined_digest
-from .knn import PAIRS, Best, by_blocks, in_blocks, knn, matrix, pair_distances, ranked, require_valid
+from .knn import PAIRS, Best, by_blocks, comparison, exact_distances, in_blocks, knn, matrix, pair_distances, ranked, require_valid
 
 SAMPLE = 10_000
 
@@ -236,8 +236,8 @@ class Graph:
             return f["x"].astype(np.float64)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> "Graph":
-        """Raises ``ValueError`` for anything that ``to_bytes`` can't have made."""
+    def _stored(cls, data: bytes) -> tuple["Graph", dict]:
+        """A graph without its links and the stored arrays; raises ``ValueError`` for anything that ``to_bytes`` can't have made."""
         try:
             with np.load(io.BytesIO(data), allow_pickle=False) as f:
                 head, x, layers, degree, near = (f[k] for k in ("head", "x", "layers", "degree", "near"))
@@ -256,13 +256,73 @@ class Graph:
         }
         if bad := [k for k, ok in rules.items() if not ok]:
             raise ValueError(f"broken graph: {', '.join(bad)}")
-        lists = iter(np.split(near, np.cumsum(degree)[:-1]) if len(degree) else [])
-        g.x, g.entry, g.top = x.astype(np.float64), entry, top
-        g.links = [[next(lists).tolist() for _ in range(k)] for k in layers.tolist()]
-        if any(len(g.links[j]) <= layer for own in g.links for layer, ids in enumerate(own) for j in ids):
+        if n and (layers[near] <= np.repeat(level, degree)).any():
             raise ValueError("broken graph: a link to a node below its layer")
+        g.x, g.entry, g.top = x.astype(np.float64), entry, top
+        return g, {"layers": layers, "degree": degree, "near": near}
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Graph":
+        """Raises ``ValueError`` for anything that ``to_bytes`` can't have made."""
+        g, s = cls._stored(data)
+        lists = iter(np.split(s["near"], np.cumsum(s["degree"])[:-1]) if len(s["degree"]) else [])
+        g.links = [[next(lists).tolist() for _ in range(k)] for k in s["layers"].tolist()]
         return g
 
+    @classmethod
+    def walked(cls, data: bytes, q: np.ndarray, k: int, ef: int):
+        """Walks of all queries through a stored graph together: blocks ``(row of q, node, distance)`` of the k best of
+        at least ``ef`` nodes seen.
+
+        Distances are looked up in a matrix product, so this is for graphs that are cheaply scanned. A round follows the
+        links of all nodes that are among a query's ``ef`` nearest seen, where ``search`` follows one at a time.
+        """
+        g, s = cls._stored(data)
+        n, start, ef = len(g.x), np.cumsum(s["layers"]) - s["layers"], max(ef, k)
+        if not n or not k:
+            return
+        first = np.cumsum(s["degree"]) - s["degree"]
+
+        def table(level: int) -> np.ndarray:
+            """Neighbours of each node on a layer; ``n`` is none."""
+            nodes = np.flatnonzero(s["layers"] > level)
+            own, at = s["degree"][start[nodes] + level].astype(np.int64), first[start[nodes] + level].astype(np.int64)
+            within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            out = np.full((n, max(1, own.max())), n)
+            out[np.repeat(nodes, own), within] = s["near"][np.repeat(at, own) + within]
+            return out
+
+        tables, step = [table(level) for level in range(g.top + 1)], max(1, PAIRS // (n + 1))
+        for b in range(0, len(q), step):
+            ask = q[b : b + step]
+            rows, d = np.arange(len(ask)), np.full((len(ask), n + 1), np.inf)
+            d[:, :n] = comparison(ask, g.x, g.metric)
+            at = np.full(len(ask), g.entry)
+            for t in tables[:0:-1]:
+                while True:
+                    near = t[at]
+                    to = near[rows, d[rows[:, None], near].argmin(1)]
+                    if not (better := d[rows, to] < d[rows, at]).any():
+                        break
+                    at = np.where(better, to, at)
+            seen, done = np.zeros(d.shape, bool), np.zeros(d.shape, bool)
+            seen[rows, at] = True
+            row, node = rows, at
+            while len(row):
+                done[row, node] = True
+                seen.ravel()[(row[:, None] * (n + 1) + tables[0][node]).ravel()] = True
+                seen[:, n] = False
+                live = np.unique(row)
+                v = np.where(seen[live], d[live], np.inf)
+                limit = np.partition(v, ef - 1, axis=1)[:, ef - 1] if ef <= n else np.full(len(live), np.inf)
+                row, node = np.nonzero((v <= limit[:, None]) & np.isfinite(v) & ~done[live])
+                row = live[row]
+            d[~seen] = np.inf
+            best = np.argpartition(d, k - 1, axis=1)[:, :k] if k <= n else np.tile(np.arange(n), (len(ask), 1))
+            row, node = np.repeat(rows, best.shape[1]), best.ravel()
+            row, node = row[ok := np.isfinite(d[row, node])], node[ok]
+            yield b + row, node, exact_distances(ask[row], g.x[node], g.metric)
+
     def search(self, q, k: int, ef: int | None = None) -> list[tuple[float, int]]:
         if not len(self) or not k:
             return []
@@ -339,14 +399,12 @@ def shard_search(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: in
     """The k best of every query of one bounded block: each task merges those of its shards.
 
     With ``centroids`` (a row for each shard) a query visits its ``probes`` nearest shards only. A shard is walked by its
-    graph, or scanned for all of its queries at once by a matrix product if that costs less; ``walk`` decides for all.
+    graph, or scanned for all of its queries at once by a matrix product if that costs less; ``walk`` decides for all. Walks in a shard that is cheaply scanned go together.
     """
     qid, q = queries
     visit = None
     if centroids is not None and probes is not None and probes < len(centroids):
-        near = pair_distances(_unit(q) if metric_name(metric) == "cosine" else q, centroids, "euclidean").argpartition(probes - 1, 1)[:, :probes]
-        visit = np.zeros((len(q), len(centroids)), bool)
-        np.put_along_axis(visit, near, True, 1)
+        visit = visits(_unit(q) if metric_name(metric) == "cosine" else q, centroids, probes)
     handle = index.sparkSession.sparkContext.broadcast((qid, q, visit))
 
     def run(batches):
@@ -354,13 +412,18 @@ def shard_search(index: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: in
         held = Best(len(qid), k)
         for b in batches:
             for shard, ids, data in zip(b.column("shard").to_pylist(), b.column("ids"), b.column("graph")):
-                asks = np.arange(len(qid)) if visit is None else np.flatnonzero(visit[:, shard])
+                asks = np.arange(len(qid)) if visit is None else visitors(visit, shard)
                 if not len(asks):
                     continue
                 raw, ids = data.as_py(), ids.values.to_numpy()
-                if not walk and (walk is False or len(ids) <= STEP_COST * max(ef, k)):
+                small = len(ids) <= STEP_COST * max(ef, k)
+                if not walk and (walk is False or small):
                     held.look(q, Graph.vectors(raw), ids, metric_name(metric), asks)
                     continue
+                if small:
+                    for n, i, d in Graph.walked(raw, q[asks], k, ef):
+                        held.merge(asks[n], ids[i], d)
+                    continue
                 g = Graph.from_bytes(raw)
                 hits = [(n, i, d) for n in asks.tolist() for d, i in g.search(q[n], k, ef)]
                 if hits:

@@ -333,6 +333,6 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def recall(truth: DataFrame, got: DataFrame, k: int) -> DataFrame:
     """One row: the mean over queries of the share of true neighbours found."""
-    hit = truth.select("qid", "vec_id").join(got.select("qid", "vec_id").distinct(), ["qid", "vec_id"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
-    per = truth.groupBy("qid").agg(F.count("*").alias("n")).join(hit, "qid", "left")
-    return per.agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
+    hit = got.select("qid", "vec_id").distinct().withColumn("hit", F.lit(1))
+    per = truth.select("qid", "vec_id").join(hit, ["qid", "vec_id"], "left").groupBy("qid").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    return per.agg(F.avg(F.col("hits") / F.col("n")).alias("recall"))

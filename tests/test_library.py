@@ -333,6 +333,37 @@ def test_embedding_in_bounded_memory(spark, monkeypatch):
     assert len(e._memo) <= 100_000 and e.place("t1") == places[1]
 
 
+def test_numbered_chunks(spark):
+    """Ids of chunks by document and ordinal, whatever the partitions; documents are chunked once."""
+    from vecspark.operators.retrieval import chunk_documents, numbered_chunks
+
+    docs = spark.createDataFrame([(i * 37 % 101, " ".join(f"w{j}" for j in range(i * 7 % 60))) for i in range(101)], "doc_id long, text string").repartition(5)
+    want = sorted((r.doc_id, r.ordinal, r.text) for r in chunk_documents(docs, 10, 3).collect())
+    got = sorted((r.chunk_id, r.doc_id, r.ordinal, r.text) for r in numbered_chunks(docs, max_words=10, overlap=3).collect())
+    assert got == [(i, *r) for i, r in enumerate(want)] and len(got) > 200
+    assert numbered_chunks(docs.limit(0)).count() == 0
+
+
+def test_answers_search_once(spark):
+    """What was found is used four times for an answer; texts are embedded and compared once."""
+    import tempfile
+    from pathlib import Path
+
+    log = Path(tempfile.mkdtemp(prefix="calls-", dir="/tmp"))
+
+    class Counted(HashedEmbedder):
+        def matrix(self, texts):
+            if texts and any("passage" in t for t in texts):
+                with tempfile.NamedTemporaryFile(dir=log, delete=False):
+                    pass
+            return super().matrix(texts)
+
+    chunks = spark.createDataFrame([(0, 0, 0, "a passage of text"), (1, 1, 0, "another passage")], "chunk_id long, doc_id long, ordinal int, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "text"), (2, "another")], "qid long, question string")
+    got = {r.qid: [(s.chunk_id, s.cited) for s in r.sources] for r in ask(chunks, q, embedder=Counted(64)).collect()}
+    assert got == {1: [(0, True)], 2: [(1, True)]} and len(list(log.iterdir())) == 1
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).selectExpr("id * 7 % 1000 as k")
     got = dense_ids(df, ["k"], "n", 5).collect()

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.storage import written
 
 
-def dense_ids(df: DataFrame, order: list[str], out: str, base: int = 0) -> DataFrame:
-    """``df`` with ids from ``base`` without gaps in the given order: ranges are sorted apart and offset by their counts."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def dense_ids(df: DataFrame, order: list[str], out: str, base: int = 0, dealt: bool = False) -> DataFrame:
+    """``df`` with ids from ``base`` without gaps in the given order: ranges are sorted apart and offset by their counts.
+
+    With ``dealt`` the partitions of ``df`` are ranges of the order already, one after the other."""
+    parts = (df if dealt else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     parts = written(parts.withColumn("__vs_part", F.spark_partition_id()).withColumn("__vs_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
     counts = sorted((r[0], r[1]) for r in parts.groupBy("__vs_part").count().collect())  # one row a partition
     start, rows = base, []

@@ -258,12 +258,14 @@ def by_blocks(spark: SparkSession, blocks, search) -> DataFrame:
     return spark.read.schema(HITS).parquet(folder)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None, keys: Callable | None = None) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None, keys: Callable | None = None, query_col: str | None = None, reading: Callable = matrix) -> DataFrame:
     """``(qid, vec_id, distance, rank)`` of the k nearest rows of each query; k = 0 gives no rows, null vectors none.
 
     Up to ``block`` queries (by default of ``BLOCK_VALUES`` numbers in all) are broadcast. More are written to the shared folder once, in tiles of ``block`` rows that
     every task reads one after the other for each of its blocks of the corpus: one job, whatever the number of queries.
     ``keys`` (an array of vectors to a row of keys each) leaves only pairs that share one, column by column.
+    ``reading`` makes vectors of a batch's ``vec_col`` (texts, say), whose vectors then needn't travel; queries have
+    theirs in ``query_col``.
     """
     metric, spark = metric_name(metric), corpus.sparkSession
     if k < 0:
@@ -271,7 +273,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
     if k == 0:
         return spark.createDataFrame([], HITS)
     side = corpus.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where("v is not null")
-    asked = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("q")).where("q is not null")
+    asked = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col or vec_col).cast("array<double>").alias("q")).where("q is not null")
     one = asked.first()
     if one is None:
         return spark.createDataFrame([], HITS)
@@ -283,9 +285,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
         def run(batches):
             qid, q = handle.value
             held, asks = Best(len(qid), k), keys and keys(q)
-            for b in batches:
-                x = matrix(b.column(1))
-                held.look(q, x, b.column(0).to_numpy(), metric, other=qid if exclude_self else None, keys=keys and (asks, keys(x)))
+            for ids, x in _read(batches, reading):
+                held.look(q, x, ids, metric, other=qid if exclude_self else None, keys=keys and (asks, keys(x)))
             yield held.batch(qid)
 
         return ranked(side.mapInArrow(run, "qid long, vec_id long, distance double"), k)
@@ -297,7 +298,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
 
         disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
         tiles = sorted(x.path for x in disk.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
-        for ids, x in _joined(batches):
+        for ids, x in _joined(_read(batches, reading)):
             own = keys and keys(x)
             for path in tiles:
                 if not (t := parquet.read_table(path, filesystem=disk)).num_rows:
@@ -310,16 +311,23 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", i
     return ranked(side.mapInArrow(tiled, "qid long, vec_id long, distance double"), k)
 
 
-def _joined(batches, values: int = 16_000_000):
-    """Ids and vectors of several batches at a time, up to ``values`` numbers."""
-    ids, xs, n = [], [], 0
+def _read(batches, reading: Callable = matrix, step: int = 2048):
+    """Ids and vectors of ``step`` rows at a time."""
     for b in batches:
-        x = matrix(b.column(1))
+        for s in range(0, b.num_rows, step):
+            part = b.slice(s, step)
+            yield part.column(0).to_numpy(), reading(part.column(1))
+
+
+def _joined(parts, values: int = 16_000_000):
+    """Ids and vectors of several parts at a time, up to ``values`` numbers."""
+    ids, xs, n = [], [], 0
+    for own, x in parts:
         if n and n + x.size > values:
             yield np.concatenate(ids), np.concatenate(xs)
             ids, xs, n = [], [], 0
         if len(x):
-            ids.append(b.column(0).to_numpy())
+            ids.append(own)
             xs.append(x)
             n += x.size
     if ids:
